@@ -1,4 +1,84 @@
-"""A corpus from raw documents to packed training sequences."""
+"""A corpus from raw documents to packed training sequences, stage by stage.
 
-STAGES: list = []
+Every stage works on all that the one before kept. All but the last return the
+columns of documents: doc_id, text, lang, source, n_chars.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from parlance.llm._shared import stored
+from parlance.llm.langid import UNDETERMINED, fit_languages, identify
+from parlance.llm.mixing import mix
+from parlance.llm.ngram_join import ngram_components
+from parlance.llm.packing import pack_documents
+from parlance.llm.pii import fit_pii, redact
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the language model rejects: no letters, or a calibrated chance under its threshold."""
+    model = fit_languages(docs)
+    named = docs.select("doc_id", "lang", "source", "n_chars", "text", F.col("text").alias("body"))
+    found = identify(named, model, ("doc_id", "lang", "source", "n_chars", "body"))
+    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= (model["reject"] if model else 0.0)))
+    return kept.withColumnRenamed("body", "text").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays: the one with the least id.
+
+    Rows with a null id can't be named by a group and stay. Of rows with the
+    same id as the one that stays, the first by its text's hash does.
+    """
+    kept = stored(ngram_components(docs).where("doc_id = component_id").select("doc_id").groupBy("doc_id").count(), "kept")
+    rows = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    if kept.where("count > 1").limit(1).count():
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+        rows = rows.withColumn("k", F.row_number().over(order)).where("k = 1")
+    return rows.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in all texts by the names of its kinds; null texts become empty."""
+    clean = redact(docs, fit_pii(docs), "doc_id", "lang", "source")
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    key = F.xxhash64("doc_id", "source", "text")
+    taken = mix(docs).groupBy("h").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
+    rows = docs.select(*COLUMNS, key.alias("h")).join(taken, "h")
+    number = F.row_number().over(Window.partitionBy("h").orderBy("doc_id"))
+    own = F.floor(F.col("copies") / F.col("n")) + (number <= F.col("copies") % F.col("n")).cast("int")
+    return rows.withColumn("own", own.cast("int")).select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.col("own"))).alias("copy")).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("PII", personal_data),
+    ("mixing sources", mixing),
+    ("best-fit packing", packing),
+]
+
+#: SQL can't fit the language model; the stages are tested against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's rows are written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{k}")
+    return docs

@@ -40,7 +40,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> dict:
     """Fit embeddings and a linear softmax by stochastic gradient descent.
 
     Every fifth row is set aside: on it the softmax temperature is fitted and
-    the rejection threshold is set where no more than one in 200 of the right
+    the rejection threshold is set where no more than one in 1000 of the right
     answers would be rejected.
     """
     names = sorted(set(langs))
@@ -68,7 +68,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> dict:
     temperature = min((0.25, 0.5, 1.0, 2.0, 4.0), key=lambda t: -np.log(_softmax(scores / t)[np.arange(len(held)), want[held]] + 1e-12).mean())
     chance = _softmax(scores / temperature)
     right = chance.max(1)[chance.argmax(1) == want[held]]
-    reject = float(min(0.5, np.quantile(right, 0.005))) if len(right) else 0.0
+    reject = float(min(0.4, np.quantile(right, 0.001))) if len(right) else 0.0
     return {"names": names, "table": (table / temperature).astype(np.float32), "bias": bias / temperature, "reject": reject}
 
 

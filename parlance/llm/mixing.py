@@ -13,7 +13,7 @@ from parlance.llm._shared import WS, mix64, stored
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 #: Rows that one pivotal pass takes, and how many passes' residuals one pass of the next level takes.
 ROWS, FAN = 4096, 1024
-STATE = "source string, unit long, doc_id long, size long, p double, copies int, pass long"
+STATE = "source string, unit long, h long, doc_id long, size long, p double, copies int, pass long"
 
 
 def n_words(text):
@@ -88,15 +88,15 @@ def _pass(rows: pd.DataFrame) -> pd.DataFrame:
     rows["p"] = 0.0
     if left >= 0:
         rows.loc[left, "p"] = p[left]
-    return rows[["source", "unit", "doc_id", "size", "p", "copies", "pass"]]
+    return rows[["source", "unit", "h", "doc_id", "size", "p", "copies", "pass"]]
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """How often the mix takes each document.
 
     docs has doc_id, text and source. Returns a row for each row given:
-    doc_id, size, source_size, target, taken (size times copies), copies, and
-    unit, which names the row. All documents of a source have the expected
+    doc_id, size, source_size, target, taken (size times copies), copies, h (a
+    hash of id, source and text), and unit, which names the row. All documents of a source have the expected
     copies target / source_size, at most `cap`; its whole part is taken at
     once and the fraction is rounded by the pivotal method. Rows of a source
     are dealt by hash into passes of about ROWS, ordered by size in each, so
@@ -111,11 +111,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     """
     named = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("h"))
     again = Window.partitionBy("doc_id", "h").orderBy("size")
-    rows = stored(named.withColumn("k", F.row_number().over(again)).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", F.xxhash64("doc_id", "h", "k").alias("unit")), "sizes")
+    rows = stored(named.withColumn("k", F.row_number().over(again)).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", "h", F.xxhash64("doc_id", "h", "k").alias("unit")), "sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     known = per_source.collect()  # one row a source
     if not known:
-        return rows.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"), "unit")
+        return rows.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"), "h", "unit")
     target = targets([(r["source"], r["source_size"]) for r in known], weights, share, cap)
     spark = docs.sparkSession
     table = spark.createDataFrame(
@@ -124,18 +124,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     )
     side = F.broadcast(table) if len(known) <= 100_000 else table
     rated = rows.join(side, rows["source"].eqNullSafe(table["source"])).drop(table["source"])
-    level = rated.select("source", "unit", "doc_id", "size", (F.col("rate") - F.floor("rate")).alias("p"), F.floor("rate").cast("int").alias("copies"), F.pmod(F.xxhash64("unit"), "passes").alias("pass"), (F.col("passes") == 1).alias("last"))
+    level = rated.select("source", "unit", "h", "doc_id", "size", (F.col("rate") - F.floor("rate")).alias("p"), F.floor("rate").cast("int").alias("copies"), F.pmod(F.xxhash64("unit"), "passes").alias("pass"), (F.col("passes") == 1).alias("last"))
     most, settled = max(-(-r["n"] // ROWS) for r in known), None
     while True:
         done = stored(level.groupBy("source", "pass").applyInPandas(_pass, STATE), "level")
-        whole = done.where("p = 0").select("doc_id", "source", "size", "unit", "copies")
+        whole = done.where("p = 0").select("doc_id", "source", "size", "h", "unit", "copies")
         settled = whole if settled is None else settled.unionByName(whole)
         if most == 1:
             break
         most = -(-most // FAN)
-        level = done.where("p > 0").select("source", "unit", "doc_id", "size", "p", "copies", F.floor(F.col("pass") / FAN).alias("pass"), (F.lit(most) == 1).alias("last"))
+        level = done.where("p > 0").select("source", "unit", "h", "doc_id", "size", "p", "copies", F.floor(F.col("pass") / FAN).alias("pass"), (F.lit(most) == 1).alias("last"))
     out = settled.join(side, settled["source"].eqNullSafe(table["source"])).drop(table["source"])
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "unit")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "h", "unit")
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
