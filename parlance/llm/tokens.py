@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from parlance.llm._shared import fresh_path
 
 MAX_TOKENS = 1024
-#: Entries of a worker's memory of coded words, and the longest word kept in it.
-WORD_CACHE, WORD_CHARS = 400_000, 48
+#: Entries of a worker's memory of coded words, and the longest other word kept in it.
+WORD_CACHE, OTHER_CHARS = 1_000_000, 12
 
 _ODD_SPACE = re.compile(r" (?!\S)")
 _WORD_START = re.compile(r" (?=\S)")
@@ -25,19 +25,27 @@ class Coder:
     """Whole texts to ids by a byte-level BPE file of the tokenizers library.
 
     The pre-tokenizer of these vocabularies never joins what stands before a
-    space with the space and the non-space character after it. So a text's ids
-    are the ids of its space-led words one after another, and a word coded by
-    the library once need not be coded again. Only the memory of such words is
-    bounded; texts are always coded whole.
+    space with the space and the non-space character after it, nor letters
+    with other characters but one space in front. So a text's ids are those of
+    its space-led words one after another, and a run of letters coded by the
+    library's model once need not be coded again. Words of other make go
+    through the whole library. Only the memory of words is bounded; texts are
+    always coded whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = lambda w: as_bytes.pre_tokenize_str(w)[0][0]
+        self.words: dict[str, bytes] = {}  # words with a space in front
+        self.starts: dict[str, bytes] = {}  # words without
+        self.marks = {c: self._by_library(c) for c in ".,;:!?"}
+        self.line = self._by_library("\n")
 
     @classmethod
     def of(cls, path: str) -> Coder:
@@ -45,30 +53,42 @@ class Coder:
             _CODERS[path] = cls(path)
         return _CODERS[path]
 
-    def _by_library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _by_library(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        shown = word.replace(" ", "\u0120") if word.isascii() else self.shown(word)
+        return np.asarray([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+
+    def _new(self, word: str, space: str, known: dict[str, bytes]) -> bytes:
+        """The ids of a word that isn't in memory."""
+        if word.isalpha():
+            ids = self._letters(space + word)
+        elif word and word[-1] in self.marks and word[:-1].isalpha():
+            bare = word[:-1]
+            return (known.get(bare) or self._new(bare, space, known)) + self.marks[word[-1]]
+        elif "\n" in word and "<|" not in word and not re.search(r"\s\s|^\s|\s$|[^\S\n]", word):
+            head, *rest = word.split("\n")
+            out = [known.get(head) or self._new(head, space, known)]
+            for part in rest:
+                out += (self.line, self.starts.get(part) or self._new(part, "", self.starts))
+            return b"".join(out)
+        else:
+            ids = self._by_library(space + word)
+            if len(word) > OTHER_CHARS:
+                return ids
+        if len(known) < WORD_CACHE:
+            known[word] = ids
+        return ids
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        head, *words = (_WORD_START.split(text) if _ODD_SPACE.search(text) else text.split(" "))
-        known = self.words
-        missing = {w for w in words if w not in known}
-        extra = {}
-        if missing:
-            names = list(missing)
-            coded = dict(zip(names, self._by_library([" " + w for w in names])))
-            if len(known) + len(coded) > WORD_CACHE:
-                known.clear()
-                coded |= dict(zip(again := list({*words} - missing), self._by_library([" " + w for w in again])))
-            for w, b in coded.items():
-                (known if len(w) <= WORD_CHARS else extra)[w] = b
-        if len(extra) or len(known) > 4 * WORD_CACHE:
-            out = b"".join(known[w] if w in known else extra[w] for w in words)
-        else:
-            out = b"".join(map(known.__getitem__, words))
-        return self._by_library([head])[0] + out
+        head, *words = _WORD_START.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+        known, new = self.words, self._new
+        out = [known.get(w) or new(w, " ", known) for w in words]
+        return (self._new(head, "", self.starts) if head else b"") + b"".join(out)
 
 
 def _counted(path: str):
