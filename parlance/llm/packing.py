@@ -23,8 +23,8 @@ def _pieces(path: str, capacity: int, end_id: int):
         coder, end = Coder.of(path), np.uint32(end_id).astype("<u4").tobytes()
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = coder.ids(text or "") + end
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                ids = coder.ids(text.as_py() or "") + end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (s, e) in enumerate(zip(cuts, cuts[1:])):

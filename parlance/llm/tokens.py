@@ -14,7 +14,7 @@ from parlance.llm._shared import fresh_path
 
 MAX_TOKENS = 1024
 #: Entries of a worker's memory of coded words, and the longest other word kept in it.
-WORD_CACHE, OTHER_CHARS = 1_000_000, 12
+WORD_CACHE, OTHER_CHARS = 150_000, 12
 
 _ODD_SPACE = re.compile(r" (?!\S)")
 _WORD_START = re.compile(r" (?=\S)")
@@ -95,7 +95,7 @@ def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(path)
         for b in batches:
-            n = [len(coder.ids(t or "")) // 4 for t in b.column("text").to_pylist()]
+            n = [len(coder.ids(t.as_py() or "")) // 4 for t in b.column("text")]
             yield pa.record_batch([b.column("digest"), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
     return run
