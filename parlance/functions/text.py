@@ -1,0 +1,194 @@
+"""Column functions over utterances, answers and documents. All stay in the JVM."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# --- fixed values: results depend on them ------------------------------------
+
+#: Words that no index keeps.
+STOP_WORDS = (
+    "은 는 이 가 을 를 의 에 에서 으로 로 와 과 도 만 까지 부터 에게 한테 "
+    "그리고 그러나 또는 및 등 수 것 때 통해 대한 위한 있는 없는 하는 합니다 입니다"
+).split()
+#: Personal data by kind, in the order in which they are masked.
+PII_PATTERNS = {
+    "rrn": r"(?U)(?<![0-9])\d{6}[-\s]?[1-4]\d{6}(?![0-9])",
+    "card": r"(?U)(?<![0-9])\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}(?![0-9])",
+    "phone": r"(?U)(?<![0-9])(?:01[016789]|02|0[3-6][1-5])[-\s]?\d{3,4}[-\s]?\d{4}(?![0-9])",
+    "account": r"(?U)(?<![0-9])\d{2,4}[-\s]\d{2,6}[-\s]\d{4,7}(?![0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![A-Za-z0-9.-])",
+}
+#: What recognisers invent in silence, without spaces and punctuation.
+BOILERPLATE = (
+    "감사합니다 고맙습니다 시청해주셔서감사합니다 오늘도시청해주셔서감사합니다 구독과좋아요부탁드립니다 "
+    "구독좋아요알림설정 다음영상에서만나요 다음시간에만나요 안녕히계세요 이상입니다 "
+    "thankyou thanksforwatching pleasesubscribe bye you"
+).split()
+REFUSAL = "답변불가"
+OVERPROMISE = ("반드시", "무조건", "100%", "절대적으로", "언제나 가능", "항상 가능")
+MAX_ANSWER_CHARS, MIN_COVERAGE, MIN_COVERAGE_TOKENS = 140, 0.35, 20
+QUESTION = r"(나요|까요|가요|인가요|되나요|하죠|\?)\s*$"
+MASK_TOKEN = r"\[[A-Z_]+_MASKED\]"
+
+# -----------------------------------------------------------------------------
+
+_NO_STRINGS = "cast(array() as array<string>)"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any script at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def normalized_utterance(text: Column) -> Column:
+    """Lower case, runs of white space as one space, none at the ends."""
+    return F.lower(strip(F.regexp_replace(text, r"(?U)\s+", " ")))
+
+
+def tokens(text: Column) -> Column:
+    """Index terms: words of two or more characters, and the character pairs of longer Hangul words."""
+    stop = F.array(*map(F.lit, STOP_WORDS))
+
+    def terms(word: Column) -> Column:
+        whole = F.when((F.length(word) >= 2) & ~F.array_contains(stop, word), F.array(word)).otherwise(F.expr(_NO_STRINGS))
+        pairs = F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda i: F.substring(word, i, F.lit(2)))
+        return F.concat(whole, F.when(word.rlike("[가-힣]") & (F.length(word) > 2), pairs).otherwise(F.expr(_NO_STRINGS)))
+
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[0-9A-Za-z가-힣]+"), F.lit(0))
+    return F.flatten(F.transform(words, terms))
+
+
+def masked(text: Column) -> Column:
+    """The text with personal data replaced by [KIND_MASKED], kind after kind."""
+    for kind, pattern in PII_PATTERNS.items():
+        text = F.regexp_replace(text, pattern, f"[{kind.upper()}_MASKED]")
+    return text
+
+
+def masked_kinds(text: Column) -> Column:
+    """Kinds that `masked` replaces, in its order; each is sought in what the kinds before left."""
+    found = []
+    for kind, pattern in PII_PATTERNS.items():
+        found.append(F.when(text.rlike(pattern), F.lit(kind)))
+        text = F.regexp_replace(text, pattern, f"[{kind.upper()}_MASKED]")
+    return F.array_compact(F.array(*found))
+
+
+def matched_rules(text: Column, rules: Column) -> Column:
+    """Of an array of rules (rule_id, severity, message, pattern), in order, those whose pattern the raw text has."""
+    return F.filter(rules, lambda r: F.expr("true") & F.coalesce(F.regexp_like(text, r["pattern"]), F.lit(False)))
+
+
+def numbers(text: Column) -> Column:
+    """Distinct numbers in a text, without their thousands commas; decimals stay."""
+    found = F.regexp_extract_all(text, F.lit(r"(?U)\d+(?:[.,]\d+)*"), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda n: F.regexp_replace(F.replace(n, F.lit(","), F.lit("")), r"\.$", "")))
+
+
+def coverage(answer: Column, evidence: Column) -> Column:
+    """Share of the answer's terms that the evidence has; null for short answers."""
+    a, e = F.array_distinct(tokens(answer)), F.array_distinct(tokens(evidence))
+    return F.when(F.size(a) >= MIN_COVERAGE_TOKENS, F.size(F.array_intersect(a, e)) / F.size(a))
+
+
+def grounding_verdict(answer: Column, evidence: Column) -> Column:
+    """Why an answer isn't grounded in its evidence (array<string>, cited as [1], [2] …), or null if it is."""
+    answer = strip(F.coalesce(answer, F.lit("")))
+    cited = F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda n: n.cast("int")))
+    body = F.regexp_replace(answer, r"\[(\d+)\]", " ")
+    used = F.filter(evidence, lambda _, i: F.array_contains(cited, i + 1))
+    known = F.flatten(F.transform(used, numbers))
+    invented = F.size(F.array_except(numbers(body), known)) > 0
+    promise = F.lit(False)
+    for word in OVERPROMISE:
+        promise = promise | body.contains(word)
+    return (
+        F.when(answer == "", "empty")
+        .when(answer.contains(REFUSAL), "refusal")
+        .when(F.size(cited) == 0, "no citation")
+        .when(F.exists(cited, lambda n: (n < 1) | (n > F.size(evidence))), "unknown citation")
+        .when(F.length(answer) > MAX_ANSWER_CHARS, "too long")
+        .when(invented, "invented number")
+        .when(promise, "over-promise")
+        .when(coverage(body, F.array_join(used, " ")) < MIN_COVERAGE, "low coverage")
+    )
+
+
+def hallucination_verdict(text: Column, no_speech: Column, avg_logprob: Column) -> Column:
+    """Why a recognised text is taken for invented, or null if it isn't."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[^\W_]+"), F.lit(0))
+    bare = F.lower(F.regexp_replace(text, r"(?U)[\s\W_]+", ""))
+    looks = bare.isin(*BOILERPLATE) & ((no_speech > 0.2) | (avg_logprob < -0.5))
+    return (
+        F.when(bare == "", "empty")
+        .when(no_speech > 0.6, "no speech")
+        .when(avg_logprob < -1.0, "low probability")
+        .when((F.size(words) >= 4) & (F.size(F.array_distinct(words)) == 1), "repeated word")
+        .when(looks, "boilerplate")
+    )
+
+
+def confidence(avg_logprob: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(avg_logprob)))
+
+
+def should_search(text: Column, least: int = 6, fillers: tuple[str, ...] = ()) -> Column:
+    """Whether an utterance is worth a search: long enough without mask tokens, and no filler."""
+    bare = strip(F.regexp_replace(text, MASK_TOKEN, " "))
+    return (F.length(bare) >= least) & ~bare.isin(*fillers) if fillers else F.length(bare) >= least
+
+
+def query_of(turns: Column, most: int = 120) -> Column:
+    """The query in an array of (role, text): the last customer question, else customer turn, else turn."""
+    mine = F.filter(turns, lambda t: t["role"].isin("customer", "user"))
+    asked = F.filter(mine, lambda t: t["text"].rlike(QUESTION))
+    last = lambda a: F.try_element_at(a, F.lit(-1))["text"]
+    return F.substring(strip(F.regexp_replace(F.coalesce(last(asked), last(mine), last(turns)), MASK_TOKEN, " ")), 1, most)
+
+
+def json_object(raw: Column, schema: str) -> Column:
+    """A JSON object from a model's answer: without code fences, else between the outer braces, else null."""
+    bare = strip(F.regexp_replace(raw, r"(?m)^\s*```[a-zA-Z]*\s*$|```", ""))
+    inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    whole = F.when(bare.startswith("{") & bare.endswith("}"), F.from_json(bare, schema))
+    return F.coalesce(whole, F.from_json(inner, schema))
+
+
+def string_list(values: Column, most: int = 20) -> Column:
+    return F.slice(F.filter(F.transform(values, strip), lambda v: v != ""), 1, most)
+
+
+def snippet(text: Column, most: int = 180) -> Column:
+    bare = strip(text)
+    return F.concat(F.substring(bare, 1, most), F.when(F.length(bare) > most, "...").otherwise(""))
+
+
+def truncated_transcript(text: Column, most: int = 12_000, marker: str = "\n…\n") -> Column:
+    """The first two thirds and the last third of what is too long."""
+    head = most * 2 // 3
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, head), F.lit(marker), F.right(text, F.lit(most - head)))).otherwise(text)
+
+
+def safe_name(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9._-]", "_"), "^[._]+|[._]+$", "")
+
+
+def sequence_delta(later: Column, earlier: Column) -> Column:
+    """Signed distance of 16-bit sequence numbers that wrap around."""
+    return F.pmod(later - earlier + 32768, F.lit(65536)) - 32768
+
+
+def word_error(reference: Column, heard: Column) -> Column:
+    """Levenshtein distance over words: each distinct word becomes one character first."""
+    words = lambda t: F.split(normalized_utterance(F.regexp_replace(t, r"(?U)[^\w\s]", " ")), " ")
+    a, b = words(reference), words(heard)
+    known = F.array_distinct(F.concat(a, b))
+    coded = lambda w: F.array_join(F.transform(w, lambda x: F.char(F.array_position(known, x) % 200 + 32)), "")
+    return F.levenshtein(coded(a), coded(b))
+
+
+def character_error(reference: Column, heard: Column) -> Column:
+    bare = lambda t: F.lower(F.regexp_replace(t, r"(?U)[^\w]|_", ""))
+    return F.levenshtein(bare(reference), bare(heard))
