@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.llm._components import connected_components
-from parlance.llm._shared import mix64, stored
+from parlance.llm._shared import drop_stored, mix64, stored
 
 WORDS, PERCENT = 5, 80
 #: Wide fragments of the global order in which overlaps are counted separately.
@@ -174,7 +174,7 @@ def _may_link(percent: int):
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) that link: overlaps counted fragment by fragment, summed per pair."""
+    """The pairs (a, b) that link: overlaps counted fragment by fragment, summed per pair. pairs is a stored table; it is deleted."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     owners = stored(nodes.join(wanted, "node", "left_semi").select("owner", "node"), f"{name}-owners")
     side = F.broadcast(owners) if owners.count() <= BROADCAST_IDS else owners
@@ -185,7 +185,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("overlap"))
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     linked = summed.where(F.col("overlap") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("overlap")))
-    return stored(linked.select("a", "b", "overlap"), f"{name}-links")
+    links = stored(linked.select("a", "b", "overlap"), f"{name}-links")
+    for done in (pairs, owners, segments):
+        drop_stored(done)
+    return links
 
 
 def _with_sides(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -206,7 +209,8 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
        their number.
     2. The first fragment of a set's global order that matters, its prefix,
        holds n - ceil(percent n / 100) + 1 n-grams; linked sets share one of
-       them. Rows (n-gram, node) meet by n-gram.
+       them. Rows (n-gram, node) meet by n-gram; those whose size fits no
+       other row of their group go.
     3. In a group the nodes are first compared with the group's hub only, which
        joins most of a family in linear time. What is still in different
        components is then compared pair by pair inside the join: the sizes and
@@ -227,17 +231,18 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     profile = stored(docs.mapInArrow(_profile(words, percent, frequent), f"doc_id long, node binary, n long, {longs}"), "profile")
     nodes = profile.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("owner"), F.max("n").alias("n"), *(F.first(c, ignorenulls=True).alias(c) for c in ("sketch", "half")))
     nodes = stored(nodes, "nodes")
-    grams = profile.select("node", F.explode("prefix").alias("gram"))
-    in_group = Window.partitionBy("gram").orderBy("node")
-    whole = in_group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    met = grams.select("gram", "node", F.lag("node").over(in_group).alias("before"), F.min("node").over(whole).alias("low"), F.max("node").over(whole).alias("high"))
-    shared = stored(met.where("low <> high and (before is null or before <> node)").select("gram", "node"), "shared")
+    grams = profile.select("node", "n", F.explode("prefix").alias("gram"))
+    repeated = F.lag("node").over(Window.partitionBy("gram").orderBy("n", "node")) == F.col("node")
+    grams = grams.withColumn("repeated", F.coalesce(repeated, F.lit(False))).where("not repeated").select("gram", "node", "n")
+    shared = stored(_meeting(grams.withColumn("component", F.col("node")), percent).drop("component"), "shared")
+    members = stored(profile.select("doc_id", "node", "n"), "members")
+    drop_stored(profile)
 
     links, groups = None, None
     labels = None
     for k in range(hub_rounds):
         rank = F.xxhash64("node", F.lit(k))
-        groups = _open_groups(shared, labels)
+        groups = _open_groups(shared, labels, percent)
         hubs = groups.groupBy("gram").agg(F.min_by(F.struct("node", "component"), rank).alias("hub"))
         pairs = groups.join(hubs, "gram").where("component <> hub.component").groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.count("*").alias("common"))
         fit = _with_sides(pairs, nodes).where(_may_link(percent))
@@ -245,7 +250,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         found = _verified(stored(best, "pairs"), nodes, docs, words, percent, "hubs")
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links.select("a", "b"))
-    groups = stored(_open_groups(shared, labels).join(nodes, "node"), "open")
+    groups = stored(_open_groups(shared, labels, percent).join(nodes.select("node", "sketch", "half"), "node"), "open")
     sides = [groups.select("gram", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "component", "n", "sketch", "half"))) for s in "ab"]
     crossing = sides[0].join(sides[1], "gram").where((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & _may_link(percent))
     pairs = crossing.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_n").alias("na"), F.col("b_n").alias("nb")).distinct()
@@ -255,16 +260,36 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     named = nodes.select("node", "owner").join(labels, "node", "left").select("node", "owner", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("owner").alias("component_id"))
     ids = named.join(smallest, "component").select("node", "component_id")
-    return profile.select("doc_id", "node", F.col("n").alias("n_shingles")).join(ids, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return members.select("doc_id", "node", F.col("n").alias("n_shingles")).join(ids, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _open_groups(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows (gram, node, component) of the groups whose nodes are in several components."""
+def _meeting(rows: DataFrame, percent: int) -> DataFrame:
+    """Of rows (gram, node, n, component), those which their gram's group gives anyone to link with.
+
+    A row stays if a row of another component whose size allows a link stands
+    in its group. The nearest sizes of other components are enough to know:
+    along the order of sizes they are carried forward from row to row, once
+    upwards and once downwards.
+    """
+
+    def nearest(*order):
+        along = Window.partitionBy("gram").orderBy(*order)
+        other = F.when(F.lag("component").over(along) != F.col("component"), F.lag("n").over(along))
+        return along, other
+
+    for name, order in (("above", (F.desc("n"), F.desc("component"), F.desc("node"))), ("below", ("n", "component", "node"))):
+        along, other = nearest(*order)
+        rows = rows.withColumn("other", other).withColumn(name, F.last("other", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    fits = (100 * F.col("below") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("above"))
+    return rows.where(F.coalesce(fits, F.lit(False))).select("gram", "node", "n", "component")
+
+
+def _open_groups(shared: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Rows (gram, node, n, component) that may still link with another component of their group."""
     if labels is None:
         return shared.withColumn("component", F.col("node"))
     rows = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
-    return rows.join(several, "gram", "left_semi")
+    return _meeting(rows, percent)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
