@@ -219,11 +219,6 @@ def lexical_rerank_search(spark, sf_dir):
     return R.reranked(_fused(spark, sf_dir), _asked(spark, sf_dir), _chunks(spark, sf_dir))
 
 
-@query()
-def hybrid_search(spark, sf_dir):
-    return R.search(_asked(spark, sf_dir), _chunks(spark, sf_dir))
-
-
 @query(f"""WITH {_BM25}, e AS (SELECT query_id, doc_id AS chunk_id FROM b JOIN documents d ON contains(d.text, b.text)),
     w AS (SELECT query_id, count(*) AS n FROM e GROUP BY 1), h AS (SELECT query_id, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM sparse JOIN e USING (query_id, chunk_id) WHERE rank <= 3 GROUP BY 1)
     SELECT count(*) AS cases, count(first) AS hits, round(avg(CASE WHEN first IS NULL THEN 0 ELSE 1 END), 4) AS recall, round(avg(coalesce(1 / first, 0)), 4) AS mrr,
