@@ -117,7 +117,7 @@ def _profile(words: int, percent: int, frequent: np.ndarray):
                     common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                     first = np.concatenate([s[~common], s[common]])
                 prefixes.append(first[: _longest_prefix(len(s), percent)].view(np.int64))
-                bits = 1 << max(7, (3 * len(s) - 1).bit_length())
+                bits = 1 << max(7, (len(s) - 1).bit_length())
                 sketches.append(whole := _sketch(s, bits))
                 halves.append(whole[: len(whole) // 2] ^ whole[len(whole) // 2 :])
             longs = pa.list_(pa.int64())
@@ -157,7 +157,7 @@ def _may_link(percent: int):
 
     Each n-gram that only one of the sets has flips one bit of one sketch, so
     the sketches differ in at most as many bits as the sets do in n-grams. A
-    sketch's width is the next power of two over three bits an n-gram; sets
+    sketch's width is the next power of two over one bit an n-gram; sets
     near enough in size differ by one power at most, and folding a sketch
     gives that of half the width.
     """
