@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,36 +22,48 @@ FRAGMENTS = 8
 FREQUENT, MOST_FREQUENT = 50, 200_000
 #: Up to this many document ids are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-_MEMO = 500_000
+#: Words hashed at once: enough to pay for the calls, few enough for any task.
+_AT_ONCE = 100_000
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _MEMO:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
+def _rolled(h: np.ndarray, width: int) -> np.ndarray:
+    out = np.full(len(h) - width + 1, width, dtype=np.uint64)
+    for k in range(width):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[k : k + len(out)]
+    return mix64(out)
 
 
-_HASHES = _WordHashes()
+def _hashed(texts: list[list[bytes]], words: int) -> Iterator[np.ndarray]:
+    flat = np.empty(sum(map(len, texts)), object)
+    flat[:] = list(chain.from_iterable(texts))
+    h = pd.util.hash_array(flat, categorize=False) if len(flat) else np.empty(0, np.uint64)
+    whole, at = _rolled(h, words) if len(h) >= words else h[:0], 0
+    for tokens in texts:
+        n = len(tokens)
+        own = whole[at : at + n - words + 1] if n >= words else _rolled(h[at : at + n], n) if n else h[:0]
+        yield np.unique(own)
+        at += n
 
 
-def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
-    """The distinct shingles of a whole text as sorted 64-bit hashes.
+def shingle_sets(texts: Iterable[bytes | None], words: int = WORDS) -> Iterator[np.ndarray]:
+    """The distinct shingles of each whole text as sorted 64-bit hashes, text by text.
 
     Sorting by hash is the global order: it is the same for all documents and
     needs no statistics, and equal ranges of it hold equal shares of n-grams.
     """
-    tokens = (text or b"").lower().split()
-    n = len(tokens)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, tokens), dtype=np.uint64, count=n)
-    width = min(words, n)
-    out = np.full(n - width + 1, width, dtype=np.uint64)
-    for k in range(width):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)])
-    return np.unique(out)
+    held, size = [], 0
+    for text in texts:
+        held.append((text or b"").lower().split())
+        size += len(held[-1])
+        if size >= _AT_ONCE:
+            yield from _hashed(held, words)
+            held, size = [], 0
+    yield from _hashed(held, words)
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
+    return (x.as_py() for x in batch.column("text"))
 
 
 def _longest_prefix(n: int, percent: int) -> int:
@@ -67,9 +81,9 @@ def _tally(words: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for text in b.column("text"):
-                held.append(shingle_set(text.as_py(), words))
-                size += len(held[-1])
+            for s in shingle_sets(_texts(b), words):
+                held.append(s)
+                size += len(s)
                 if size >= 4_000_000:
                     yield counted(held)
                     held, size = [], 0
@@ -100,8 +114,7 @@ def _profile(words: int, percent: int, frequent: np.ndarray):
         seen: set[bytes] = set()  # a copy met again in this task needn't send its prefix again
         for b in batches:
             ids, nodes, sizes, prefixes, sketches, halves = [], [], [], [], [], []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                s = shingle_set(text.as_py(), words)
+            for doc_id, s in zip(b.column("doc_id").to_pylist(), shingle_sets(_texts(b), words)):
                 node = _digest(s)
                 ids.append(doc_id)
                 nodes.append(node)
@@ -137,8 +150,7 @@ def _segments(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, fragments, parts = [], [], []
-            for node, text in zip(b.column("node").to_pylist(), b.column("text")):
-                s = shingle_set(text.as_py(), words)
+            for node, s in zip(b.column("node").to_pylist(), shingle_sets(_texts(b), words)):
                 if _digest(s) != node:  # another row with this id
                     continue
                 cuts = np.searchsorted(s >> np.uint64(61), np.arange(FRAGMENTS + 1))
