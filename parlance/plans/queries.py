@@ -275,6 +275,20 @@ def hallucination_judge(spark, sf_dir):
     return rows.where("no_speech > 0.6").select("doc_id", verdict.alias("reason"))
 
 
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, doc_id % 11 / 10.0 AS n, doc_id % 7 / -5.0 AS p FROM documents),
+    f AS (SELECT doc_id, 'as it is' AS form, t, n, p FROM d UNION ALL SELECT doc_id, 'one word', repeat(coalesce(regexp_extract(t, '[A-Za-z]+'), '') || ' ', 4), n, p FROM d UNION ALL SELECT doc_id, 'boilerplate', '{T.BOILERPLATE[0]}', n, p FROM d),
+    b AS (SELECT *, lower(regexp_replace(t, '[^\\pL\\pN\\pM]', '', 'g')) AS bare, regexp_extract_all(lower(t), '[\\pL\\pN\\pM]+') AS w FROM f)
+    SELECT doc_id, form, CASE WHEN bare = '' THEN 'empty' WHEN n > 0.6 THEN 'no speech' WHEN p < -1.0 THEN 'low probability' WHEN len(w) >= 4 AND len(list_distinct(w)) = 1 THEN 'repeated word'
+        WHEN bare IN ({", ".join(f"'{x}'" for x in T.BOILERPLATE)}) AND (n > 0.2 OR p < -0.5) THEN 'boilerplate' END AS reason FROM b""")
+def hallucination_judge_all(spark, sf_dir):
+    """Every document, as it is, as its first word four times and as boilerplate, so that all verdicts are reached."""
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 11 / 10.0).alias("n"), (F.col("doc_id") % 7 / -5.0).alias("p"))
+    word = F.repeat(F.concat(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit(" ")), F.lit(4))
+    forms = F.array(*(F.struct(F.lit(form).alias("form"), text.alias("text")) for form, text in (("as it is", F.col("text")), ("one word", word), ("boilerplate", F.lit(T.BOILERPLATE[0])))))
+    rows = rows.select("doc_id", "n", "p", F.explode(forms).alias("f"))
+    return rows.select("doc_id", "f.form", T.hallucination_verdict(F.col("f.text"), F.col("n"), F.col("p")).alias("reason"))
+
+
 @query("""SELECT a.conv_id AS session_id, a.turn AS seq, CAST(levenshtein(lower(regexp_replace(a.text, '[^A-Za-z0-9]', '', 'g')), lower(regexp_replace(b.text, '[^A-Za-z0-9]', '', 'g'))) AS INTEGER) AS errors
     FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def wer_cer(spark, sf_dir):
