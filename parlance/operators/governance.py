@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.llm._shared import drop_stored, stored
+
 GENESIS = "0" * 64
 
 
@@ -45,14 +47,28 @@ def differences(current: DataFrame, recorded: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """All nodes reachable from each root (root, node), itself included: a recursive query."""
-    edges.createOrReplaceTempView("_closure_edges")
-    roots.createOrReplaceTempView("_closure_roots")
-    return edges.sparkSession.sql("""
-        WITH RECURSIVE reach(root, node, depth) AS (
-            SELECT node, node, 0 FROM _closure_roots
-            UNION ALL SELECT r.root, e.dst, r.depth + 1 FROM reach r JOIN _closure_edges e ON e.src = r.node WHERE r.depth < 32)
-        SELECT root, node, min(depth) AS depth FROM reach GROUP BY root, node""")
+    """All nodes reachable from each root (root, node), itself included at depth 0, with the least number of steps.
+
+    Each round goes one step from the nodes that the one before found, and ends
+    when no new pair appears, so depth has no bound and cycles end. A round's
+    rows are a table in the shared folder.
+    """
+    steps = edges.select("src", "dst").distinct()
+    frontier = reached = stored(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct(), "closure")
+    tables, depth = [reached], 0
+    while not frontier.isEmpty():
+        depth += 1
+        known = F.col("r.root").eqNullSafe(F.col("s.root")) & F.col("r.node").eqNullSafe(F.col("s.node"))
+        made = frontier.join(steps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(depth).alias("depth")).distinct()
+        frontier = stored(made.alias("s").join(reached.alias("r"), known, "left_anti"), "closure")
+        reached = reached.unionByName(frontier)
+        tables.append(frontier)
+        if len(tables) == 16:  # one table again, or the plan would grow with the depth
+            reached = stored(reached, "closure")
+            for done in tables[:-1]:
+                drop_stored(done)
+            tables = [reached, frontier]
+    return reached
 
 
 def gate(current: DataFrame, baseline: DataFrame) -> DataFrame:
