@@ -181,11 +181,14 @@ def sequence_delta(later: Column, earlier: Column) -> Column:
 
 
 def word_error(reference: Column, heard: Column) -> Column:
-    """Levenshtein distance over words: each distinct word becomes one character first."""
+    """Levenshtein distance over words: each distinct word becomes one character of its own first."""
     words = lambda t: F.split(normalized_utterance(F.regexp_replace(t, r"(?U)[^\w\s]", " ")), " ")
     a, b = words(reference), words(heard)
     known = F.array_distinct(F.concat(a, b))
-    coded = lambda w: F.array_join(F.transform(w, lambda x: F.char(F.array_position(known, x) % 200 + 32)), "")
+    # from U+0100 on, past the surrogates
+    point = lambda n: n + F.when(n < 0xD800 - 255, 255).otherwise(255 + 0x800)
+    one = lambda x: F.decode(F.unhex(F.lpad(F.hex(point(F.array_position(known, x))), 8, "0")), "UTF-32")
+    coded = lambda w: F.array_join(F.transform(w, one), "")
     return F.levenshtein(coded(a), coded(b))
 
 

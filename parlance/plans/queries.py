@@ -297,6 +297,14 @@ def wer_cer(spark, sf_dir):
     return rows.select("session_id", (F.col("seq") - 1).alias("seq"), T.character_error(bare(F.col("context")[0]["text"]), bare(F.col("context")[1]["text"])).alias("errors"))
 
 
+@query()
+def word_character_errors(spark, sf_dir):
+    """Word and character errors between neighbouring turns, in letters of all scripts."""
+    rows = A.with_context(_turns(spark, sf_dir), 2).where(F.size("context") == 2)
+    a, b = (F.col("context")[i]["text"] for i in (0, 1))
+    return rows.select("session_id", (F.col("seq") - 1).alias("seq"), T.word_error(a, b).alias("word_errors"), T.character_error(a, b).alias("character_errors"))
+
+
 @query("""SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS faults FROM events WHERE event_id % 97 = 0 GROUP BY 1, 2""")
 def hash_chain_verify(spark, sf_dir):
     """Chains per user and day, in which the bodies of some entries are altered after the fact."""
