@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm._shared import drop_stored, stored
+from parlance.storage import drop_stored, stored
 
 GENESIS = "0" * 64
 
