@@ -1,56 +1,19 @@
-"""Helpers that the training-data operators share: shared storage and hashing."""
+"""Helpers that the training-data operators share: hashing, and the library's shared storage by its names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.storage import drop_stored, fresh_path, shared_dir, stored
+
+__all__ = ["WS", "drop_stored", "fresh_path", "held_out_bucket", "mix64", "shared_dir", "stored"]
+
 #: Python's bytes.split() and bytes.lower() use exactly the separators
 #: [\x20\x09-\x0D] and exactly the letters A-Z.
 WS = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    A folder of this machine is taken only where that setting is missing, as
-    in local tests.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="parlance-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs only the rest of the current
-    stage, since every executor can read the written files.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a stored() table that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def held_out_bucket(doc_id, modulus: int):
     """crc32 of the id as text, modulo modulus (null ids count as empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

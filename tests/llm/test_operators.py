@@ -50,24 +50,66 @@ def lower(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
 
 
-def test_components_by_brute_force(spark, odd, empty):
-    base = " ".join(f"w{i}" for i in range(100))
-    rows = [(k, t, None, None, None, 0) for k, t in enumerate([base, base + " x", base.replace("w50", "y"), base.replace("w50", "y").replace("w20", "z"), "one two", "one two", "other " * 9, None, base.upper()])]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_components(spark.createDataFrame(rows, SCHEMA)).collect()}
-    sets = {}
-    for k, t, *_ in rows:
+def _near_copies(seed, families, most, length):
+    """Families of texts in which each differs from another by a few words, and texts that only share passages."""
+    rng, out = np.random.default_rng(seed), []
+    for f in range(families):
+        first = [f"f{f}w{i}" for i in range(length)]
+        family = [first]
+        for k in range(int(rng.integers(1, most))):
+            new = list(family[int(rng.integers(len(family)))])
+            for at in rng.integers(0, length, 2):
+                new[at] = f"f{f}k{k}a{at}"
+            family.append(new)
+        out += [" ".join(w) for w in family]
+    return out + [f"{out[0][:200]} other{k} " + " ".join(f"o{k}x{i}" for i in range(60)) for k in range(40)]
+
+
+def _brute_components(rows):
+    sets = []
+    for _, t, *_ in rows:
         w = WORDS.findall(lower(t or ""))
-        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    name = {k: k for k in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                    name[a] = name[b] = min(name[a], name[b])
-    assert got == {k: (len(sets[k]), name[k]) for k in sets}
-    odd_rows = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_components(odd).collect()]
-    assert len(odd_rows) == len(ODD) and (None, 2, 3) in odd_rows and (1, 0, 1) in odd_rows
-    assert ngram_components(empty).count() == 0
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    name, links = list(range(len(rows))), [0] * len(rows)
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if x and y and 100 * (o := len(x & y)) >= 80 * (len(x) + len(y) - o):
+                links[i] += 1
+                links[j] += 1
+                if name[i] != name[j]:
+                    old, new = name[i], name[j]
+                    name = [new if n == old else n for n in name]
+    least = {}
+    for (k, *_), n in zip(rows, name):
+        if k is not None:
+            least[n] = min(least.get(n, k), k)
+    return sorted(repr((rows[i][0], len(s), least.get(name[i]), links[i])) for i, s in enumerate(sets))
+
+
+@pytest.mark.parametrize("limits", [{}, {"small": 3, "group_rows": 7, "family_nodes": 5, "family_grams": 2000, "broadcast_ids": 0}])
+def test_components_and_links_by_brute_force(spark, odd, empty, limits):
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [base, base + " x", base.replace("w50", "y"), base.replace("w50", "y").replace("w20", "z"), "one two", "one two", "other " * 9, None, base.upper(), ""]
+    rows = [(k, t, None, None, None, 0) for k, t in enumerate([*rows, *_near_copies(1, 12, 40, 90), *_near_copies(2, 3, 30, 300)])]
+    rows += [(None, base, None, None, None, 0), (None, "no id here at all either", None, None, None, 0), (None, "no id here at all either", None, None, None, 0), (3, "an id again with another text", None, None, None, 0)]
+    got = ngram_components(spark.createDataFrame(rows, SCHEMA).repartition(5), **limits).collect()
+    assert sorted(repr(tuple(r)) for r in got) == _brute_components(rows)
+    assert sorted(repr(tuple(r)) for r in ngram_components(odd, **limits).collect()) == _brute_components(ODD)
+    assert ngram_components(empty, **limits).count() == 0
+
+
+def test_linked_pairs_in_many_fragments(monkeypatch):
+    from parlance.llm import ngram_join
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, 380, replace=False), rng.integers(0, 1 << 63, int(rng.integers(0, 60))).astype(np.uint64)]) for _ in range(30)]
+    want = np.array([[5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) for b in sets] for a in sets]) & ~np.eye(30, dtype=bool)
+    for cells in (4_000_000, 900):
+        monkeypatch.setattr(ngram_join, "_CELLS", cells)
+        assert (ngram_join.linked_pairs(sets, None, 80) == want).all() and (ngram_join.linked_pairs(sets[:9], sets[9:], 80) == want[:9, 9:]).all()
+    assert 0 < want.sum() < want.size
 
 
 def _check_packing(rows, docs):
