@@ -5,138 +5,202 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.llm._shared import stored
 
-#: Candidates and queries in a block, and how deep each round has read the sorted lists.
-CANDIDATES, QUERIES, DEPTHS = 16_384, 1024, (0.25, 0.5, 0.75)
-RESULT = "query_id long, vec_id long, score long"
+#: Components that a block of candidates holds, and queries in a block.
+CELLS, QUERIES = 2_000_000, 256
+#: Shares of the lists after which bounds are compared; reading ends with the first that leaves few enough candidates.
+DEPTHS = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4)
 
 
 class Lists:
     """A block's candidates as one list for each dimension, sorted by value.
 
-    A query reads a dimension's list from its top if its weight there is
-    positive, from its bottom if negative: contributions come in falling order.
+    A query reads a list from its top where its weight is positive and from its
+    bottom where it is negative, so contributions come in falling order. Nothing
+    but the lists is kept: a score is known only from what was read.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], vectors[order].astype(np.float32)
-        self.sorted = np.sort(self.x, axis=0)
-
-    def bounds(self, depth: float) -> tuple[np.ndarray, np.ndarray]:
-        """Values to put for entries read or not yet read: for upper and for lower bounds.
+        by_id = np.argsort(ids, kind="stable")
+        self.ids, x = ids[by_id], vectors[by_id].T
+        order = np.argsort(x, axis=1, kind="stable")
+        self.row, self.value = order.astype(np.int32), np.take_along_axis(x, order, axis=1)
+        self.largest = np.abs(self.value[:, [0, -1]].astype(object)).max(axis=1) if x.size else np.zeros(len(x), object)
+
+    def read(self, dims: np.ndarray, q: np.ndarray, start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(dimensions, rows, contributions) of the entries start to end of each list, in reading order."""
+        n = len(self.ids)
+        for own, cut in ((dims[q[dims] > 0], slice(n - end, n - start)), (dims[q[dims] < 0], slice(start, end))):
+            if len(own):
+                yield own, self.row[own, cut], q[own, None] * self.value[own, cut]
 
-        Columns: the dimensions read from the top, then from the bottom. An
-        entry not read yet is no better than the last one read in its list,
-        and no worse than the list's end.
-        """
+    def contribution(self, dims: np.ndarray, q: np.ndarray, at: int) -> np.ndarray:
+        """Contributions of the entry at a place of each list, in reading order."""
         n = len(self.ids)
-        k = min(n - 1, int(depth * n))
-        from_top, from_bottom = self.sorted[n - 1 - k], self.sorted[k]
-        upper = np.hstack([np.maximum(self.x, from_top), np.minimum(self.x, from_bottom)])
-        lower = np.hstack([np.where(self.x >= from_top, self.x, self.sorted[0]), np.where(self.x <= from_bottom, self.x, self.sorted[-1])])
-        return upper, lower
+        return q[dims] * self.value[dims, np.where(q[dims] > 0, n - 1 - at, at)]
+
+
+def _sums(rows: np.ndarray, parts: np.ndarray, n: int) -> np.ndarray:
+    if parts.dtype == np.float64:
+        return np.bincount(rows.ravel(), weights=parts.ravel(), minlength=n)
+    out = np.zeros(n, parts.dtype)
+    np.add.at(out, rows.ravel(), parts.ravel())
+    return out
 
 
-def search_block(lists: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, candidate ids, scores) of each query's k best in a block, ties to the smaller id.
+def search_block(lists: Lists, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(candidate ids, scores) of a query's k best in a block, ties to the smaller id.
 
-    Round by round the lists are read deeper. A candidate whose upper bound is
-    under the k-th best lower bound is out; when no more than k are left in
-    doubt for any query, or the last round is over, the rest are scored exactly.
-    All values are integers under 2^24, so the products are exact.
+    All lists are read in step. What was read of a candidate, and for its
+    other dimensions the last entry read, or the list's end, give its upper and
+    lower bound. Candidates whose upper bound is under the k-th best lower bound
+    are out; so are all that no list has shown yet once the sum of the last
+    entries is under it. When few are in doubt, the rest of the lists is read
+    for these alone, which completes their scores.
+
+    Sums are exact: in float64 while they stay under 2^53, else in 64-bit
+    integers, else in integers of any size; a score that is no 64-bit integer
+    is an error.
     """
-    q = queries.astype(np.float32)
-    signed = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
+    n, dims = len(lists.ids), np.flatnonzero(query)
+    most = sum(abs(int(a)) * int(b) for a, b in zip(query[dims], lists.largest[dims]))
+    kind = np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
+    q = query.astype(kind)
     need = k + 1  # the query itself may be among them
-    alive = np.ones((len(q), len(lists.ids)), dtype=bool)
-    for depth in DEPTHS:
-        if len(lists.ids) <= need:
-            break
-        upper, lower = lists.bounds(depth)
-        floor = np.partition(signed @ lower.T, -need, axis=1)[:, -need]
-        alive &= signed @ upper.T >= floor[:, None]
-        if alive.sum() <= 4 * need * len(q):
+    total, alive, done = np.zeros(n, kind), np.ones(n, bool), 0
+    unread = np.ones((n, len(query)), bool)
+    worst = np.zeros(len(query), kind)
+    worst[dims] = lists.contribution(dims, q, n - 1)
+    for depth in DEPTHS if n > 4 * need and len(dims) else ():
+        end = max(done + 1, int(depth * n))
+        for own, rows, parts in lists.read(dims, q, done, end):
+            total += _sums(rows, parts, n)
+            unread[rows, own[:, None]] = False
+        done = end
+        last = np.zeros(len(query), kind)
+        last[dims] = lists.contribution(dims, q, done - 1)
+        at = np.flatnonzero(alive)
+        left = unread[at].astype(kind)
+        lower, upper = total[at] + left @ worst, total[at] + left @ last
+        floor = np.partition(lower, -need)[-need] if len(at) > need else lower.min()
+        alive[at[upper < floor]] = False  # a row that no list has shown has the sum of the last entries
+        if alive.sum() <= 4 * need:
             break
-    out = []
-    for i in range(len(q)):
-        rows = np.flatnonzero(alive[i])
-        rows = rows[lists.ids[rows] != query_ids[i]]
-        score = (lists.x[rows] @ q[i]).astype(np.int64)
-        if len(rows) > k:
-            least = np.partition(score, -k)[-k]
-            rows, score = rows[score >= least], score[score >= least]
-        best = np.argsort(-score, kind="stable")[:k]  # rows stand by id
-        out.append((int(query_ids[i]), lists.ids[rows[best]], score[best]))
-    return out
+    for own, rows, parts in lists.read(dims, q, done, n):
+        wanted = alive[rows]
+        total += _sums(rows[wanted], parts[wanted], n)
+    at = np.flatnonzero(alive & (lists.ids != query_id))
+    score = total[at]
+    if kind is object and any(abs(s) >= 1 << 63 for s in score):
+        raise OverflowError(f"a score of vector {query_id} is no 64-bit integer")
+    best = at[np.lexsort((at, -score))[:k]] if kind is not object else np.array(sorted(at.tolist(), key=lambda i: (-total[i], i))[:k], np.int64)
+    return lists.ids[best], total[best].astype(np.int64)
+
+
+_BLOCK = "block long, ids binary, data binary"
 
 
-def _blocks():
-    """Rows (block, vec_id, v) of a group to one row of packed bytes."""
+def _packed(most_cells: int, most_rows: int):
+    """Rows (vec_id, v) to rows of packed bytes, of at most so many rows and about so many components each."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id", kind="stable")
-        return pd.DataFrame({"block": rows["block"].iloc[:1].to_numpy(), "ids": [rows["vec_id"].to_numpy().astype(np.int64).tobytes()], "data": [np.stack(rows["v"].to_numpy()).astype(np.int16).tobytes()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        ids, vectors, cells, count, width = [], [], 0, TaskContext.get().partitionId() << 32, None
+        for b in batches:
+            for vec_id, v in zip(b.column("vec_id").to_pylist(), b.column("v")):
+                v = v.values.to_numpy(zero_copy_only=False)
+                if len(v) != (width := len(v) if width is None else width):
+                    raise ValueError(f"vector {vec_id} has {len(v)} components, others have {width}")
+                ids.append(vec_id)
+                vectors.append(v)
+                cells += len(v)
+                if cells >= most_cells or len(ids) >= most_rows:
+                    yield closed(count, ids, vectors)
+                    ids, vectors, cells, count = [], [], 0, count + 1
+        if ids:
+            yield closed(count, ids, vectors)
+
+    def closed(block, ids, vectors):
+        return pa.record_batch([pa.array([block]), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([np.stack(vectors).astype(np.int64).tobytes()])], names=["block", "ids", "data"])
 
     return run
 
 
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row["ids"], np.int64)
+    return ids, np.frombuffer(row["data"], np.int64).reshape(len(ids), -1)
+
+
 def _search(k: int):
+    """Rows in the order of blocks, each block's candidates before its queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, lists = None, None
+        lists = None
         for b in batches:
-            for r in b.to_pylist():
-                ids = np.frombuffer(r["ids"], np.int64)
-                if last != r["block"]:
-                    last, lists = r["block"], Lists(ids, np.frombuffer(r["data"], np.int16).reshape(len(ids), -1))
-                query_ids = np.frombuffer(r["query_ids"], np.int64)
-                queries = np.frombuffer(r["query_data"], np.int16).reshape(len(query_ids), -1)
-                found = search_block(lists, query_ids, queries, k)
-                yield pa.record_batch(
-                    [pa.array(np.concatenate([np.full(len(s), q) for q, _, s in found])), pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))],
-                    names=["query_id", "vec_id", "score"],
-                )
+            for row in b.to_pylist():
+                ids, vectors = _unpacked(row)
+                if not row["asks"]:
+                    lists = Lists(ids, vectors)
+                    continue
+                if vectors.shape[1] != len(lists.row):
+                    raise ValueError("queries and candidates differ in their number of components")
+                found = [search_block(lists, i, q, k) for i, q in zip(ids.tolist(), vectors)]
+                query_ids = np.repeat(ids, [len(x) for x, _ in found])
+                yield pa.record_batch([pa.array(query_ids), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, candidates: int = CANDIDATES, per_block: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, cells: int = CELLS, per_block: int = QUERIES) -> DataFrame:
     """The k candidates with the largest integer inner products for each query, but for itself.
 
-    Both have vec_id and v (array<int>, equal lengths). Candidates and queries
-    are dealt by hash into blocks of bounded size; every block of queries meets
-    every block of candidates in one task, which returns its k best a query, and
-    these are merged by query. Ranks count from 1; ties go to the smaller vec_id.
-    Equal vectors and repeated ids each count as
-    candidates; of the rows of a query id the one with the least vector asks; empty tables give no rows; with
-    fewer than k others a query gets them all. Rows need non-null ids and
-    vectors (see `quantized`).
+    Both have vec_id and v (array<long>). Tasks pack the rows that they read
+    into blocks of about `cells` components, so a block is bounded whatever
+    ids repeat. Candidates are shuffled once; the queries, in blocks, go to
+    every block of candidates, where the lists are sorted once. A block
+    returns its k best a query, and these are merged by query.
+
+    Ranks count from 1; ties go to the smaller vec_id. Equal vectors and
+    repeated ids each count as candidates, except rows with the query's own
+    id; of the rows of a query id the one with the least vector asks. Empty
+    tables give no rows; with fewer than k others a query gets them all. Rows
+    need non-null ids and vectors (see `quantized`); vectors that differ in
+    their number of components are an error. Further columns don't matter.
     """
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_candidates = max(1, -(-vectors.count() // candidates))
-    n_queries = max(1, -(-queries.count() // per_block))
-    packed = "block long, ids binary, data binary"
-    blocks = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_candidates))).groupBy("block").applyInPandas(_blocks(), packed)
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_queries))).groupBy("block").applyInPandas(_blocks(), packed)
-    asked = stored(asked.select(F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data")), "queries")
-    sent = stored(blocks, "blocks").withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).withColumn("query_block", F.col("query_block").cast("long"))
-    pairs = sent.join(asked, "query_block").repartition(n_candidates * n_queries, "block", "query_block")
-    found = pairs.select("block", "ids", "data", "query_ids", "query_data").mapInArrow(_search(k), RESULT)
+    blocks = stored(vectors.select("vec_id", "v").mapInArrow(_packed(cells, 1 << 30), _BLOCK), "candidates")
+    asked = stored(queries.mapInArrow(_packed(cells, per_block), _BLOCK), "queries")
+    # one short row for each block: their dense numbers
+    numbered = blocks.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("number"))
+    n = blocks.count()
+    candidates = blocks.join(numbered, "block").select("number", F.lit(False).alias("asks"), "ids", "data")
+    each = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("number"), F.lit(True).alias("asks"), "ids", "data") if n else candidates.limit(0)
+    met = candidates.unionByName(each).repartition(max(1, n), "number").sortWithinPartitions("number", "asks")
+    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def quantized(rows: DataFrame, scale: int = 64) -> DataFrame:
-    """vec_id and floor(scale * x) of each component; rows with null ids, vectors, or non-finite components go."""
+    """vec_id and floor(scale * x) of each component as 64-bit integers.
+
+    Rows with a null id, a null vector, or null or non-finite components go.
+    A finite component whose multiple is no 64-bit integer is an error.
+    """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = rows.where("vec_id is not null and embedding is not null").where(~F.coalesce(bad, F.lit(False)))
-    return good.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v"))
+
+    def whole(x):
+        y = F.floor(x.cast("double") * scale)
+        return F.when(F.abs(x.cast("double") * scale) < float(1 << 63), y).otherwise(F.raise_error(F.lit("a component is no 64-bit integer")))
+
+    return good.select("vec_id", F.transform("embedding", whole).alias("v"))
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from parlance.llm.packing import op2_best_fit_packing, pack_documents, plan_patt
 from parlance.llm.pii import KINDS, find_pii, op3_pii
 from parlance.llm.quality import judge_quality, op5_quality_rules
 from parlance.llm.tokens import op6_token_counts, token_counts
-from parlance.llm.topk import quantized, top_k
+from parlance.llm.topk import Lists, quantized, search_block, top_k
 from parlance.llm.warc import read_warc, write_warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -135,6 +135,24 @@ def _check_packing(rows, docs):
     return len(places)
 
 
+def test_coder_equals_the_library():
+    import random
+
+    from parlance.llm.tokens import Coder
+
+    tok, coder, rng = Tokenizer.from_file(PATH), Coder(PATH), random.Random(7)
+    assert coder.fast is not None
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 7 == 0)]
+    texts = [f"a{chr(c)}{chr(c)}b 1{chr(c)}1 {chr(c)} .{chr(c)}." for c in points]
+    letters = "abcdefghijklmnopqrstuvwxyz" * 2 + "'''   \n\n\t.,;!?-_()<|>ETAOIN0123456789éß한글日本\u3000\u2009\u0301🎉\x00"
+    texts += ["".join(rng.choice(letters) for _ in range(rng.choice([3, 8, 30, 300]))) for _ in range(20_000)]
+    texts += ["", "<|endoftext|>", "x<|endoftext|> y <|endoftext|>", "<|endoftext", " " * 50_000 + "x", "\n" * 3000, "é" * 3000, "don't DON'T we'll", "word " * 30_000, " " * 2_000_000 + "x"]
+    for text, want in zip(texts, tok.encode_batch(texts, add_special_tokens=False)):
+        assert coder.ids(text) == np.array(want.ids, "<u4").tobytes(), text[:80]
+    coder.fast = None
+    assert all(coder.ids(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[-9:-1])
+
+
 def test_packing_round_trip(spark, small, texts, odd, empty):
     rows = op2_best_fit_packing(spark, small).collect()
     used = _check_packing(rows, texts)
@@ -170,17 +188,53 @@ def test_pii_base_by_brute_force(spark, small, texts, odd, empty):
     assert find_pii(empty, None, "doc_id").count() == 0
 
 
-def test_top_k_by_brute_force(spark):
-    rng = np.random.default_rng(1)
-    rows = [(k, [float(x) for x in np.round(rng.normal(0, 0.3, 8), 1)], 0) for k in range(300)] + [(300, None, 0), (301, [1.0] * 7 + [None], 0), (302, [float("nan")] * 8, 0)]
-    vectors = quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
-    got = {}
-    for r in top_k(vectors, vectors.where("vec_id % 20 = 0"), candidates=64, per_block=4).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    q = {k: np.floor(64 * np.array(v, np.float32).astype(np.float64)).astype(int) for k, v, _ in rows[:300]}
-    for k in range(0, 300, 20):
-        assert got[k] == sorted(((j, int(q[k] @ q[j])) for j in q if j != k), key=lambda x: (-x[1], x[0]))[:20]
-    assert len(got) == 15
+def _brute_top(rows, k=20):
+    """query -> (rank, vec_id, score), with Python's integers."""
+    q = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v, *_ in rows]
+    asks = {}
+    for i, v in q:
+        if i % 20 == 0:
+            asks[i] = min(asks.get(i, v), v)
+    best = {i: sorted(((-sum(a * b for a, b in zip(v, w)), j) for j, w in q if j != i))[:k] for i, v in asks.items()}
+    return sorted((i, r + 1, j, -s) for i, found in best.items() for r, (s, j) in enumerate(found))
+
+
+@pytest.mark.parametrize("count, dims, deviation", [(300, 8, 0.3), (400, 768, 10.0), (120, 16, 600.0), (90, 4, 1e9), (60, 3, 3e7), (30, 5, 1.0)])
+def test_top_k_by_brute_force(spark, count, dims, deviation):
+    rng = np.random.default_rng(count)
+    vectors = np.round(rng.normal(0, deviation, (count, dims)), 1).tolist()
+    vectors[3], vectors[7], vectors[5] = vectors[20 % count], vectors[20 % count], [0.0] * dims  # ties, and a query's copy
+    rows = [(k, v, 0) for k, v in enumerate(vectors)] + [(9, vectors[1], 0), (20, vectors[2], 0), (9, vectors[9], 0)]
+    odd_rows = [(1000, None, 0), (1001, [1.0] * (dims - 1) + [None], 0), (1002, [float("nan")] * dims, 0), (1020, [float("inf")] * dims, 0), (None, vectors[0], 0)]
+    table = quantized(spark.createDataFrame(rows + odd_rows, "vec_id long, embedding array<float>, score int").repartition(3))
+    for limits in ({}, {"cells": 50 * dims, "per_block": 4}):
+        got = top_k(table, table.where("vec_id % 20 = 0"), **limits).collect()
+        assert sorted(tuple(r) for r in got) == _brute_top(rows)
+
+
+def test_top_k_odd_tables(spark):
+    schema = "vec_id long, embedding array<float>, rank int"
+    none = quantized(spark.createDataFrame([], schema))
+    one = quantized(spark.createDataFrame([(0, [1.0, 2.0], 1)], schema))
+    assert top_k(none, none).count() == 0 and top_k(one, one).count() == 0 and top_k(none, one).count() == 0
+    uneven = quantized(spark.createDataFrame([(0, [1.0, 2.0], 1), (1, [1.0], 1)], schema).coalesce(1))
+    for bad in (lambda: top_k(uneven, uneven).collect(), lambda: quantized(spark.createDataFrame([(0, [3e38], 1)], schema)).collect()):
+        with pytest.raises(Exception, match="components|64-bit"):
+            bad()
+
+
+def test_top_k_stops_early():
+    rng = np.random.default_rng(5)
+    x = np.zeros((5000, 16), np.int64)
+    x[:, :2] = rng.integers(-1000, 1000, (5000, 2))
+    x[:, 2:] = rng.integers(-2, 3, (5000, 14))
+    lists, read = Lists(np.arange(5000), x), []
+    original = lists.read
+    lists.read = lambda dims, q, start, end: read.append((start, end)) or original(dims, q, start, end)
+    ids, score = search_block(lists, -1, x[0], 20)
+    want = sorted(range(5000), key=lambda i: (-int(x[i] @ x[0]), i))[:20]
+    assert ids.tolist() == want and score.tolist() == [int(x[i] @ x[0]) for i in want]
+    assert read[-2][1] < 5000 / 2  # bounds decided long before the lists' end
 
 
 def test_quality_base_by_brute_force(spark, small, texts, odd, empty):
