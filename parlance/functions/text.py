@@ -22,10 +22,22 @@ PII_PATTERNS = {
 }
 #: What recognisers invent in silence, without spaces and punctuation.
 BOILERPLATE = (
-    "감사합니다 고맙습니다 시청해주셔서감사합니다 오늘도시청해주셔서감사합니다 구독과좋아요부탁드립니다 "
-    "구독좋아요알림설정 다음영상에서만나요 다음시간에만나요 안녕히계세요 이상입니다 "
-    "thankyou thanksforwatching pleasesubscribe bye you"
-).split()
+    "감사합니다",
+    "고맙습니다",
+    "시청해주셔서감사합니다",
+    "오늘도시청해주셔서감사합니다",
+    "구독과좋아요부탁드립니다",
+    "구독좋아요알림설정",
+    "다음영상에서만나요",
+    "다음시간에만나요",
+    "안녕히계세요",
+    "이상입니다",
+    "thankyou",
+    "thanksforwatching",
+    "pleasesubscribe",
+    "bye",
+    "you",
+)
 REFUSAL = "답변불가"
 OVERPROMISE = ("반드시", "무조건", "100%", "절대적으로", "언제나 가능", "항상 가능")
 MAX_ANSWER_CHARS, MIN_COVERAGE, MIN_COVERAGE_TOKENS = 140, 0.35, 20
@@ -56,8 +68,10 @@ def tokens(text: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda i: F.substring(word, i, F.lit(2)))
         return F.concat(whole, F.when(word.rlike("[가-힣]") & (F.length(word) > 2), pairs).otherwise(F.expr(_NO_STRINGS)))
 
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[0-9A-Za-z가-힣]+"), F.lit(0))
-    return F.flatten(F.transform(words, terms))
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    words = F.regexp_extract_all(lower, F.lit("[0-9A-Za-z가-힣]+"), F.lit(0))
+    # without Hangul there are neither stop words nor pairs, and one pass of the pattern does
+    return F.when(lower.rlike("[가-힣]"), F.flatten(F.transform(words, terms))).otherwise(F.regexp_extract_all(lower, F.lit("[0-9A-Za-z]{2,}"), F.lit(0)))
 
 
 def masked(text: Column) -> Column:
@@ -109,7 +123,7 @@ def grounding_verdict(answer: Column, evidence: Column) -> Column:
         .when(answer.contains(REFUSAL), "refusal")
         .when(F.size(cited) == 0, "no citation")
         .when(F.exists(cited, lambda n: (n < 1) | (n > F.size(evidence))), "unknown citation")
-        .when(F.length(answer) > MAX_ANSWER_CHARS, "too long")
+        .when(F.length(strip(body)) > MAX_ANSWER_CHARS, "too long")
         .when(invented, "invented number")
         .when(promise, "over-promise")
         .when(coverage(body, F.array_join(used, " ")) < MIN_COVERAGE, "low coverage")
@@ -122,7 +136,7 @@ def hallucination_verdict(text: Column, no_speech: Column, avg_logprob: Column)
     bare = F.lower(F.regexp_replace(text, r"(?U)[\s\W_]+", ""))
     looks = bare.isin(*BOILERPLATE) & ((no_speech > 0.2) | (avg_logprob < -0.5))
     return (
-        F.when(bare == "", "empty")
+        F.when(strip(text) == "", "empty")
         .when(no_speech > 0.6, "no speech")
         .when(avg_logprob < -1.0, "low probability")
         .when((F.size(words) >= 4) & (F.size(F.array_distinct(words)) == 1), "repeated word")

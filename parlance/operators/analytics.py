@@ -6,8 +6,10 @@ are shuffled, and ordered work is done by windows per session.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import heapq
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,10 +112,10 @@ def talk_time(segments: DataFrame) -> DataFrame:
 
 def usage(calls: DataFrame) -> DataFrame:
     """Calls and tokens per month and tenant, with each month's total (tenant null); unnamed tenants as _unknown."""
-    named = calls.withColumn("tenant_id", F.when(F.coalesce("tenant_id", F.lit("")) == "", "_unknown").otherwise(F.col("tenant_id"))).withColumn("month", F.date_format("ts", "yyyy-MM"))
-    return named.groupBy("month", "tenant_id").agg(F.count("*").alias("calls"), F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion")).unionByName(
-        named.groupBy("month").agg(F.lit(None).cast("string").alias("tenant_id"), F.count("*").alias("calls"), F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"))
-    )
+    tenant, month = F.when(F.coalesce("tenant_id", F.lit("")) == "", "_unknown").otherwise(F.col("tenant_id")), F.date_format("ts", "yyyy-MM")
+    named = calls.select(month.alias("month"), tenant.alias("tenant_id"), "prompt", "completion")
+    sums = (F.count("*").alias("calls"), F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"))
+    return named.groupingSets([("month", "tenant_id"), ("month",)], "month", "tenant_id").agg(*sums)
 
 
 def feedback_stats(feedback: DataFrame) -> DataFrame:
@@ -122,16 +124,40 @@ def feedback_stats(feedback: DataFrame) -> DataFrame:
     return made.withColumn("rate", F.round(ratio(F.col("accepted"), F.col("total")), 4))
 
 
-def admission_replay(sessions: DataFrame, limit: int) -> DataFrame:
-    """Running number of open sessions at each opening, and whether a limit would refuse it.
+def admission_replay(sessions: DataFrame, limit: int, hours: int = 12) -> DataFrame:
+    """At each opening the number of sessions still active, and whether the limit refuses it.
 
-    sessions has tenant_id, session_id, opened and closed; null closed stays open.
+    sessions has tenant_id, session_id, opened and closed (null: until it
+    expires). Only admitted sessions count, until they close or are `hours`
+    old, so every decision needs those before it: a tenant's openings are one
+    sorted stream of one task, which holds no more than `limit` ends.
     """
-    opened = sessions.select("tenant_id", "session_id", F.col("opened").alias("opened_at"), F.lit(1).alias("step"))
-    closed = sessions.where("closed is not null").select("tenant_id", "session_id", F.col("closed").alias("opened_at"), F.lit(-1).alias("step"))
-    order = Window.partitionBy("tenant_id").orderBy("opened_at", "step", "session_id").rowsBetween(Window.unboundedPreceding, 0)
-    running = opened.unionByName(closed).withColumn("active", F.sum("step").over(order))
-    return running.where("step = 1").select("tenant_id", "session_id", "opened_at", "active", (F.col("active") > limit).alias("over"))
+    schema = sessions.schema
+    end = F.least(F.coalesce("closed", F.col("opened") + F.expr(f"interval {hours} hours")), F.col("opened") + F.expr(f"interval {hours} hours"))
+    rows = sessions.select("tenant_id", "session_id", F.col("opened").alias("opened_at"), F.unix_micros(F.col("opened").cast("timestamp")).alias("at"), F.unix_micros(end.cast("timestamp")).alias("end"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, ends = object(), []
+        for b in batches:
+            active, over = [], []
+            for tenant, at, end in zip(*(b.column(c).to_pylist() for c in ("tenant_id", "at", "end"))):
+                own, ends = tenant, ends if tenant == own else []
+                while ends and ends[0] <= at:
+                    heapq.heappop(ends)
+                active.append(len(ends))
+                over.append(len(ends) >= limit)
+                if not over[-1]:
+                    heapq.heappush(ends, end)
+            yield pa.record_batch([b.column("tenant_id"), b.column("session_id"), b.column("opened_at"), pa.array(active, pa.int64()), pa.array(over, pa.bool_())], names=["tenant_id", "session_id", "opened_at", "active", "over"])
+
+    kinds = ", ".join(f"{name} {schema[column].dataType.simpleString()}" for name, column in (("tenant_id", "tenant_id"), ("session_id", "session_id"), ("opened_at", "opened")))
+    return rows.repartition("tenant_id").sortWithinPartitions("tenant_id", "at", "session_id").mapInArrow(run, f"{kinds}, active long, over boolean")
+
+
+def active_sessions(sessions: DataFrame, now, hours: int = 12) -> DataFrame:
+    """Sessions per tenant that are neither closed nor `hours` old at a moment."""
+    live = (F.col("opened") <= now) & (F.col("opened") > now - F.expr(f"interval {hours} hours")) & (F.col("closed").isNull() | (F.col("closed") > now))
+    return sessions.groupBy("tenant_id").agg(F.count_if(live).alias("active"))
 
 
 def sessions_by_gap(events: DataFrame, seconds: int) -> DataFrame:

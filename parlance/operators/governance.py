@@ -2,40 +2,87 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.storage import drop_stored, stored
 
+# --- fixed values: results depend on them ---------------------------------------
 GENESIS = "0" * 64
+TOLERANCE, LATENCY_RATIO, LATENCY_FLOOR_MS = 0.0005, 2.0, 5.0
+QUALITY = ("recall_at_k", "mrr", "ndcg_at_k", "accuracy")
+LATENCY = ("mean_latency_ms", "p95_latency_ms")
+# -------------------------------------------------------------------------------
+
+
+def _entry(prev: str, seq_no: int, body: str) -> str:
+    return hashlib.sha256(f"{prev}|{seq_no}|{body}".encode()).hexdigest()
 
 
 def chained(records: DataFrame) -> DataFrame:
-    """Records (segment, seq_no, body) with prev_hash and entry_hash.
+    """Records (chain, seq_no, body) with prev_hash and entry_hash; null bodies count as empty.
 
-    The fold is sequential in a segment (as an audit log of one writer and day)
-    and starts at GENESIS; segments are independent and bounded.
+    A chain starts at GENESIS and runs on through all segments (days, files) of
+    its writer. Each hash needs the one before, so a chain is one sorted
+    stream of one task, of which only the last hash is held.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq_no", "body")))
-    start = F.struct(F.lit(GENESIS).alias("last"), F.expr("cast(array() as array<struct<seq_no:bigint,body:string,prev_hash:string,entry_hash:string>>)").alias("done"))
+    kind = records.schema["chain"].dataType.simpleString()
 
-    def step(acc, r):
-        entry = F.sha2(F.concat_ws("|", acc["last"], r["seq_no"].cast("string"), r["body"]), 256)
-        row = F.struct(r["seq_no"].cast("long").alias("seq_no"), r["body"].alias("body"), acc["last"].alias("prev_hash"), entry.alias("entry_hash"))
-        return F.struct(entry.alias("last"), F.concat(acc["done"], F.array(row)).alias("done"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = object(), GENESIS
+        for b in batches:
+            prev, entry = [], []
+            for chain, seq_no, body in zip(*(b.column(c).to_pylist() for c in ("chain", "seq_no", "body"))):
+                own, last = chain, last if chain == own else GENESIS
+                prev.append(last)
+                entry.append(last := _entry(last, seq_no, body))
+            yield pa.record_batch([*b.columns, pa.array(prev, pa.string()), pa.array(entry, pa.string())], names=["chain", "seq_no", "body", "prev_hash", "entry_hash"])
 
-    rows = records.groupBy("segment").agg(ordered.alias("r")).select("segment", F.explode(F.aggregate("r", start, step, lambda a: a["done"])).alias("e"))
-    return rows.select("segment", "e.*")
+    rows = records.select("chain", F.col("seq_no").cast("long").alias("seq_no"), F.coalesce("body", F.lit("")).alias("body"))
+    return rows.repartition("chain").sortWithinPartitions("chain", "seq_no", "body").mapInArrow(run, f"chain {kind}, seq_no long, body string, prev_hash string, entry_hash string")
 
 
 def chain_faults(records: DataFrame) -> DataFrame:
-    """Records that break their chain: a gap in numbers, a wrong predecessor, or a digest that doesn't fit."""
-    order = Window.partitionBy("segment").orderBy("seq_no")
-    expected = F.coalesce(F.lag("entry_hash").over(order), F.lit(GENESIS))
-    gap = F.coalesce(F.col("seq_no") - F.lag("seq_no").over(order), F.lit(1)) != 1
+    """Records that break their chain: a gap in numbers (or one used twice), a wrong predecessor, or a digest that doesn't fit.
+
+    Every record meets its predecessor by its number, so a long chain is
+    verified by as many tasks as there are. Numbers begin at 1, after GENESIS.
+    """
+    before = records.groupBy("chain", (F.col("seq_no") + 1).alias("seq_no")).agg(F.min("entry_hash").alias("expected"))
+    rows = records.withColumn("again", F.count("*").over(Window.partitionBy("chain", "seq_no")) > 1).join(before, ["chain", "seq_no"], "left")
+    first = F.col("seq_no") == 1
     digest = F.sha2(F.concat_ws("|", "prev_hash", F.col("seq_no").cast("string"), "body"), 256)
-    fault = F.when(gap, "gap").when(F.col("prev_hash") != expected, "predecessor").when(F.col("entry_hash") != digest, "digest")
-    return records.select("segment", "seq_no", fault.alias("fault")).where("fault is not null")
+    fault = (
+        F.when(F.col("again") | (~first & F.col("expected").isNull()), "gap")
+        .when(F.col("prev_hash") != F.when(first, F.lit(GENESIS)).otherwise(F.col("expected")), "predecessor")
+        .when(F.col("entry_hash") != digest, "digest")
+    )
+    return rows.select("chain", "seq_no", fault.alias("fault")).where("fault is not null")
+
+
+def chain_status(records: DataFrame) -> DataFrame:
+    """Per chain: records, whether it is intact, where and why it breaks first, and the last good hash."""
+    faults = chain_faults(records).groupBy("chain").agg(F.min(F.struct("seq_no", "fault")).alias("f"))
+    rows = records.join(faults, "chain", "left")
+    good = F.when(F.col("f").isNull() | (F.col("seq_no") < F.col("f.seq_no")), F.col("entry_hash"))
+    made = rows.groupBy("chain").agg(F.count("*").alias("total"), F.first("f").alias("f"), F.max_by(good, F.when(good.isNotNull(), F.col("seq_no"))).alias("head"))
+    return made.select("chain", "total", F.col("f").isNull().alias("intact"), F.col("f.seq_no").alias("broken_at"), F.col("f.fault").alias("reason"), F.coalesce("head", F.lit(GENESIS)).alias("head_hash"))
+
+
+def audit_query(records: DataFrame, k: int = 2000, since=None, until=None, **equal: str) -> DataFrame:
+    """The newest k records with all given values (empty ones don't count) that were recorded from since to until, both included."""
+    for column, value in equal.items():
+        if value:
+            records = records.where(F.col(column) == value)
+    if since is not None:
+        records = records.where(F.col("recorded_at") >= since)
+    if until is not None:
+        records = records.where(F.col("recorded_at") <= until)
+    return records.orderBy(F.desc("seq_no")).limit(min(k, 2000))
 
 
 def differences(current: DataFrame, recorded: DataFrame) -> DataFrame:
@@ -71,22 +118,45 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return reached
 
 
+def cycles(edges: DataFrame) -> DataFrame:
+    """Nodes that stand on a cycle, each with the least node of its cycle's component and its shortest way back to itself.
+
+    Edges from nodes that nothing enters, and to nodes that nothing leaves, go
+    round by round; what is left holds all cycles and is closed over.
+    """
+    rest = stored(edges.select("src", "dst").distinct(), "edges")
+    n = rest.count()
+    while n:
+        kept = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        smaller = stored(kept.select("src", "dst"), "edges")
+        drop_stored(rest)
+        rest, before, n = smaller, n, smaller.count()
+        if n == before:
+            break
+    reached = closure(rest, rest.select(F.col("src").alias("node")).distinct())
+    back = reached.select(F.col("root").alias("a"), F.col("node").alias("b")).join(reached.select(F.col("root").alias("b"), F.col("node").alias("a")), ["a", "b"])
+    component = back.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("cycle"))
+    steps = rest.join(reached, (F.col("dst") == F.col("root")) & (F.col("src") == F.col("node"))).groupBy(F.col("src").alias("node")).agg((F.min("depth") + 1).alias("steps"))
+    return steps.join(component, "node").select("node", "cycle", "steps")
+
+
 def gate(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Findings per (suite, metric) between two tables of values.
+    """Findings (suite, metric, finding) between two tables of values (suite, metric, value).
 
-    A removed suite or metric, fewer cases, a quality drop over 0.0005 or more
-    misroutes block; more known limitations, or latency over twice the baseline
-    and 5 ms more, warn.
+    A suite that is gone blocks, a new one is noted. A metric counts where both
+    sides have it: a quality drop over the tolerance, fewer cases and more
+    misroutes block; more known limitations, and a latency over both twice
+    the baseline and 5 ms, warn.
     """
     c, b = current.select("suite", "metric", F.col("value").alias("now")), baseline.select("suite", "metric", F.col("value").alias("was"))
     metric, now, was = F.col("metric"), F.col("now"), F.col("was")
-    latency = metric.contains("latency") | metric.contains("p95")
     finding = (
-        F.when(now.isNull(), "block: removed").when(was.isNull(), "note: added")
+        F.when(metric.isin(*QUALITY), F.when(now < was - TOLERANCE, "block: lower quality"))
         .when(metric == "total", F.when(now < was, "block: fewer cases"))
         .when(metric == "misroutes", F.when(now > was, "block: more misroutes"))
         .when(metric == "known_limitations", F.when(now > was, "warn: more limitations"))
-        .when(latency, F.when(now > F.greatest(2 * was, F.lit(5.0)), "warn: slower"))
-        .when(was - now > 0.0005, "block: lower quality")
+        .when(metric.isin(*LATENCY), F.when((was > 0) & (now > F.greatest(LATENCY_RATIO * was, F.lit(LATENCY_FLOOR_MS))), "warn: slower"))
     )
-    return c.join(b, ["suite", "metric"], "full").select("suite", "metric", finding.alias("finding")).where("finding is not null")
+    metrics = c.join(b, ["suite", "metric"]).select("suite", "metric", finding.alias("finding")).where("finding is not null")
+    suites = c.select("suite", F.lit(1).alias("c")).distinct().join(b.select("suite", F.lit(1).alias("b")).distinct(), "suite", "full").where("c is null or b is null")
+    return metrics.unionByName(suites.select("suite", F.lit("__suite__").alias("metric"), F.when(F.col("c").isNull(), "block: removed").otherwise("note: added").alias("finding")))

@@ -7,39 +7,65 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from parlance.functions.text import tokens
+from parlance.storage import stored
 
-# --- fixed values --------------------------------------------------------------
+# --- fixed values: results depend on them ---------------------------------------
 K1, B, RRF, CANDIDATES, TOP = 1.5, 0.75, 60, 10, 3
 DIMENSIONS, MAX_EXPANSIONS = 512, 6
 CHUNK_CHARS, OVERLAP_CHARS, LEAST_CHARS = 700, 120, 40
+#: What opens an article, and where a sentence ends.
+ARTICLE_HEAD = r"^\s*(제\s*\d+\s*조|\d+\.\s|-\.\s|[가-힣]\.\s)"
+SENTENCE_END = r"(?<=[.!?。])\s+"
 # -------------------------------------------------------------------------------
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, length) of chunks (chunk_id, text)."""
-    rows = chunks.select("chunk_id", tokens(F.col("text")).alias("terms")).select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+def indexed(chunks: DataFrame) -> DataFrame:
+    """The index of chunks (chunk_id, text, title if there is one): a stored table, read by every search.
+
+    Every text is cut into terms once. `terms` are those of the text, for
+    vectors and reranking; `sparse` those of title and text, for BM25, whose
+    number is `length`.
+    """
+    made = chunks.select("chunk_id", tokens(F.col("text")).alias("terms"), *([tokens(F.concat_ws("\n", "title", "text")).alias("sparse")] if "title" in chunks.columns else []))
+    made = made if "title" in chunks.columns else made.withColumn("sparse", F.col("terms"))
+    return stored(made.withColumn("length", F.size("sparse")), "index")
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term) of queries (query_id, text), each term once a query."""
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+
+
+def postings(index: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, term, tf, length) of an index, of some terms or of all.
+
+    Other terms' rows go before anything is grouped.
+    """
+    rows = index.select("chunk_id", "length", F.explode("sparse").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("chunk_id", "term", "length").agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, index: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """The k best chunks of each query (query_id, text): query_id, chunk_id, score (six decimals), rank.
 
-    Statistics come from all postings; only postings of terms that a query has
-    are joined and scored. Ties go to the smaller chunk_id.
+    Statistics come from all chunks with a term; only postings of terms that a
+    query has are grouped and joined. The one row of totals is broadcast by a
+    cross join. Ties go to the smaller chunk_id.
     """
-    lengths = index.groupBy("chunk_id").agg(F.first("length").alias("length"))
-    totals = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))  # one row
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    totals = index.where("length > 0").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    terms = query_terms(queries)
+    found = postings(index, terms)
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    hits = terms.join(df, "term").join(index, "term").join(F.broadcast(totals), F.lit(True))
+    hits = terms.join(df, "term").join(found, "term").crossJoin(F.broadcast(totals))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scored, "score", k)
 
@@ -49,18 +75,57 @@ def ranked(scored: DataFrame, score: str, k: int, *then: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, per_block: int = 256) -> DataFrame:
+def _packed(most_cells: int, most_rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        for b in batches:
+            width = max(1, len(b.column(1)[0]) if len(b) else 1)
+            step = max(1, min(most_rows, most_cells // width))
+            for at in range(0, len(b), step):
+                part = b.slice(at, step)
+                values = part.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+                yield pa.record_batch([pa.array([block]), pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([values.tobytes()], pa.binary())], names=["block", "ids", "data"])
+                block += 1
+
+    return run
+
+
+def _best(k: int, digits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = vectors = None
+        for b in batches:
+            for asks, ids, asked, data in zip(b.column("asks").to_pylist(), b.column("ids"), b.column("asked"), b.column("data").to_pylist()):
+                values = np.frombuffer(data).reshape(len(asked if asks else ids), -1)
+                if not asks:
+                    own, vectors = ids.values, values
+                    continue
+                score = values @ vectors.T
+                least = np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else -np.inf
+                q, c = np.nonzero(score >= least - 2 * 10.0**-digits)  # what rounds to the k-th score may still win by its id
+                yield pa.record_batch([asked.values.take(pa.array(q)), own.take(pa.array(c)), pa.array(score[q, c])], names=["query_id", "chunk_id", "raw"])
+
+    return run
+
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, per_block: int = 256, cells: int = 2_000_000) -> DataFrame:
     """The k best chunks of each query by inner product (six decimals).
 
-    queries has query_id and vector, vectors has chunk_id and vector. Queries
-    stand in blocks of about per_block; every vector meets every block once,
-    and the window keeps k rows a query before it shuffles.
+    queries has query_id and vector, vectors has chunk_id and vector, all of
+    one length. Tasks pack their rows into blocks; the queries' blocks go to
+    every block of vectors, which gives its k best a query by one product of
+    matrices.
     """
-    blocks = max(1, -(-queries.count() // per_block))
-    asked = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
-    met = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, "block")
-    dot = lambda q: F.aggregate(F.zip_with("vector", q["vector"], lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda t, x: t + x)
-    scored = met.select("chunk_id", F.explode(F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(dot(q), 6).alias("score")))).alias("s")).select("s.query_id", "chunk_id", "s.score")
+    q, c = queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
+    blocks = stored(vectors.select("chunk_id", "vector").mapInArrow(_packed(cells, 1 << 30), f"block long, ids array<{c}>, data binary"), "vectors")
+    asked = stored(queries.select("query_id", "vector").mapInArrow(_packed(cells, per_block), f"block long, ids array<{q}>, data binary"), "queries")
+    numbered = blocks.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("number"))  # one short row a block
+    n = blocks.count()
+    own = blocks.join(numbered, "block").select("number", F.lit(False).alias("asks"), "ids", F.lit(None).cast(f"array<{q}>").alias("asked"), "data")
+    each = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("number"), F.lit(True).alias("asks"), F.lit(None).cast(f"array<{c}>").alias("ids"), F.col("ids").alias("asked"), "data") if n else own.limit(0)
+    met = own.unionByName(each).repartition(max(1, n), "number").sortWithinPartitions("number", "asks")
+    scored = met.mapInArrow(_best(k, 6), f"query_id {q}, chunk_id {c}, raw double").select("query_id", "chunk_id", F.round("raw", 6).alias("score"))
     return ranked(scored, "score", k)
 
 
@@ -73,21 +138,35 @@ def fused(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.join(b, ["query_id", "chunk_id"], "full").select("query_id", "chunk_id", zero("dense_score"), zero("sparse_score"), F.round(term("r1") + term("r2"), 9).alias("rrf"))
 
 
-def reranked(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = TOP, min_score: float = 0.0) -> DataFrame:
-    """The k candidates that have the largest share of the query's terms; ties keep the fused order."""
+def reranked(candidates: DataFrame, queries: DataFrame, index: DataFrame, k: int = TOP, min_score: float = 0.0) -> DataFrame:
+    """The k candidates that have the largest share of the query's terms; ties keep the fused order.
+
+    Candidates that the index lacks are left out.
+    """
     q = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("q"))
-    rows = candidates.join(q, "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
-    share = F.when(F.size("q") > 0, F.size(F.array_intersect("q", tokens(F.col("text")))) / F.size("q")).otherwise(0.0)
+    rows = candidates.join(q, "query_id").join(index.select("chunk_id", "terms"), "chunk_id")
+    share = F.when(F.size("q") > 0, F.size(F.array_intersect("q", "terms")) / F.size("q")).otherwise(0.0)
     kept = rows.select("query_id", "chunk_id", "rrf", F.round(share, 6).alias("score")).where(F.col("score") >= min_score)
     return ranked(kept, "score", k, F.desc("rrf"))
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int = TOP, candidates: int = CANDIDATES, min_score: float = 0.0) -> DataFrame:
-    """Hybrid search: hashed vectors and BM25 to `candidates` each, fused, reranked, the k best kept."""
-    vectors = chunks.select("chunk_id", hashed_vector("text").alias("vector"))
-    asked = queries.select("query_id", hashed_vector("text").alias("vector"))
-    both = fused(dense(asked, vectors, candidates), bm25(queries, postings(chunks), candidates))
-    return reranked(both, queries, chunks, k, min_score)
+def search(queries: DataFrame, index: DataFrame, k: int = TOP, candidates: int = CANDIDATES, min_score: float = 0.0, lexicon: list[tuple[str, tuple[str, ...]]] | None = None) -> DataFrame:
+    """Hybrid search: hashed vectors and BM25 to `candidates` each, fused, reranked, the k best kept.
+
+    Queries are expanded first where a lexicon is given, and asked so of all parts.
+    """
+    if lexicon:
+        queries = queries.select("query_id", expanded(F.col("text"), lexicon).alias("text"))
+    vectors = hashed_vectors(index.select("chunk_id", "terms"))
+    asked = hashed_vectors(queries.select("query_id", tokens(F.col("text")).alias("terms")))
+    both = fused(dense(asked, vectors, candidates), bm25(queries, index, candidates))
+    return reranked(both, queries, index, k, min_score)
+
+
+def found_documents(results: DataFrame) -> DataFrame:
+    """query_id and the distinct documents of its ranked chunks (query_id, rank, doc_id), in order of their first chunk."""
+    first = results.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
+    return first.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("doc_ids"))
 
 
 def expanded(query: Column, lexicon: list[tuple[str, tuple[str, ...]]], most: int = MAX_EXPANSIONS) -> Column:
@@ -100,70 +179,116 @@ def expanded(query: Column, lexicon: list[tuple[str, tuple[str, ...]]], most: in
     return F.when(F.size(added) > 0, F.concat_ws(" ", query, F.array_join(added, " "))).otherwise(query)
 
 
-def hashed_vector(text: str) -> Column:
-    """512 signed hash counts of a text's terms, as a unit vector."""
-    return _hashed(tokens(F.col(text)))
+def hashed_vectors(rows: DataFrame) -> DataFrame:
+    """An id and terms to the id and `vector`: 512 signed hash counts of the terms, as a unit vector.
+
+    A plan node of its own, since the optimizer may move a scalar Python
+    function into a lambda function, where it can't run.
+    """
+    key = rows.columns[0]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.zeros((len(b), DIMENSIONS))
+            for i, words in enumerate(b.column("terms").to_pylist()):
+                for word in words or ():
+                    # fixed: bytes 0 to 3 give the place, the fifth's lowest bit the sign
+                    h = hashlib.blake2b(word.encode(), digest_size=8).digest()
+                    out[i, int.from_bytes(h[:4], "big") % DIMENSIONS] += 1.0 if h[4] & 1 else -1.0
+            norm = np.linalg.norm(out, axis=1, keepdims=True)
+            out /= np.where(norm == 0, 1, norm)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, DIMENSIONS, dtype=np.int32)), pa.array(out.ravel()))
+            yield pa.record_batch([b.column(key), vectors], names=[key, "vector"])
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _hashed(terms: pd.Series) -> pd.Series:
-    def vector(words) -> np.ndarray:
-        v = np.zeros(DIMENSIONS)
-        for word in words if words is not None else ():
-            h = hashlib.blake2b(word.encode(), digest_size=8).digest()
-            v[int.from_bytes(h[:4], "big") % DIMENSIONS] += 1.0 if h[4] & 1 else -1.0
-        return v / (np.linalg.norm(v) or 1.0)
+    return rows.select(key, "terms").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, vector array<double>")
 
-    return terms.map(vector)
 
+_HEAD, _SENTENCE = re.compile(ARTICLE_HEAD), re.compile(SENTENCE_END)
 
-_ARTICLE = re.compile(r"^\s*제\s*\d+\s*조")
-_SENTENCE = re.compile(r"(?<=[.!?。])\s+")
+
+def _units(text: str, size: int) -> Iterator[str]:
+    """Paragraphs; of long ones runs of sentences; of long sentences cuts."""
+    for paragraph in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
+        if len(paragraph) <= size:
+            yield paragraph
+            continue
+        run = ""
+        for sentence in filter(None, map(str.strip, _SENTENCE.split(paragraph))):
+            if len(run) + len(sentence) < size:
+                run = f"{run} {sentence}" if run else sentence
+                continue
+            if run:
+                yield run
+            whole = (len(sentence) - 1) // size * size
+            yield from (sentence[at : at + size] for at in range(0, whole, size))
+            run = sentence[whole:]
+        if run:
+            yield run
 
 
 def split_text(text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, least: int = LEAST_CHARS) -> list[str]:
     """Paragraphs packed into pieces of at most `size` characters.
 
-    Long paragraphs fall into sentences, those into hard cuts. An article's
-    heading opens a piece; other pieces start with the end of the one before,
-    if that fits; pieces under `least` join the one before.
+    An article's heading opens a piece. Other pieces start with the end of the
+    one before, cut to the room that is left. Pieces under `least` join the
+    one before at last, whatever its length.
     """
-    units: list[tuple[bool, str]] = []
-    for paragraph in filter(None, (p.strip() for p in re.split(r"\n\s*\n", text))):
-        head = bool(_ARTICLE.match(paragraph))
-        for sentence in [paragraph] if len(paragraph) <= size else _SENTENCE.split(paragraph):
-            for at in range(0, len(sentence), size):
-                units.append((head, sentence[at : at + size]))
-                head = False
-    pieces: list[tuple[bool, str]] = []
-    for head, unit in units:
-        if pieces and not head and len(pieces[-1][1]) + 1 + len(unit) <= size:
-            pieces[-1] = (pieces[-1][0], f"{pieces[-1][1]}\n{unit}")
+    pieces: list[str] = []
+    for unit in _units(text, size):
+        if not pieces or _HEAD.match(unit):
+            pieces.append(unit)
+        elif len(pieces[-1]) + len(unit) < size:
+            pieces[-1] += f"\n{unit}"
         else:
-            pieces.append((head, unit))
+            room = min(overlap, size - len(unit) - 1)
+            tail = pieces[-1][-room:].strip() if room > 0 else ""
+            pieces.append(f"{tail}\n{unit}" if tail else unit)
     out: list[str] = []
-    for k, (head, piece) in enumerate(pieces):
-        if out and len(piece) < least and not head and len(out[-1]) + 1 + len(piece) <= size:
-            out[-1] = f"{out[-1]}\n{piece}"
-            continue
-        tail = pieces[k - 1][1][-overlap:] if k and not head else ""
-        out.append(f"{tail}\n{piece}" if tail and len(tail) + 1 + len(piece) <= size else piece)
+    for piece in pieces:
+        if out and len(piece) < least:
+            out[-1] += f"\n{piece}"
+        else:
+            out.append(piece)
     return out
 
 
-def chunked(documents: DataFrame) -> DataFrame:
-    """(chunk_id, doc_id, ordinal, text) of documents (doc_id, text)."""
+def chunked(documents: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, least: int = LEAST_CHARS) -> DataFrame:
+    """(chunk_id, doc_id, ordinal, text) of documents (doc_id, text); null texts have no chunks."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                pieces = split_text(text or "")
-                yield pd.DataFrame({"doc_id": [doc_id] * len(pieces), "ordinal": range(len(pieces)), "text": pieces})
+            pieces = [split_text(t or "", size, overlap, least) for t in b.column("text").to_pylist()]
+            rows = [(d, k, piece) for d, own in zip(b.column("doc_id").to_pylist(), pieces) for k, piece in enumerate(own)]
+            ids, ordinals, texts = zip(*rows) if rows else ((), (), ())
+            yield pa.record_batch([pa.array(ids, b.column("doc_id").type), pa.array(ordinals, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "ordinal", "text"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ordinal int, text string")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    rows = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ordinal int, text string")
     return rows.select(F.concat_ws(":", "doc_id", "ordinal").alias("chunk_id"), "doc_id", "ordinal", "text")
 
 
+def ingested(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """State of each document after chunking: ready with its number of chunks, or failed without any."""
+    n = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return documents.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.when(F.col("n") > 0, "ready").otherwise("failed").alias("state"), F.coalesce("n", F.lit(0)).alias("chunk_count"))
+
+
+def upserted(table: DataFrame, fresh: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """The table with the fresh rows, which replace those of the same key."""
+    return table.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
+
+
+def without_documents(table: DataFrame, removed: DataFrame) -> DataFrame:
+    """The rows whose document isn't among the removed ones (doc_id): for chunks, vectors and index alike."""
+    return table.join(removed.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def fetched(ids: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks of requests (request_id, chunk_ids), in the order asked; ids that no chunk has are left out."""
+    asked = ids.select("request_id", F.posexplode("chunk_ids").alias("place", "chunk_id"))
+    return asked.join(chunks, "chunk_id").select("request_id", "place", *chunks.columns)
+
+
 def retrieval_metrics(results: DataFrame, expected: DataFrame, k: int = TOP) -> DataFrame:
     """Recall, reciprocal rank and nDCG at k over all expected queries (four decimals).
 

@@ -129,13 +129,24 @@ def feedback_stats(spark, sf_dir):
     return A.feedback_stats(rows.select(F.col("source").alias("tenant_id"), (F.col("quality") == 1).alias("accepted")))
 
 
-@query("""WITH s AS (SELECT event_type AS tenant_id, event_id AS session_id, ts AS opened_at, ts + INTERVAL 12 HOUR AS closed FROM events),
-    e AS (SELECT tenant_id, session_id, opened_at, 1 AS step FROM s UNION ALL SELECT tenant_id, session_id, closed, -1 FROM s),
-    r AS (SELECT *, CAST(sum(step) OVER (PARTITION BY tenant_id ORDER BY opened_at, step, session_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS active FROM e)
-    SELECT tenant_id, session_id, opened_at, active, active > 40 AS over FROM r WHERE step = 1""")
+@query("""WITH RECURSIVE s AS (SELECT event_type AS tenant_id, event_id AS session_id, ts, least(ts + INTERVAL 12 HOUR, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 HOUR ELSE ts + INTERVAL 12 HOUR END) AS ends,
+        row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT DISTINCT tenant_id, 0::BIGINT AS n, NULL::BIGINT AS session_id, NULL::TIMESTAMP AS opened_at, 0::BIGINT AS active, false AS over, []::TIMESTAMP[] AS ends FROM s
+        UNION ALL SELECT tenant_id, n, session_id, ts, len(a)::BIGINT, len(a) >= 4, CASE WHEN len(a) >= 4 THEN a ELSE list_append(a, e) END
+        FROM (SELECT s.tenant_id, s.n, s.session_id, s.ts, s.ends AS e, list_filter(r.ends, lambda x: x > s.ts) AS a FROM r JOIN s ON s.tenant_id = r.tenant_id AND s.n = r.n + 1))
+    SELECT tenant_id, session_id, opened_at, active, over FROM r WHERE n > 0""")
 def active_sessions_replay(spark, sf_dir):
-    rows = _events(spark, sf_dir).select("tenant_id", F.col("event_id").alias("session_id"), F.col("ts").alias("opened"), (F.col("ts") + F.expr("interval 12 hours")).alias("closed"))
-    return A.admission_replay(rows, 40)
+    """Each event opens a session; a third of them close after an hour, the others expire."""
+    closed = F.when(F.col("event_id") % 3 == 0, F.col("ts") + F.expr("interval 1 hour"))
+    rows = _events(spark, sf_dir).select("tenant_id", F.col("event_id").alias("session_id"), F.col("ts").alias("opened"), closed.alias("closed"))
+    return A.admission_replay(rows, 4)
+
+
+@query("""SELECT event_type AS tenant_id, count(*) FILTER (ts <= TIMESTAMP '2024-01-10' AND ts > TIMESTAMP '2024-01-09 12:00:00' AND (event_id % 3 <> 0 OR ts + INTERVAL 1 HOUR > TIMESTAMP '2024-01-10')) AS active FROM events GROUP BY 1""")
+def active_sessions_now(spark, sf_dir):
+    closed = F.when(F.col("event_id") % 3 == 0, F.col("ts") + F.expr("interval 1 hour"))
+    rows = _events(spark, sf_dir).select("tenant_id", F.col("event_id").alias("session_id"), F.col("ts").alias("opened"), closed.alias("closed"))
+    return A.active_sessions(rows, F.to_timestamp_ntz(F.lit("2024-01-10 00:00:00")))
 
 
 @query("""WITH o AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 43200000000 THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -179,7 +190,7 @@ def _asked(spark, sf_dir):
 
 
 def _sparse(spark, sf_dir):
-    return R.bm25(_asked(spark, sf_dir), R.postings(_chunks(spark, sf_dir)))
+    return R.bm25(_asked(spark, sf_dir), R.indexed(_chunks(spark, sf_dir)))
 
 
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, rank, round(score, 4) AS score FROM sparse")
@@ -201,22 +212,24 @@ _RRF = """fused AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesc
     FROM lexical a FULL JOIN sparse b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)"""
 
 
-def _fused(spark, sf_dir):
-    terms = _asked(spark, sf_dir).select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    shared = terms.join(R.postings(_chunks(spark, sf_dir)), "term").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
-    return R.fused(R.ranked(shared, "score", R.CANDIDATES), _sparse(spark, sf_dir))
+def _fused(spark, sf_dir, index):
+    asked = _asked(spark, sf_dir)
+    terms = R.query_terms(asked)
+    shared = terms.join(R.postings(index, terms), "term").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
+    return R.fused(R.ranked(shared, "score", R.CANDIDATES), R.bm25(asked, index))
 
 
 @query(f"WITH {_BM25}, {_TF}, {_RRF} SELECT query_id, chunk_id, rrf FROM fused")
 def rrf_fuse(spark, sf_dir):
-    return _fused(spark, sf_dir).select("query_id", "chunk_id", "rrf")
+    return _fused(spark, sf_dir, R.indexed(_chunks(spark, sf_dir))).select("query_id", "chunk_id", "rrf")
 
 
 @query(f"""WITH {_BM25}, {_TF}, {_RRF}, dt AS (SELECT doc_id AS chunk_id, list_distinct({_TERMS}) AS d FROM documents), qt AS (SELECT query_id, list_distinct({_TERMS}) AS q FROM b),
     rr AS (SELECT query_id, chunk_id, rrf, round(len(list_intersect(q, d)) / len(q), 6) AS score FROM fused JOIN dt USING (chunk_id) JOIN qt USING (query_id))
     SELECT query_id, chunk_id, rrf, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rrf DESC, chunk_id) AS INTEGER) AS rank FROM rr) WHERE rank <= 3""")
 def lexical_rerank_search(spark, sf_dir):
-    return R.reranked(_fused(spark, sf_dir), _asked(spark, sf_dir), _chunks(spark, sf_dir))
+    index = R.indexed(_chunks(spark, sf_dir))
+    return R.reranked(_fused(spark, sf_dir, index), _asked(spark, sf_dir), index)
 
 
 @query(f"""WITH {_BM25}, e AS (SELECT query_id, doc_id AS chunk_id FROM b JOIN documents d ON contains(d.text, b.text)),
@@ -224,21 +237,43 @@ def lexical_rerank_search(spark, sf_dir):
     SELECT count(*) AS cases, count(first) AS hits, round(avg(CASE WHEN first IS NULL THEN 0 ELSE 1 END), 4) AS recall, round(avg(coalesce(1 / first, 0)), 4) AS mrr,
     round(avg(coalesce(dcg / list_sum(list_transform(range(1, least(n, 3) + 1), lambda i: 1 / log2(i + 1))), 0)), 4) AS ndcg FROM w LEFT JOIN h USING (query_id)""")
 def retrieval_metrics(spark, sf_dir):
-    """A query's expected documents are those that hold its text; candidates for that share its rarest term."""
+    """A query's expected documents are those that hold its text.
+
+    Candidates share the query's rarest term but for its first and last, which
+    may be part of a longer word there; queries without others are held against
+    every document.
+    """
     asked, chunks = _asked(spark, sf_dir), _chunks(spark, sf_dir)
-    index = R.postings(chunks)
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    terms = asked.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    # a term at a text's edge may be part of a longer word there, so inner ones are taken
-    inner = asked.select("query_id", F.explode(F.slice(T.tokens(F.col("text")), 2, F.greatest(F.lit(0), F.size(T.tokens(F.col("text"))) - 2))).alias("term"))
-    rare = inner.join(terms, ["query_id", "term"], "left_semi").join(df, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    found = rare.join(index.select("term", "chunk_id"), "term").join(asked.withColumnRenamed("text", "query"), "query_id").join(chunks, "chunk_id").where("contains(text, query)")
-    return R.retrieval_metrics(_sparse(spark, sf_dir), found.select("query_id", "chunk_id"))
+    index, terms = R.indexed(chunks), R.query_terms(asked)
+    found = R.postings(index, terms)
+    every = asked.select("query_id", "text", T.tokens(F.col("text")).alias("t"))
+    inner = every.where("size(t) > 2").select("query_id", F.explode(F.slice("t", 2, F.size("t") - 2)).alias("term")).distinct()
+    rare = inner.join(found.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    near = rare.join(found.select("term", "chunk_id"), "term").join(asked.withColumnRenamed("text", "query"), "query_id").join(chunks, "chunk_id").where("contains(text, query)")
+    short = every.where("size(t) <= 2").select("query_id", F.col("text").alias("query")).join(chunks, F.expr("contains(text, query)"))
+    expected = near.select("query_id", "chunk_id").unionByName(short.select("query_id", "chunk_id"))
+    return R.retrieval_metrics(R.bm25(asked, index), expected)
 
 
 @query()
 def hashing_embed(spark, sf_dir):
-    return _chunks(spark, sf_dir).select("chunk_id", R.hashed_vector("text").alias("vector"))
+    return R.hashed_vectors(_chunks(spark, sf_dir).select("chunk_id", T.tokens(F.col("text")).alias("terms")))
+
+
+_LEXICON = [("price", ("fee", "cost")), ("date", ("day",)), ("a", ("the",))]
+
+
+@query()
+def hybrid_search(spark, sf_dir):
+    """Every benchmark text as a query over all documents: vectors and BM25, fused and reranked."""
+    return R.search(_asked(spark, sf_dir), R.indexed(_chunks(spark, sf_dir)))
+
+
+@query("""SELECT item_id AS query_id, text || CASE WHEN len(l) = 0 THEN '' ELSE ' ' || array_to_string(l, ' ') END AS expanded FROM
+    (SELECT *, list_concat(CASE WHEN contains(text, 'price') THEN list_filter(['fee', 'cost'], lambda x: NOT contains(text, x)) ELSE [] END,
+        CASE WHEN contains(text, 'date') AND NOT contains(text, 'day') THEN ['day'] ELSE [] END, CASE WHEN contains(text, 'a') AND NOT contains(text, 'the') THEN ['the'] ELSE [] END) AS l FROM benchmark)""")
+def query_expansion(spark, sf_dir):
+    return _asked(spark, sf_dir).select("query_id", R.expanded(F.col("text"), _LEXICON).alias("expanded"))
 
 
 @query()
@@ -276,15 +311,16 @@ def hallucination_judge(spark, sf_dir):
 
 
 @query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, doc_id % 11 / 10.0 AS n, doc_id % 7 / -5.0 AS p FROM documents),
-    f AS (SELECT doc_id, 'as it is' AS form, t, n, p FROM d UNION ALL SELECT doc_id, 'one word', repeat(coalesce(regexp_extract(t, '[A-Za-z]+'), '') || ' ', 4), n, p FROM d UNION ALL SELECT doc_id, 'boilerplate', '{T.BOILERPLATE[0]}', n, p FROM d),
+    f AS (SELECT doc_id, 'as it is' AS form, t, n, p FROM d UNION ALL SELECT doc_id, 'one word', repeat(coalesce(regexp_extract(t, '[A-Za-z]+'), '') || ' ', 4), n, p FROM d UNION ALL SELECT doc_id, 'boilerplate', '{T.BOILERPLATE[0]}', n, p FROM d
+        UNION ALL SELECT doc_id, 'marks', '...', n, p FROM d UNION ALL SELECT doc_id, 'blank', chr(10) || ' ', n, p FROM d),
     b AS (SELECT *, lower(regexp_replace(t, '[^\\pL\\pN\\pM]', '', 'g')) AS bare, regexp_extract_all(lower(t), '[\\pL\\pN\\pM]+') AS w FROM f)
-    SELECT doc_id, form, CASE WHEN bare = '' THEN 'empty' WHEN n > 0.6 THEN 'no speech' WHEN p < -1.0 THEN 'low probability' WHEN len(w) >= 4 AND len(list_distinct(w)) = 1 THEN 'repeated word'
+    SELECT doc_id, form, CASE WHEN regexp_replace(t, '[\\s\\pZ]', '', 'g') = '' THEN 'empty' WHEN n > 0.6 THEN 'no speech' WHEN p < -1.0 THEN 'low probability' WHEN len(w) >= 4 AND len(list_distinct(w)) = 1 THEN 'repeated word'
         WHEN bare IN ({", ".join(f"'{x}'" for x in T.BOILERPLATE)}) AND (n > 0.2 OR p < -0.5) THEN 'boilerplate' END AS reason FROM b""")
 def hallucination_judge_all(spark, sf_dir):
-    """Every document, as it is, as its first word four times and as boilerplate, so that all verdicts are reached."""
+    """Every document, as it is, as its first word four times, as boilerplate, as marks and as blanks, so that all verdicts are reached."""
     rows = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 11 / 10.0).alias("n"), (F.col("doc_id") % 7 / -5.0).alias("p"))
     word = F.repeat(F.concat(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit(" ")), F.lit(4))
-    forms = F.array(*(F.struct(F.lit(form).alias("form"), text.alias("text")) for form, text in (("as it is", F.col("text")), ("one word", word), ("boilerplate", F.lit(T.BOILERPLATE[0])))))
+    forms = F.array(*(F.struct(F.lit(form).alias("form"), text.alias("text")) for form, text in (("as it is", F.col("text")), ("one word", word), ("boilerplate", F.lit(T.BOILERPLATE[0])), ("marks", F.lit("...")), ("blank", F.lit("\n ")))))
     rows = rows.select("doc_id", "n", "p", F.explode(forms).alias("f"))
     return rows.select("doc_id", "f.form", T.hallucination_verdict(F.col("f.text"), F.col("n"), F.col("p")).alias("reason"))
 
@@ -305,15 +341,37 @@ def word_character_errors(spark, sf_dir):
     return rows.select("session_id", (F.col("seq") - 1).alias("seq"), T.word_error(a, b).alias("word_errors"), T.character_error(a, b).alias("character_errors"))
 
 
-@query("""SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS faults FROM events WHERE event_id % 97 = 0 GROUP BY 1, 2""")
+def _tampered(spark, sf_dir):
+    """A chain for each type of event. Then some bodies and predecessors are altered, and some records removed."""
+    order = F.row_number().over(A.Window.partitionBy("event_type").orderBy("event_id"))
+    rows = _read(spark, sf_dir, "events").select(F.col("event_type").alias("chain"), order.cast("long").alias("seq_no"), F.concat_ws(",", "event_id", "props").alias("body"))
+    event = F.split("body", ",")[0].cast("long")
+    made = G.chained(rows).withColumn("prev_hash", F.when(event % 89 == 0, F.lit(G.GENESIS)).otherwise(F.col("prev_hash"))).withColumn("body", F.when(event % 97 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    return made.where(event % 101 != 0)
+
+
+_FAULTS = """n AS (SELECT event_type AS chain, event_id AS e, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seq_no FROM events),
+    k AS (SELECT n.chain, n.seq_no, n.e, p.e AS p FROM n LEFT JOIN n p ON p.chain = n.chain AND p.seq_no = n.seq_no - 1 WHERE n.e % 101 <> 0),
+    f AS (SELECT chain, seq_no, CASE WHEN seq_no > 1 AND p % 101 = 0 THEN 'gap' WHEN seq_no > 1 AND e % 89 = 0 THEN 'predecessor' WHEN e % 97 = 0 THEN 'digest' END AS fault FROM k)"""
+
+
+@query(f"WITH {_FAULTS} SELECT chain, seq_no, fault FROM f WHERE fault IS NOT NULL")
 def hash_chain_verify(spark, sf_dir):
-    """Chains per user and day, in which the bodies of some entries are altered after the fact."""
-    order = F.row_number().over(A.Window.partitionBy("segment").orderBy("event_id"))
-    events = _read(spark, sf_dir, "events").withColumn("segment", F.concat_ws("/", "user_id", A.day_key(F.col("ts"))))
-    rows = events.select("segment", order.cast("long").alias("seq_no"), F.concat_ws(",", "event_id", "event_type").alias("body"))
-    tampered = G.chained(rows).withColumn("body", F.when(F.split("body", ",")[0].cast("long") % 97 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
-    part = F.split("segment", "/")
-    return G.chain_faults(tampered).groupBy(part[0].cast("long").alias("user_id"), part[1].alias("day")).agg(F.count("*").alias("faults"))
+    return G.chain_faults(_tampered(spark, sf_dir))
+
+
+@query(f"""WITH {_FAULTS} SELECT chain, count(*) AS total, count(fault) = 0 AS intact, min(seq_no) FILTER (fault IS NOT NULL) AS broken_at, arg_min(fault, seq_no) FILTER (fault IS NOT NULL) AS reason FROM f GROUP BY 1""")
+def audit_chain_status(spark, sf_dir):
+    return G.chain_status(_tampered(spark, sf_dir)).drop("head_hash")
+
+
+@query("""SELECT event_id AS seq_no, event_type AS action, ts AS recorded_at FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20' ORDER BY 1 DESC LIMIT 50""")
+def audit_search(spark, sf_dir):
+    events = _read(spark, sf_dir, "events")
+    rows = events.select(F.col("event_id").alias("seq_no"), F.col("event_type").alias("action"), F.col("ts").alias("recorded_at"))
+    least = rows.agg(F.min("action").alias("action"))
+    moment = lambda day: F.to_timestamp_ntz(F.lit(f"2024-01-{day} 00:00:00"))
+    return G.audit_query(rows.join(least, "action", "left_semi"), 50, moment("03"), moment("20"), action="")
 
 
 @query("""WITH a AS (SELECT p_partkey AS id, p_size AS v1, p_brand AS h1 FROM part WHERE p_size > 5), b AS (SELECT p_partkey AS id, CASE WHEN p_size = 20 THEN 21 ELSE p_size END AS v2, CASE WHEN p_size = 30 THEN 'x' ELSE p_brand END AS h2 FROM part WHERE p_size < 45)
@@ -333,10 +391,49 @@ def dependency_closure(spark, sf_dir):
     return G.closure(edges.unionByName(more), region.select(F.col("r_name").alias("node")))
 
 
-@query("""WITH a AS (SELECT event_type AS suite, avg(value) AS v FROM events GROUP BY 1) SELECT suite, metric, 'block: lower quality' AS finding FROM a, (VALUES ('accuracy')) m(metric) WHERE v + 1 - v > 0.0005""")
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation), w AS (SELECT src AS root, dst AS node, 1 AS steps FROM e UNION ALL SELECT root, dst, steps + 1 FROM w JOIN e ON src = node WHERE steps < 26)
+    SELECT CAST(root AS BIGINT) AS node, CAST(min(steps) FILTER (node = root) AS INTEGER) AS steps, CAST(min(node) AS BIGINT) AS cycle FROM w GROUP BY root HAVING count(*) FILTER (node = root) > 0""")
+def cycle_detect(spark, sf_dir):
+    key = F.col("n_nationkey").cast("long")
+    return G.cycles(_read(spark, sf_dir, "nation").select(key.alias("src"), ((key * 3 + 1) % 25).alias("dst")))
+
+
+_GATE = [("recall_at_k", -1.0), ("accuracy", 0.0004), ("mrr", 1.0), ("total", 2.0), ("misroutes", -1.0), ("known_limitations", -1.0), ("mean_latency_ms", -60.0), ("p95_latency_ms", 1.0), ("other", 9.0)]
+
+
+@query(f"""WITH a AS (SELECT event_type AS suite, count(*) AS v FROM events GROUP BY 1), m AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {d})" for n, d in _GATE)}) t(metric, d)),
+    c AS (SELECT suite, metric, v AS now FROM a, m WHERE suite <> (SELECT min(suite) FROM a)), b AS (SELECT suite, metric, CASE WHEN metric LIKE '%latency%' THEN greatest(v + d, v / 3) ELSE v + d END AS was FROM a, m WHERE suite <> (SELECT max(suite) FROM a))
+    SELECT * FROM (SELECT suite, metric, CASE WHEN metric IN ('recall_at_k', 'mrr', 'accuracy') AND now < was - 0.0005 THEN 'block: lower quality' WHEN metric = 'total' AND now < was THEN 'block: fewer cases' WHEN metric = 'misroutes' AND now > was THEN 'block: more misroutes'
+        WHEN metric = 'known_limitations' AND now > was THEN 'warn: more limitations' WHEN metric LIKE '%latency%' AND was > 0 AND now > greatest(2 * was, 5) THEN 'warn: slower' END AS finding FROM c JOIN b USING (suite, metric)) WHERE finding IS NOT NULL
+    UNION ALL SELECT DISTINCT suite, '__suite__', 'block: removed' FROM b WHERE suite NOT IN (SELECT suite FROM c) UNION ALL SELECT DISTINCT suite, '__suite__', 'note: added' FROM c WHERE suite NOT IN (SELECT suite FROM b)""")
 def baseline_gate(spark, sf_dir):
-    now = _events(spark, sf_dir).groupBy(F.col("tenant_id").alias("suite")).agg(F.avg("value").alias("value")).withColumn("metric", F.lit("accuracy"))
-    return G.gate(now, now.withColumn("value", F.col("value") + 1))
+    """One suite is gone, one is new, and of the others each metric moves by its own step."""
+    counts = _events(spark, sf_dir).groupBy(F.col("tenant_id").alias("suite")).agg(F.count("*").cast("double").alias("v"))
+    rows = counts.select("suite", "v", F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.lit(d).alias("d")) for n, d in _GATE))).alias("m")).select("suite", "m.metric", "v", "m.d")
+    now = rows.join(counts.agg(F.min("suite").alias("suite")), "suite", "left_anti").select("suite", "metric", F.col("v").alias("value"))
+    was = F.when(F.col("metric").contains("latency"), F.greatest(F.col("v") + F.col("d"), F.col("v") / 3)).otherwise(F.col("v") + F.col("d"))
+    return G.gate(now, rows.join(counts.agg(F.max("suite").alias("suite")), "suite", "left_anti").select("suite", "metric", was.alias("value")))
+
+
+_PARTS = """d AS (SELECT doc_id, doc_id % 8 AS v, coalesce(text, '') AS t FROM documents),
+    a AS (SELECT doc_id, v, t, CASE v WHEN 0 THEN ' ' WHEN 1 THEN '답변불가' WHEN 2 THEN substr(t, 1, 100) WHEN 3 THEN substr(t, 1, 100) || ' [3]' WHEN 4 THEN t || ' [1]' WHEN 5 THEN substr(t, 1, 100) || ' 987654321 [1]' WHEN 6 THEN substr(t, 1, 100) || ' 반드시 [1]' ELSE substr(t, 1, 130) || ' [2]' END AS raw FROM d),
+    s AS (SELECT *, regexp_replace(raw, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') AS x FROM a), c AS (SELECT *, list_transform(regexp_extract_all(x, '\\[([0-9]+)\\]', 1), lambda n: TRY_CAST(n AS INTEGER)) AS cited, regexp_replace(x, '\\[[0-9]+\\]', ' ', 'g') AS body FROM s),
+    u AS (SELECT *, CASE WHEN list_contains(cited, 1) THEN t ELSE '' END || ' ' || CASE WHEN list_contains(cited, 2) THEN 'nothing here' ELSE '' END AS used FROM c),
+    n AS (SELECT *, list_filter(list_transform(regexp_extract_all(body, '[0-9]+(?:[.,][0-9]+)*'), lambda k: replace(k, ',', '')), lambda k: NOT list_contains(list_transform(regexp_extract_all(used, '[0-9]+(?:[.,][0-9]+)*'), lambda j: replace(j, ',', '')), k)) AS invented,
+        list_distinct(list_filter(regexp_extract_all(lower(body), '[0-9a-z가-힣]+'), lambda w: len(w) >= 2)) AS q, list_distinct(list_filter(regexp_extract_all(lower(used), '[0-9a-z가-힣]+'), lambda w: len(w) >= 2)) AS e FROM u)"""
+
+
+@query(f"""WITH {_PARTS} SELECT doc_id, CASE WHEN x = '' THEN 'empty' WHEN contains(x, '답변불가') THEN 'refusal' WHEN len(cited) = 0 THEN 'no citation' WHEN len(list_filter(cited, lambda k: k IS NULL OR k < 1 OR k > 2)) > 0 THEN 'unknown citation'
+    WHEN length(regexp_replace(body, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')) > 140 THEN 'too long' WHEN len(invented) > 0 THEN 'invented number' WHEN contains(body, '반드시') THEN 'over-promise'
+    WHEN len(q) + CASE WHEN v = 6 THEN 2 ELSE 0 END >= 20 AND len(list_intersect(q, e)) / len(q) < 0.35 THEN 'low coverage' END AS reason FROM n""")
+def grounding_verify(spark, sf_dir):
+    """Each document's text as an answer about itself, in eight forms by its id, so that all verdicts are reached."""
+    t = F.coalesce("text", F.lit(""))
+    head = F.substring(t, 1, 100)
+    forms = [F.lit(" "), F.lit(T.REFUSAL), head, F.concat(head, F.lit(" [3]")), F.concat(t, F.lit(" [1]")), F.concat(head, F.lit(" 987654321 [1]")), F.concat(head, F.lit(" 반드시 [1]")), F.concat(F.substring(t, 1, 130), F.lit(" [2]"))]
+    answer = F.element_at(F.array(*forms), (F.col("doc_id") % 8 + 1).cast("int"))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", answer.alias("answer"), F.array(t, F.lit("nothing here")).alias("evidence"))
+    return rows.select("doc_id", T.grounding_verdict(F.col("answer"), F.col("evidence")).alias("reason"))
 
 
 @query("""SELECT doc_id, CASE WHEN d AND NOT l THEN 'extra' WHEN l AND NOT d THEN 'missed' ELSE 'both' END AS side FROM (SELECT doc_id, bool_or(d) AS d, bool_or(l) AS l FROM (SELECT doc_id, true AS d, false AS l FROM documents UNION ALL SELECT doc_id, false, true FROM labels) GROUP BY 1)""")
