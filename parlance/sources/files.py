@@ -177,7 +177,8 @@ def write_segments(records: DataFrame, path: str) -> None:
 
 def read_segments(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(records, undecodable lines) of audit segments."""
-    rows = spark.read.schema(f"{schema}, _bad string, segment string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    rows = lines.select("segment", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("segment", "r.*")
     return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select("segment", "_bad")
 
 
