@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm._shared import fresh_path, stored
+from parlance.llm._shared import drop_stored, fresh_path, stored
 
 #: A file is closed when it holds this many compressed bytes; a shard has about so many payload bytes.
 ROLL_BYTES, SHARD_BYTES = 16 << 20, 64 << 20
+#: More shards than this are not made: they grow instead, so that the driver's list of edges stays short.
+MOST_SHARDS = 65_536
 #: Bins in which the ids' range is counted, and rounds in which full bins are cut finer.
 BINS, ROUNDS = 1024, 4
 #: Fixed, so that equal input gives equal bytes.
@@ -27,14 +29,21 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 #: Up to so many repeated contents (40 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-MANIFEST = "shard long, part int, path string, records long, bytes long, sha256 string"
+MANIFEST = "shard long, slice int, part int, path string, records long, bytes long, sha256 string"
+
+
+#: Names by which Spark knows storage that Arrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 
 
 def _file(uri: str):
-    """(file system, path) of a URI, local or remote."""
+    """(file system, path) of a URI, local or remote, by Arrow's file systems (local, HDFS, S3, GCS, Azure)."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith(("file:", "/")) else f"/{uri}")
+    scheme, mark, rest = uri.partition("://")
+    if mark:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+    return fs.FileSystem.from_uri(uri if uri.startswith(("file:", "/")) else f"/{uri}")
 
 
 def digest_of(payload: bytes) -> str:
@@ -71,13 +80,14 @@ def _gzip_member(data: bytes) -> bytes:
 class _Shard:
     """Writes the files of one shard: temporary names first, final names when closed."""
 
-    def __init__(self, folder: str, shard: int, roll: int, attempt: str):
-        self.folder, self.shard, self.roll, self.attempt, self.part, self.out = folder, shard, roll, attempt, 0, None
+    def __init__(self, folder: str, key: tuple[int, int], roll: int, attempt: str):
+        self.folder, self.key, self.roll, self.attempt, self.part, self.out = folder, key, roll, attempt, 0, None
+        self.shard, self.slice = key
         self.manifest: list[dict] = []
 
     def add(self, record: bytes) -> None:
         if self.out is None:
-            self.name = f"shard-{self.shard:08d}-{self.part:05d}.warc.gz"
+            self.name = f"shard-{self.shard:08d}-{self.slice:05d}-{self.part:05d}.warc.gz"
             self.fs, at = _file(f"{self.folder}/{self.name}")
             self.final, self.temporary = at, posixpath.join(posixpath.dirname(at), f".{self.name}.{self.attempt}")
             self.fs.create_dir(posixpath.dirname(at), recursive=True)
@@ -94,7 +104,7 @@ class _Shard:
         if self.out is not None:
             self.out.close()
             self.fs.move(self.temporary, self.final)
-            self.manifest.append({"shard": self.shard, "part": self.part, "path": f"{self.folder}/{self.name}", "records": self.records, "bytes": self.bytes, "sha256": self.hash.hexdigest()})
+            self.manifest.append({"shard": self.shard, "slice": self.slice, "part": self.part, "path": f"{self.folder}/{self.name}", "records": self.records, "bytes": self.bytes, "sha256": self.hash.hexdigest()})
             self.part, self.out = self.part + 1, None
 
 
@@ -107,11 +117,12 @@ def _write(folder: str, roll: int):
         shard, done = None, []
         for b in batches:
             for row in b.to_pylist():
-                if shard is None or shard.shard != row["shard"]:
+                key = (row["shard"], row["slice"])
+                if shard is None or shard.key != key:
                     if shard is not None:
                         shard.close()
                         done += shard.manifest
-                    shard = _Shard(folder, row["shard"], roll, attempt)
+                    shard = _Shard(folder, key, roll, attempt)
                 if row["refers_to"] is None:
                     row["payload"] = row["payload"] or b""
                 row["payload_digest"] = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
@@ -120,22 +131,24 @@ def _write(folder: str, roll: int):
             shard.close()
             done += shard.manifest
         if done:
-            yield pa.RecordBatch.from_pylist(done, pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
+            yield pa.RecordBatch.from_pylist(done, pa.schema([("shard", pa.int64()), ("slice", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
     return run
 
 
-def shard_edges(rows: DataFrame, target: int) -> list[int]:
-    """First ids of the shards, in order: ranges of about `target` bytes each.
+def shard_edges(rows: DataFrame, target: int) -> tuple[list[int], dict[int, int]]:
+    """First ids of the shards, in order, ranges of about `target` bytes each; and in how many slices single ids over that are cut.
 
     rows has page_id and payload_bytes. The range of ids is counted in equal
     bins, about four a shard; bins that hold more than two shards are cut
     again, so clustered ids are met too. Counts are exact, so the edges are the
-    same in every run. The driver sees one number for each bin that has rows.
+    same in every run. Beyond MOST_SHARDS shards the target grows with the
+    table, so the driver sees a bounded number of bins.
     """
     low, high, total = rows.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("payload_bytes") + 512)).first()
     if low is None:
-        return []
+        return [], {}
+    target = max(target, -(-total // MOST_SHARDS))
     bins = int(max(BINS, 4 * total // target))
     cells, out = [(low, high + 1)], []
     for k in range(ROUNDS):
@@ -168,10 +181,10 @@ def shard_edges(rows: DataFrame, target: int) -> list[int]:
             edges.append(start)
             held = 0
         held += weight
-    return edges
+    return edges, {start: -(-weight // target) for start, weight in out if weight > 2 * target}
 
 
-def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Write a record for each page into sharded, compressed archives; returns the manifest.
 
     pages has page_id, url and html. Of records with equal payloads (the html
@@ -184,33 +197,50 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shar
     is the commit: readers open what it lists.
 
     Rows with a null page_id go first, into shard 0, as responses. Of repeated
-    rows with the largest id each is a response. An empty table gives an empty
-    manifest.
+    rows with the largest id each is a response. Rows of one id, or of null ids,
+    that outgrow a shard are cut into slices by their payloads' digests and
+    URLs. An empty table gives an empty manifest. A page is held whole by its
+    task, as a row is in Spark.
     """
     content = F.coalesce(F.col("html"), F.lit(""))
     key = F.unhex(F.sha2(content, 256)).alias("content")
     ids = pages.select("page_id", F.octet_length(content).cast("long").alias("payload_bytes"), key)
-    newest = stored(ids.groupBy("content").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").select("content", "newest"), "newest")
-    edges = np.array(shard_edges(ids, shard_bytes), dtype=np.int64)
+    repeated = stored(ids.groupBy("content").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").select("content", "newest"), "newest")
+    first_ids, heavy = shard_edges(ids, shard_bytes)
+    edges = np.array(first_ids, dtype=np.int64)
+    nulls = ids.where("page_id is null").agg(F.sum(F.col("payload_bytes") + 512)).first()[0] or 0
 
     @F.pandas_udf("long")
     def shard(page_ids: pd.Series) -> pd.Series:
         x = page_ids.fillna(np.iinfo(np.int64).min).to_numpy().astype(np.int64)
         return pd.Series(np.clip(np.searchsorted(edges, x, side="right") - 1, 0, None))
 
+    slices = F.when(F.col("page_id").isNull(), F.lit(-(-nulls // shard_bytes) or 1)).otherwise(F.lit(1))
+    for page_id, n in heavy.items():  # bins of two shards' bytes and more: few, since all bytes are one table's
+        slices = F.when(F.col("page_id") == page_id, F.lit(n)).otherwise(slices)
     rows = pages.select("page_id", "url", content.cast("binary").alias("payload"), key)
-    rows = rows.join(F.broadcast(newest) if newest.count() <= BROADCAST_ROWS else newest, "content", "left")
+    rows = rows.join(F.broadcast(repeated) if repeated.count() <= broadcast_rows else repeated, "content", "left")
     refers_to = F.when(F.col("page_id") < F.col("newest"), F.col("newest"))
     rows = rows.select(
-        shard("page_id").alias("shard"), "page_id", "url", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1"),
+        shard("page_id").alias("shard"), F.pmod(F.xxhash64("content", "url"), slices).cast("int").alias("slice"), "page_id", "url", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1"),
         refers_to.alias("refers_to"), F.when(refers_to.isNull(), F.col("payload")).alias("payload"),
     )
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "page_id", "url", "sha1")
+    dealt = rows.repartitionByRange(max(1, len(first_ids)), "shard", "slice").sortWithinPartitions("shard", "slice", "page_id", "url", "sha1")
     manifest = dealt.mapInArrow(_write(folder.rstrip("/"), roll_bytes), MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
+    drop_stored(repeated)
+    _drop_temporary(pages.sparkSession, folder)
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
+def _drop_temporary(spark: SparkSession, folder: str) -> None:
+    """Delete what failed or doubled tasks have left under temporary names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/.shard-*")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for left in fs.globStatus(at) or ():
+        fs.delete(left.getPath(), False)
+
+
 def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of an uncompressed stream."""
     while line := stream.readline():
