@@ -12,17 +12,19 @@ from pyspark.sql import functions as F
 from parlance.llm._shared import stored
 
 #: Components that a block of candidates holds, and queries in a block.
-CELLS, QUERIES = 2_000_000, 256
+CELLS, QUERIES = 1_000_000, 256
 #: Shares of the lists after which bounds are compared; reading ends with the first that leaves few enough candidates.
-DEPTHS = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4)
+DEPTHS = (1 / 4, 1 / 2)
 
 
 class Lists:
     """A block's candidates as one list for each dimension, sorted by value.
 
     A query reads a list from its top where its weight is positive and from its
-    bottom where it is negative, so contributions come in falling order. Nothing
-    but the lists is kept: a score is known only from what was read.
+    bottom where it is negative, so contributions come in falling order. All
+    queries of a block read in step, so what a step brings is laid out once:
+    a column for each list and direction, first those read from the top.
+    Nothing but the lists is kept: a score is known only from what was read.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
@@ -31,75 +33,72 @@ class Lists:
         order = np.argsort(x, axis=1, kind="stable")
         self.row, self.value = order.astype(np.int32), np.take_along_axis(x, order, axis=1)
         self.largest = np.abs(self.value[:, [0, -1]].astype(object)).max(axis=1) if x.size else np.zeros(len(x), object)
+        self._steps: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
 
-    def read(self, dims: np.ndarray, q: np.ndarray, start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(dimensions, rows, contributions) of the entries start to end of each list, in reading order."""
-        n = len(self.ids)
-        for own, cut in ((dims[q[dims] > 0], slice(n - end, n - start)), (dims[q[dims] < 0], slice(start, end))):
-            if len(own):
-                yield own, self.row[own, cut], q[own, None] * self.value[own, cut]
+    def read(self, start: int, end: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """(values, whether read) of the entries start to end of each list and direction, by candidate; others are 0."""
+        if (start, end, kind) not in self._steps:
+            n, dims = len(self.ids), len(self.row)
+            values, there = np.zeros((n, 2 * dims), kind), np.zeros((n, 2 * dims), bool)
+            for first, cut in ((0, slice(n - end, n - start)), (dims, slice(start, end))):
+                column = first + np.arange(dims)[:, None]
+                values[self.row[:, cut], column] = self.value[:, cut]
+                there[self.row[:, cut], column] = True
+            self._steps[start, end, kind] = values, there
+        return self._steps[start, end, kind]
 
-    def contribution(self, dims: np.ndarray, q: np.ndarray, at: int) -> np.ndarray:
-        """Contributions of the entry at a place of each list, in reading order."""
-        n = len(self.ids)
-        return q[dims] * self.value[dims, np.where(q[dims] > 0, n - 1 - at, at)]
+    def at(self, place: int) -> np.ndarray:
+        """The values at a place of each list, from either direction."""
+        return np.concatenate([self.value[:, len(self.ids) - 1 - place], self.value[:, place]])
 
 
-def _sums(rows: np.ndarray, parts: np.ndarray, n: int) -> np.ndarray:
-    if parts.dtype == np.float64:
-        return np.bincount(rows.ravel(), weights=parts.ravel(), minlength=n)
-    out = np.zeros(n, parts.dtype)
-    np.add.at(out, rows.ravel(), parts.ravel())
-    return out
-
+def search_block(lists: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(candidate ids, scores) of each query's k best in a block, ties to the smaller id.
 
-def search_block(lists: Lists, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(candidate ids, scores) of a query's k best in a block, ties to the smaller id.
-
-    All lists are read in step. What was read of a candidate, and for its
+    The lists are read in step. What was read of a candidate, and for its
     other dimensions the last entry read, or the list's end, give its upper and
     lower bound. Candidates whose upper bound is under the k-th best lower bound
     are out; so are all that no list has shown yet once the sum of the last
-    entries is under it. When few are in doubt, the rest of the lists is read
-    for these alone, which completes their scores.
+    entries is under it. When few are in doubt, the rest of the lists is read,
+    which completes the scores of these alone.
 
-    Sums are exact: in float64 while they stay under 2^53, else in 64-bit
-    integers, else in integers of any size; a score that is no 64-bit integer
-    is an error.
+    Sums are exact: in floats of 32 or 64 bits while they stay under 2^24 or
+    2^53, else in 64-bit integers, else in integers of any size; a score that
+    is no 64-bit integer is an error.
     """
-    n, dims = len(lists.ids), np.flatnonzero(query)
-    most = sum(abs(int(a)) * int(b) for a, b in zip(query[dims], lists.largest[dims]))
-    kind = np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
-    q = query.astype(kind)
+    n = len(lists.ids)
+    widest = np.abs(queries.astype(object)).max(axis=0) if len(queries) else np.zeros(len(lists.row), object)
+    most = sum(int(a) * int(b) for a, b in zip(widest, lists.largest))
+    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
+    q = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)]).astype(kind)
     need = k + 1  # the query itself may be among them
-    total, alive, done = np.zeros(n, kind), np.ones(n, bool), 0
-    unread = np.ones((n, len(query)), bool)
-    worst = np.zeros(len(query), kind)
-    worst[dims] = lists.contribution(dims, q, n - 1)
-    for depth in DEPTHS if n > 4 * need and len(dims) else ():
+    total, alive, unread, done = np.zeros((len(q), n), kind), np.ones((len(q), n), bool), np.ones((n, q.shape[1]), bool), 0
+    for depth in DEPTHS if n > 4 * need else ():
         end = max(done + 1, int(depth * n))
-        for own, rows, parts in lists.read(dims, q, done, end):
-            total += _sums(rows, parts, n)
-            unread[rows, own[:, None]] = False
+        values, there = lists.read(done, end, kind)
+        total += q @ values.T
+        unread &= ~there
         done = end
-        last = np.zeros(len(query), kind)
-        last[dims] = lists.contribution(dims, q, done - 1)
-        at = np.flatnonzero(alive)
-        left = unread[at].astype(kind)
-        lower, upper = total[at] + left @ worst, total[at] + left @ last
-        floor = np.partition(lower, -need)[-need] if len(at) > need else lower.min()
-        alive[at[upper < floor]] = False  # a row that no list has shown has the sum of the last entries
-        if alive.sum() <= 4 * need:
+        left = unread.astype(kind).T
+        lower, upper = (total + (q * lists.at(place).astype(kind)) @ left for place in (n - 1, done - 1))
+        floor = np.sort(lower, axis=1)[:, -need] if kind is object else np.partition(lower, -need, axis=1)[:, -need]
+        alive &= upper >= floor[:, None]  # a candidate that no list has shown has the sum of the last entries
+        if alive.sum() <= 4 * need * len(q):
             break
-    for own, rows, parts in lists.read(dims, q, done, n):
-        wanted = alive[rows]
-        total += _sums(rows[wanted], parts[wanted], n)
-    at = np.flatnonzero(alive & (lists.ids != query_id))
-    score = total[at]
-    if kind is object and any(abs(s) >= 1 << 63 for s in score):
-        raise OverflowError(f"a score of vector {query_id} is no 64-bit integer")
-    best = at[np.lexsort((at, -score))[:k]] if kind is not object else np.array(sorted(at.tolist(), key=lambda i: (-total[i], i))[:k], np.int64)
-    return lists.ids[best], total[best].astype(np.int64)
+    rest, _ = lists.read(done, n, kind)
+    out = []
+    for i in range(len(q)):
+        at = np.flatnonzero(alive[i] & (lists.ids != query_ids[i]))
+        score = total[i, at] + rest[at] @ q[i]
+        if kind is object and any(abs(x) >= 1 << 63 for x in score):
+            raise OverflowError(f"a score of vector {query_ids[i]} is no 64-bit integer")
+        score = score.astype(np.int64)
+        if len(score) > k:
+            keep = score >= np.partition(score, -k)[-k]
+            at, score = at[keep], score[keep]
+        best = np.argsort(-score, kind="stable")[:k]  # rows stand by id
+        out.append((lists.ids[at[best]], score[best]))
+    return out
 
 
 _BLOCK = "block long, ids binary, data binary"
@@ -150,7 +149,7 @@ def _search(k: int):
                     continue
                 if vectors.shape[1] != len(lists.row):
                     raise ValueError("queries and candidates differ in their number of components")
-                found = [search_block(lists, i, q, k) for i, q in zip(ids.tolist(), vectors)]
+                found = search_block(lists, ids, vectors, k)
                 query_ids = np.repeat(ids, [len(x) for x, _ in found])
                 yield pa.record_batch([pa.array(query_ids), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names=["query_id", "vec_id", "score"])
 

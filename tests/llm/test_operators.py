@@ -233,11 +233,11 @@ def test_top_k_stops_early():
     x[:, 2:] = rng.integers(-2, 3, (5000, 14))
     lists, read = Lists(np.arange(5000), x), []
     original = lists.read
-    lists.read = lambda dims, q, start, end: read.append((start, end)) or original(dims, q, start, end)
-    ids, score = search_block(lists, -1, x[0], 20)
-    want = sorted(range(5000), key=lambda i: (-int(x[i] @ x[0]), i))[:20]
-    assert ids.tolist() == want and score.tolist() == [int(x[i] @ x[0]) for i in want]
-    assert read[-2][1] < 5000 / 2  # bounds decided long before the lists' end
+    lists.read = lambda start, end, kind: read.append((start, end)) or original(start, end, kind)
+    for (ids, score), q in zip(search_block(lists, np.array([-1, 7]), x[[0, 7]], 20), (0, 7)):
+        want = sorted((i for i in range(5000) if q != 7 or i != 7), key=lambda i: (-int(x[i] @ x[q]), i))[:20]
+        assert ids.tolist() == want and score.tolist() == [int(x[i] @ x[q]) for i in want]
+    assert len(read) == 2  # the first bounds decided; the rest was read once, for those in doubt
 
 
 def test_quality_base_by_brute_force(spark, small, texts, odd, empty):
