@@ -1,6 +1,7 @@
 """Every query with SQL gives the rows that DuckDB gives on the same tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from parlance.registry import ORACLE_SQL, QUERIES
@@ -10,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def _rows(frame):
     cols = sorted(frame.columns)
-    return sorted(repr(tuple(None if v is None or v != v else str(v) for v in r)) for r in frame[cols].itertuples(index=False))
+    return sorted(repr(tuple(None if v is None or v is pd.NA or v != v else str(v) for v in r)) for r in frame[cols].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
