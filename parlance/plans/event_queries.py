@@ -115,10 +115,10 @@ def expected_kinds(spark, sf_dir):
     return E.span_checks(found, wanted).select(F.col("case_id").alias("doc_id"), F.array_join("missed", ",").alias("missed"), F.array_join("extra", ",").alias("extra"), "passed")
 
 
-@query("""SELECT item_id AS case_id, 'doc-' || item_id AS doc_id, 'not in the corpus' AS gap FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT NULL, 'doc-' || doc_id, 'never expected' FROM labels WHERE doc_id NOT IN (SELECT item_id FROM benchmark)""")
+@query("""SELECT CAST(item_id AS VARCHAR) AS case_id, 'doc-' || item_id AS doc_id, 'not in the corpus' AS gap FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT NULL, 'doc-' || doc_id, 'never expected' FROM labels WHERE doc_id NOT IN (SELECT item_id FROM benchmark)""")
 def golden_coverage(spark, sf_dir):
     name = lambda c: F.concat(F.lit("doc-"), c)
-    cases = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), name(F.col("item_id")).alias("doc_id"))
+    cases = _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("case_id"), name(F.col("item_id")).alias("doc_id"))
     return E.coverage_gaps(cases, _read(spark, sf_dir, "labels").select(name(F.col("doc_id")).alias("doc_id")))
 
 
@@ -145,9 +145,9 @@ def capacity_plan(spark, sf_dir):
     return _read(spark, sf_dir, "supplier").select("s_suppkey", C.capacity(F.col("s_suppkey") * 10, profile, with_tts=True).alias("c")).select("s_suppkey", "c.*")
 
 
-@query("""SELECT p_size AS tier, count(*) AS blocks, CAST(sum(p_partkey) AS BIGINT) AS effort FROM part GROUP BY GROUPING SETS ((1), ())""")
+@query("""SELECT CAST(p_size AS VARCHAR) AS tier, count(*) AS blocks, CAST(sum(p_partkey) AS BIGINT) AS effort FROM part GROUP BY GROUPING SETS ((1), ())""")
 def effort_totals(spark, sf_dir):
-    return C.effort(_read(spark, sf_dir, "part").select(F.col("p_size").alias("tier"), F.col("p_partkey").alias("effort")))
+    return C.effort(_read(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("tier"), F.col("p_partkey").alias("effort")))
 
 
 @query("""WITH b AS (SELECT n_name AS id, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey END AS c FROM nation WHERE n_nationkey % 2 = 0), m AS (SELECT min(c) AS channels, arg_min(id, (c, id)) AS id FROM b WHERE c IS NOT NULL)
