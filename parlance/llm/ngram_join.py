@@ -21,11 +21,11 @@ FREQUENT, MOST_FREQUENT = 50, 200_000
 #: Groups of an n-gram up to this size give their pairs; larger ones are compared by sketches where they meet.
 SMALL_GROUP = 16
 #: Rows of a large group, and nodes and n-grams of a family, that one block holds; what is larger is split into blocks.
-GROUP_ROWS, FAMILY_NODES, FAMILY_GRAMS = 8192, 512, 2_000_000
+GROUP_ROWS, FAMILY_NODES, FAMILY_GRAMS = 8192, 512, 1_000_000
 #: Up to this many document ids are broadcast (about 50 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Words hashed at once, and n-grams tallied at once: enough to pay for the calls, few enough for any task.
-_AT_ONCE, _TALLIED = 100_000, 2_000_000
+_AT_ONCE, _TALLIED = 100_000, 1_000_000
 #: Cells of a matrix of n-grams that a fragment's overlaps are counted with.
 _CELLS = 4_000_000
 
@@ -76,7 +76,7 @@ def _longest_prefix(n: int, percent: int) -> int:
 
 
 def _tally(words: int, least: int):
-    """(n-gram, count) of those met at least `least` times in some 2 million of a task."""
+    """(n-gram, count) of those met at least `least` times in some million of a task."""
 
     def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
         grams, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
@@ -151,6 +151,14 @@ def _profile(words: int, percent: int, frequent: np.ndarray):
     return run
 
 
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """Rows as tuples, a few hundred at a time."""
+    for b in batches:
+        for at in range(0, len(b), 256):
+            part = b.slice(at, 256)
+            yield from zip(*(part.column(c).to_pylist() for c in columns))
+
+
 def _links(na, nb, overlap, percent: int):
     return 100 * overlap >= percent * (na + nb - overlap)
 
@@ -260,8 +268,7 @@ def _sketched(percent: int):
         return nodes[leaf], nodes[label[leaf]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = chain.from_iterable(zip(*(b.column(c).to_pylist() for c in ("gram", "x", "y", "node", "n", "sketch"))) for b in batches)
-        for _, found in groupby(rows, key=lambda r: r[:3]):
+        for _, found in groupby(_rows(batches, "gram", "x", "y", "node", "n", "sketch"), key=lambda r: r[:3]):
             nodes, n, sketches = zip(*((r[3], r[4], np.array(r[5], np.int64)) for r in found))
             a, b = group(np.array(nodes), np.array(n, np.int64), list(sketches))
             if len(a):
@@ -333,8 +340,7 @@ def _verified(words: int, percent: int):
     """Blocks of families, in order, to each node's least linked node in the block and its linked documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ("family", "x", "y", "part", "parts", "node", "copies", "text")
-        rows = chain.from_iterable(zip(*(b.column(c).to_pylist() for c in columns)) for b in batches)
+        rows = _rows(batches, "family", "x", "y", "part", "parts", "node", "copies", "text")
         for (_, x, y), found in groupby(rows, key=lambda r: r[:3]):
             found = list({r[5]: r for r in found}.values())  # an owner may stand on several equal rows
             found.sort(key=lambda r: (r[3] == y, r[5]))
