@@ -23,7 +23,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the language model rejects: no letters, or a calibrated chance under its threshold.
 
-    Without labelled rows there is no model, and all documents pass.
+    Rows are judged each by its own text, so repeated rows stay or go together
+    and null ids, labels and sources don't matter. Null and empty texts have no
+    letters and go. Without labelled rows there is no model, and all documents
+    pass. An empty table stays empty; columns beside the five are left out.
     """
     model = fit_languages(docs)
     if model is None:
@@ -40,7 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are named by a hash of id and text, so rows that share an id but not a
     text are judged each for itself. Rows with equal names are copies, of which
     the least by all columns stays. Texts without words have no links; all of
-    them stay.
+    them stay, nulls too. An empty table stays empty; columns beside the five
+    are left out.
     """
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
     rows = docs.select(*COLUMNS, key.alias("h"))
@@ -56,13 +60,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data in all texts by the names of its kinds; null texts become empty."""
+    """Replace personal data in all texts by the names of its kinds.
+
+    Null texts become empty; every row stays, repeated ones and null ids too;
+    n_chars is counted anew. An empty table stays empty; columns beside the
+    five are left out.
+    """
     clean = redact(docs, fit_pii(docs), "doc_id", "lang", "source")
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    Rows are named by a hash of id, source and text; equal rows share what
+    the mix takes of them. Null sources are one source; null and empty texts
+    have size 0, so taking them changes no sum. An empty table stays empty;
+    columns beside the five are left out.
+    """
     key = F.xxhash64("doc_id", "source", "text")
     taken = mix(docs).groupBy("h").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
     rows = docs.select(*COLUMNS, key.alias("h")).join(taken, "h")
@@ -72,7 +87,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 tokens."""
+    """Pieces of all documents in sequences of at most 1024 tokens.
+
+    Every row is packed, repeated ones and null ids too; a null or empty text is
+    its end alone. An empty table gives no pieces.
+    """
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -84,7 +103,7 @@ STAGES = [
     ("best-fit packing", packing),
 ]
 
-#: SQL can't fit the language model; near_duplicates is tested against brute force, the other stages' operators are in tests/llm.
+#: SQL can't fit the language model; tests/llm holds every stage against brute force on what its predecessor kept.
 ORACLE_SQL = None
 
 
