@@ -297,17 +297,13 @@ def rule_match(spark, sf_dir):
     return _turns(spark, sf_dir).select("session_id", "seq", F.array_join(T.matched_rules(F.col("text"), rules)["rule_id"], ",").alias("rules"))
 
 
-@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 6 = 4 THEN NULL ELSE json_extract_string(props, '$.k') END AS k FROM events""")
 def json_tolerant_parse(spark, sf_dir):
-    fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
-    return _read(spark, sf_dir, "events").select("event_id", T.json_object(fenced, "k long")["k"].alias("k"))
-
-
-@query("""SELECT doc_id, CASE WHEN regexp_replace(lower(text), '[^a-z0-9]', '', 'g') = '' AND NOT regexp_matches(text, '\\pL') THEN 'empty' WHEN doc_id % 11 / 10.0 > 0.6 THEN 'no speech' END AS reason FROM documents WHERE text IS NOT NULL AND doc_id % 11 / 10.0 > 0.6""")
-def hallucination_judge(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").where("text is not null").withColumn("no_speech", F.col("doc_id") % 11 / 10.0)
-    verdict = T.hallucination_verdict(F.col("text"), F.col("no_speech"), F.lit(-0.1))
-    return rows.where("no_speech > 0.6").select("doc_id", verdict.alias("reason"))
+    """Objects in fences, in prose, after blanks, broken, and as they are."""
+    p = F.col("props")
+    forms = F.array(F.concat(F.lit("```json\n"), p, F.lit("\n```")), F.concat(F.lit("Sure: "), p, F.lit(" done.")), F.concat(F.lit(" \n"), p), F.concat(F.lit("```"), p, F.lit("```")), F.substring(p, 1, 3), p)
+    rows = _read(spark, sf_dir, "events").select("event_id", F.element_at(forms, (F.col("event_id") % 6 + 1).cast("int")).alias("raw"))
+    return rows.select("event_id", T.json_object(F.col("raw"), "k long")["k"].cast("string").alias("k"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, doc_id % 11 / 10.0 AS n, doc_id % 7 / -5.0 AS p FROM documents),
@@ -325,6 +321,9 @@ def hallucination_judge_all(spark, sf_dir):
     return rows.select("doc_id", "f.form", T.hallucination_verdict(F.col("f.text"), F.col("n"), F.col("p")).alias("reason"))
 
 
+QUERIES["hallucination_judge"], ORACLE_SQL["hallucination_judge"] = hallucination_judge_all, ORACLE_SQL["hallucination_judge_all"]
+
+
 @query("""SELECT a.conv_id AS session_id, a.turn AS seq, CAST(levenshtein(lower(regexp_replace(a.text, '[^A-Za-z0-9]', '', 'g')), lower(regexp_replace(b.text, '[^A-Za-z0-9]', '', 'g'))) AS INTEGER) AS errors
     FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def wer_cer(spark, sf_dir):
