@@ -135,8 +135,11 @@ def identify(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_
     Only the text is read. A text that is null or has no letter gets `und` and
     score 0, as does every text when there was nothing to learn from. Repeated
     rows, ties (the first language by name) and very long texts need nothing
-    special: whole texts are read, and rows stay as they are.
+    special: whole texts are read, and rows stay as they are. Further columns
+    of docs don't matter; keep may not name the result's own columns.
     """
+    if taken := {"text", "has_letter", "lang_pred", "score"} & set(keep):
+        raise ValueError(f"columns {sorted(taken)} are of the result's own")
     rows = docs.select(*keep, F.col("text").cast("binary").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double")
