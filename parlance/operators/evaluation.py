@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import character_error, comparable, word_error
+from parlance.functions.speech import spoken
+from parlance.functions.text import character_error, comparable, first_intent, grounding_verdict, masked_kinds, word_error
+from parlance.operators import retrieval
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
@@ -93,3 +95,63 @@ def transcript_metrics(scores: DataFrame) -> DataFrame:
     """Error rates of the whole set: sums of errors over sums of lengths, never means of rates (three decimals)."""
     rate = lambda a, b: F.round(F.when(F.sum(b) > 0, F.sum(a) / F.sum(b)).otherwise(0.0), 3)
     return scores.agg(F.count("*").alias("cases"), rate("word_errors", "words").alias("wer"), rate("character_errors", "characters").alias("cer"), F.count_if("empty").alias("empty"))
+
+
+def _checks(rows: DataFrame, suite: str, passed: Column, misroute: Column | None = None) -> DataFrame:
+    """Rows of cases as checks (suite, case_id, passed, known_limitation, misroute, latency_ms); Spark times no single case."""
+    known = F.coalesce(F.col("known_limitation").cast("string"), F.lit("")) != "" if "known_limitation" in rows.columns else F.lit(False)
+    return rows.select(F.lit(suite).alias("suite"), "case_id", F.coalesce(passed, F.lit(False)).alias("passed"), known.alias("known_limitation"), F.coalesce(misroute if misroute is not None else F.lit(False), F.lit(False)).alias("misroute"), F.lit(None).cast("double").alias("latency_ms"))
+
+
+def reading_suite(cases: DataFrame, readings: dict[str, str] | None = None) -> DataFrame:
+    """Whether texts (case_id, text, expect) are read just as expected."""
+    return _checks(cases, "tts", spoken(F.col("text"), readings) == F.col("expect"))
+
+
+def masking_suite(cases: DataFrame) -> DataFrame:
+    """Whether just the expected kinds of personal data are found in texts (case_id, text, types, known_limitation)."""
+    found, want = F.array_sort(F.array_distinct(masked_kinds(F.col("text")))), F.array_sort(F.array_distinct(F.coalesce("types", F.expr("cast(array() as array<string>)"))))
+    return _checks(cases, "pii", found == want)
+
+
+def grounding_suite(cases: DataFrame) -> DataFrame:
+    """Whether answers (case_id, answer, evidence, accept, known_limitation) are accepted just where they should be."""
+    return _checks(cases, "grounding", grounding_verdict(F.col("answer"), F.col("evidence")).isNull() == F.col("accept"))
+
+
+def intent_suite(cases: DataFrame, by_examples: bool = True) -> DataFrame:
+    """Whether texts (case_id, text, expect, intents) get the expected intent: the first by pattern, else by the likeness of examples.
+
+    A wrong intent is a misroute; none where one is expected is a failure only.
+    """
+    texts = cases.select(F.col("case_id").alias("utterance_id"), F.col("case_id").alias("node_id"), "text")
+    examples = lambda i: F.array_compact(F.concat(F.coalesce(i["examples"], F.expr("cast(array() as array<string>)")), F.array(i["description"], i["name"])))
+    intents = cases.select(F.col("case_id").alias("node_id"), F.explode("intents").alias("i")).select("node_id", "i.name", examples(F.col("i")).alias("examples"))
+    alike = retrieval.intent_scores(texts, intents).select(F.col("utterance_id").alias("case_id"), F.col("intent").alias("alike")) if by_examples else cases.select("case_id", F.lit(None).cast("string").alias("alike"))
+    rows = cases.join(alike, "case_id", "left").withColumn("chosen", F.coalesce(first_intent(F.col("text"), F.col("intents")), "alike"))
+    judged = intent_checks(rows.withColumn("expect", F.when(F.col("expect") != "", F.col("expect"))))
+    return _checks(judged, "intent", F.col("passed"), F.col("misroute"))
+
+
+def retrieval_suite(cases: DataFrame, corpus: DataFrame, k: int = retrieval.TOP, lexicon: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ranks, metrics) of queries (case_id, query, expected) over articles (doc_id, title, text).
+
+    Articles are cut into chunks, searched, and the chunks found are folded to
+    their documents in order; ranks has case_id, doc_ids and the first relevant
+    rank (null: not among them).
+    """
+    chunks = retrieval.chunked(corpus).join(corpus.select("doc_id", "title"), "doc_id")
+    queries = cases.select(F.col("case_id").alias("query_id"), F.col("query").alias("text"))
+    found = retrieval.search(queries, retrieval.indexed(chunks), k, lexicon=lexicon).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+    folded = retrieval.found_documents(found).select(F.col("query_id").alias("case_id"), "doc_ids")
+    rows = cases.select("case_id", "expected").join(folded, "case_id", "left")
+    places = F.filter(F.transform(F.sequence(F.lit(1), F.size("doc_ids")), lambda i: F.when(F.array_contains("expected", F.get("doc_ids", i - 1)), i)), lambda i: i.isNotNull())
+    ranks = rows.select("case_id", "doc_ids", F.when(F.size("doc_ids") > 0, F.array_min(places)).alias("rank"))
+    listed = folded.select(F.col("case_id").alias("query_id"), F.posexplode("doc_ids").alias("place", "chunk_id")).select("query_id", "chunk_id", (F.col("place") + 1).alias("rank"))
+    wanted = cases.select(F.col("case_id").alias("query_id"), F.explode(F.array_distinct("expected")).alias("chunk_id"))
+    return ranks, retrieval.retrieval_metrics(listed, wanted, k)
+
+
+def recognition_suite(pairs: DataFrame) -> DataFrame:
+    """Error rates of a set of transcripts (case_id, reference, heard)."""
+    return transcript_metrics(transcript_scores(pairs))
