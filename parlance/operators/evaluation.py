@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.speech import spoken
-from parlance.functions.text import character_error, comparable, first_intent, grounding_verdict, masked_kinds, word_error
+from parlance.functions.text import character_error, comparable, first_intent, grounding_verdict, masked, masked_kinds, word_error
 from parlance.operators import retrieval
 
 
@@ -99,7 +99,7 @@ def transcript_metrics(scores: DataFrame) -> DataFrame:
 
 def _checks(rows: DataFrame, suite: str, passed: Column, misroute: Column | None = None) -> DataFrame:
     """Rows of cases as checks (suite, case_id, passed, known_limitation, misroute, latency_ms); Spark times no single case."""
-    known = F.coalesce(F.col("known_limitation").cast("string"), F.lit("")) != "" if "known_limitation" in rows.columns else F.lit(False)
+    known = F.coalesce("known_limitation", F.lit(False)) if "known_limitation" in rows.columns else F.lit(False)
     return rows.select(F.lit(suite).alias("suite"), "case_id", F.coalesce(passed, F.lit(False)).alias("passed"), known.alias("known_limitation"), F.coalesce(misroute if misroute is not None else F.lit(False), F.lit(False)).alias("misroute"), F.lit(None).cast("double").alias("latency_ms"))
 
 
@@ -109,9 +109,11 @@ def reading_suite(cases: DataFrame, readings: dict[str, str] | None = None) -> D
 
 
 def masking_suite(cases: DataFrame) -> DataFrame:
-    """Whether just the expected kinds of personal data are found in texts (case_id, text, types, known_limitation)."""
-    found, want = F.array_sort(F.array_distinct(masked_kinds(F.col("text")))), F.array_sort(F.array_distinct(F.coalesce("types", F.expr("cast(array() as array<string>)"))))
-    return _checks(cases, "pii", found == want)
+    """Whether just the expected kinds are found in texts (case_id, text, expect_types, must_not_contain, known_limitation), and nothing is left that must not be."""
+    none = F.expr("cast(array() as array<string>)")
+    found, want = F.array_sort(F.array_distinct(masked_kinds(F.col("text")))), F.array_sort(F.array_distinct(F.coalesce("expect_types", none)))
+    left = F.exists(F.coalesce("must_not_contain", none), lambda x: F.contains(masked(F.col("text")), x))
+    return _checks(cases, "pii", (found == want) & ~left)
 
 
 def grounding_suite(cases: DataFrame) -> DataFrame:
@@ -120,15 +122,15 @@ def grounding_suite(cases: DataFrame) -> DataFrame:
 
 
 def intent_suite(cases: DataFrame, by_examples: bool = True) -> DataFrame:
-    """Whether texts (case_id, text, expect, intents) get the expected intent: the first by pattern, else by the likeness of examples.
+    """Whether texts (case_id, utterance, expect, intents) get the expected intent: the first by pattern, else by the likeness of examples.
 
     A wrong intent is a misroute; none where one is expected is a failure only.
     """
-    texts = cases.select(F.col("case_id").alias("utterance_id"), F.col("case_id").alias("node_id"), "text")
+    texts = cases.select(F.col("case_id").alias("utterance_id"), F.col("case_id").alias("node_id"), F.col("utterance").alias("text"))
     examples = lambda i: F.array_compact(F.concat(F.coalesce(i["examples"], F.expr("cast(array() as array<string>)")), F.array(i["description"], i["name"])))
     intents = cases.select(F.col("case_id").alias("node_id"), F.explode("intents").alias("i")).select("node_id", "i.name", examples(F.col("i")).alias("examples"))
     alike = retrieval.intent_scores(texts, intents).select(F.col("utterance_id").alias("case_id"), F.col("intent").alias("alike")) if by_examples else cases.select("case_id", F.lit(None).cast("string").alias("alike"))
-    rows = cases.join(alike, "case_id", "left").withColumn("chosen", F.coalesce(first_intent(F.col("text"), F.col("intents")), "alike"))
+    rows = cases.join(alike, "case_id", "left").withColumn("chosen", F.coalesce(first_intent(F.col("utterance"), F.col("intents")), "alike"))
     judged = intent_checks(rows.withColumn("expect", F.when(F.col("expect") != "", F.col("expect"))))
     return _checks(judged, "intent", F.col("passed"), F.col("misroute"))
 

@@ -171,12 +171,18 @@ def found_documents(results: DataFrame) -> DataFrame:
 
 def expanded(query: Column, lexicon: list[tuple[str, tuple[str, ...]]], most: int = MAX_EXPANSIONS) -> Column:
     """The query followed by the terms of the triggers that it has, in the lexicon's order, at most `most`."""
-    added = F.expr("cast(array() as array<string>)")
-    for trigger, terms in lexicon:
-        for term in terms:
-            fits = query.contains(trigger) & ~query.contains(term) & ~F.array_contains(added, term) & (F.size(added) < most)
-            added = F.when(fits, F.concat(added, F.array(F.lit(term)))).otherwise(added)
-    return F.when(F.size(added) > 0, F.concat_ws(" ", query, F.array_join(added, " "))).otherwise(query)
+    pairs = [(trigger, term) for trigger, terms in lexicon for term in terms]
+    if not pairs:
+        return query
+    known = F.array(*(F.struct(F.lit(trigger).alias("trigger"), F.lit(term).alias("term")) for trigger, term in pairs))
+
+    def add(added: Column, x: Column) -> Column:
+        fits = F.contains(query, x["trigger"]) & ~F.contains(query, x["term"]) & ~F.array_contains(added, x["term"]) & (F.size(added) < most)
+        return F.when(fits, F.concat(added, F.array(x["term"]))).otherwise(added)
+
+    # one fold over the lexicon: a tree that names what was added so far at each step would double with every term
+    added = F.aggregate(known, F.expr("cast(array() as array<string>)"), add)
+    return F.concat_ws(" ", query, F.when(F.size(added) > 0, F.array_join(added, " ")))
 
 
 def hashed_vectors(rows: DataFrame) -> DataFrame:

@@ -48,10 +48,10 @@ def broken(rows: DataFrame, *needed: str) -> DataFrame:
 #: Fields of the golden sets, and those that a case must have.
 GOLDEN = {
     "retrieval": ("case_id string, query string, expected array<string>", ("case_id", "query", "expected")),
-    "pii": ("case_id string, text string, masked string, types array<string>, known_limitation string", ("case_id", "text")),
+    "pii": ("case_id string, text string, expect_types array<string>, must_not_contain array<string>, known_limitation boolean", ("case_id", "text")),
     "tts": ("case_id string, text string, expect string", ("case_id", "text", "expect")),
-    "grounding": ("case_id string, answer string, evidence array<string>, accept boolean, known_limitation string", ("case_id", "accept")),
-    "intent": ("case_id string, text string, expect string, intents array<struct<name:string,description:string,patterns:array<string>,examples:array<string>>>", ("case_id", "text", "intents")),
+    "grounding": ("case_id string, answer string, evidence array<string>, accept boolean, known_limitation boolean", ("case_id", "accept")),
+    "intent": ("case_id string, utterance string, expect string, intents array<struct<name:string,description:string,patterns:array<string>,examples:array<string>>>", ("case_id", "utterance", "intents")),
     "asr": ("case_id string, audio string, reference string", ("case_id", "audio", "reference")),
 }
 

@@ -14,12 +14,12 @@ def _got(frame, *columns):
 def test_suites(spark):
     tts = spark.createDataFrame([("1", "3개", "세 개"), ("2", "3분", "세 분")], "case_id string, text string, expect string")
     assert _got(E.reading_suite(tts), "case_id", "passed") == [("1", True), ("2", False)]
-    pii = spark.createDataFrame([("1", "a@b.co", ["email"], None), ("2", "nothing", None, None), ("3", "a@b.co", ["card"], "known")], "case_id string, text string, types array<string>, known_limitation string")
-    assert _got(E.masking_suite(pii), "case_id", "passed", "known_limitation") == [("1", True, False), ("2", True, False), ("3", False, True)]
+    pii = spark.createDataFrame([("1", "a@b.co", ["email"], ["b.co"], None), ("2", "nothing", None, None, None), ("3", "a@b.co", ["card"], None, True), ("4", "nothing", [], ["thing"], None)], "case_id string, text string, expect_types array<string>, must_not_contain array<string>, known_limitation boolean")
+    assert _got(E.masking_suite(pii), "case_id", "passed", "known_limitation") == [("1", True, False), ("2", True, False), ("3", False, True), ("4", False, False)]
     grounded = spark.createDataFrame([("1", "3원 [1]", ["3원"], True), ("2", "4원 [1]", ["3원"], True), ("3", "4원 [1]", ["3원"], False)], "case_id string, answer string, evidence array<string>, accept boolean")
     assert _got(E.grounding_suite(grounded), "case_id", "passed") == [("1", True), ("2", False), ("3", True)]
     intents = [("fee", "about fees", ["fee"], ["수수료 알려줘"]), ("agent", "", ["person"], ["사람이랑 통화할래요"])]
-    cases = spark.createDataFrame([("1", "my FEE", "fee", intents), ("2", "수수료 알려줘 빨리", "fee", intents), ("3", "안녕", "", intents), ("4", "a person", "fee", intents), ("5", "hm", "fee", intents)], "case_id string, text string, expect string, intents array<struct<name:string,description:string,patterns:array<string>,examples:array<string>>>")
+    cases = spark.createDataFrame([("1", "my FEE", "fee", intents), ("2", "수수료 알려줘 빨리", "fee", intents), ("3", "안녕", "", intents), ("4", "a person", "fee", intents), ("5", "hm", "fee", intents)], "case_id string, utterance string, expect string, intents array<struct<name:string,description:string,patterns:array<string>,examples:array<string>>>")
     checks = E.intent_suite(cases)
     assert _got(checks, "case_id", "passed", "misroute") == [("1", True, False), ("2", True, False), ("3", True, False), ("4", False, True), ("5", False, False)]
     assert [r["passed"] for r in E.intent_suite(cases, by_examples=False).orderBy("case_id").collect()] == [True, False, True, False, False]
