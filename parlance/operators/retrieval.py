@@ -156,7 +156,7 @@ def search(queries: DataFrame, index: DataFrame, k: int = TOP, candidates: int =
     Queries are expanded first where a lexicon is given, and asked so of all parts.
     """
     if lexicon:
-        queries = queries.select("query_id", expanded(F.col("text"), lexicon).alias("text"))
+        queries = stored(queries.select("query_id", expanded(F.col("text"), lexicon).alias("text")), "expanded")
     vectors = hashed_vectors(index.select("chunk_id", "terms"))
     asked = hashed_vectors(queries.select("query_id", tokens(F.col("text")).alias("terms")))
     both = fused(dense(asked, vectors, candidates), bm25(queries, index, candidates))
