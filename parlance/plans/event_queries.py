@@ -11,6 +11,7 @@ from parlance.operators import dialogue as D
 from parlance.operators import evaluation as E
 from parlance.operators import records as R
 from parlance.operators import retrieval
+from parlance.operators import studio as W
 from parlance.plans.queries import _read, _turns, query
 
 _EVENTS = """e AS (SELECT *, event_type AS tenant_id, strftime(ts, '%Y-%m-%d') AS day, event_id % 4 <> 0 AS is_final, event_id % 5 AS v, event_id % 3 AS k FROM events)"""
@@ -236,3 +237,55 @@ def _masked_sql(text: str) -> str:
 def pii_mask_text(spark, sf_dir):
     """The masked text itself, by its digest."""
     return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.masked(F.col("text"))).alias("masked"))
+
+
+@query(f"""SELECT conv_id AS session_id, turn AS seq, md5({_masked_sql('text')}) AS clean_text, {_masked_sql('text')} <> text AS pii_masked, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)refund') THEN 'a' END, CASE WHEN regexp_matches(text, '[?]') THEN 'b' END) AS rules FROM conversations""")
+def filter_projection(spark, sf_dir):
+    rules = F.array(*(F.struct(F.lit(i).alias("rule_id"), F.lit("warn").alias("severity"), F.lit("").alias("message"), F.lit(p).alias("pattern")) for i, p in (("a", "(?i)refund"), ("b", "[?]"))))
+    rows = W.filtered(_turns(spark, sf_dir), rules)
+    return rows.select("session_id", "seq", F.md5("clean_text").alias("clean_text"), "pii_masked", F.array_join("matched_rules.rule_id", ",").alias("rules"))
+
+
+@query("""WITH f AS (SELECT d.source AS tenant_id, doc_id AS ts, d.lang AS query, quality = 1 AS accepted, row_number() OVER (PARTITION BY d.source ORDER BY doc_id DESC, d.lang) AS k FROM labels JOIN documents d USING (doc_id) WHERE d.source IS NOT NULL AND d.lang IS NOT NULL),
+    c AS (SELECT tenant_id, query, count(*) AS n, max(ts) AS last FROM f WHERE k <= 50 AND NOT accepted GROUP BY 1, 2)
+    SELECT tenant_id, query, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id ORDER BY n DESC, last DESC, query) AS INTEGER) AS rank FROM c) WHERE rank <= 2""")
+def rejected_queries(spark, sf_dir):
+    rows = _read(spark, sf_dir, "labels").join(_read(spark, sf_dir, "documents").where("source is not null and lang is not null"), "doc_id")
+    return W.rejected_queries(rows.select(F.col("source").alias("tenant_id"), F.col("doc_id").alias("ts"), F.col("lang").alias("query"), (F.col("quality") == 1).alias("accepted")), 50, 2)
+
+
+@query("""SELECT item_id AS request_id, CAST(p AS INTEGER) AS place, doc_id AS chunk_id, source FROM (SELECT item_id, unnest([item_id + 100, 1000000000, item_id]) AS id, unnest([0, 1, 2]) AS p FROM benchmark) JOIN documents ON doc_id = id""")
+def chunks_by_id(spark, sf_dir):
+    asked = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.array(F.col("item_id") + 100, F.lit(1_000_000_000).cast("long"), F.col("item_id")).alias("chunk_ids"))
+    chunks = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
+    return retrieval.fetched(asked, chunks)
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN count(l_orderkey) > 0 THEN 'ready' ELSE 'failed' END AS state, count(l_orderkey) AS chunk_count FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 25 GROUP BY 1""")
+def ingest_states(spark, sf_dir):
+    """Orders as documents, and their larger lines as the chunks that came of them."""
+    return retrieval.ingested(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")), _read(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("doc_id")))
+
+
+@query("""SELECT p_partkey AS chunk_id, p_brand AS text FROM part WHERE p_size <= 40 UNION ALL SELECT p_partkey, 'new' FROM part WHERE p_size > 40""")
+def index_upsert(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    return retrieval.upserted(part.select(F.col("p_partkey").alias("chunk_id"), F.col("p_brand").alias("text")), part.where("p_size > 40").select(F.col("p_partkey").alias("chunk_id"), F.lit("new").alias("text")))
+
+
+@query("""SELECT l_orderkey AS doc_id, l_linenumber AS ordinal FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
+def document_delete(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ordinal"))
+    return retrieval.without_documents(rows, _read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id")))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS query_id, l_linenumber AS rank, min(l_suppkey % 3) AS doc_id FROM lineitem GROUP BY 1, 2), f AS (SELECT query_id, doc_id, min(rank) AS rank FROM r GROUP BY 1, 2) SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS doc_ids FROM f GROUP BY 1""")
+def document_fold(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank")).agg(F.min(F.col("l_suppkey") % 3).alias("doc_id"))
+    return retrieval.found_documents(rows).select("query_id", F.array_join("doc_ids", ",").alias("doc_ids"))
+
+
+@query("""SELECT event_id, user_id FROM events WHERE event_id % 4 <> 0 AND ts > TIMESTAMP '2024-01-15 08:00:00'""")
+def live_dialogue_states(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").alias("updated_at"), (F.col("event_id") % 4 == 0).alias("finished"))
+    return W.live_dialogues(rows, F.to_timestamp_ntz(F.lit("2024-01-15 12:00:00"))).select("event_id", "user_id")
