@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from parlance.llm.alignment import op12_token_alignment
 from parlance.llm.langid import op9_language_id
 from parlance.llm.lm import op7_lm_scores
 from parlance.llm.mixing import op10_source_mixing
@@ -10,6 +11,8 @@ from parlance.llm.ngram_join import op1_ngram_jaccard_join
 from parlance.llm.packing import op2_best_fit_packing
 from parlance.llm.pii import op3_pii
 from parlance.llm.quality import op5_quality_rules
+from parlance.llm.resampling import op11_importance_resampling
+from parlance.llm.simhash import op13_simhash_dedup
 from parlance.llm.tokens import op6_token_counts
 from parlance.llm.topk import op4_exact_top_k
 from parlance.llm.warc import op8_warc
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_source_mixing": op10_source_mixing,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_simhash_dedup": op13_simhash_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -52,4 +58,16 @@ ORACLE_SQL: dict[str, str] = {
               FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
         k AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20""",
+    "op11_importance_resampling": """
+        WITH bits AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY b) AS crc FROM range(256) r(b)),
+        w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS f FROM documents),
+        v AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS f FROM benchmark),
+        n AS (SELECT f, sum(s) AS s, sum(t) AS t FROM (SELECT unnest(f) AS f, 1 AS s, 0 AS t FROM w UNION ALL SELECT f, 0, 1 FROM v) GROUP BY 1),
+        c AS (SELECT f, s, t, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(hex(f)), 2), lambda i: ('0x' || hex(f)[i:i+1])::BIGINT)), lambda x, b: xor(x >> 8, bits.crc[(xor(x, b) & 255) + 1]))) % 10000 AS bucket FROM n, bits),
+        g AS (SELECT bucket, floor(1000 * ln((sum(t) + 1)::DOUBLE * (sum(sum(s)) OVER () + 10000)::DOUBLE / ((sum(s) + 1)::DOUBLE * (sum(sum(t)) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM c GROUP BY 1),
+        x AS (SELECT doc_id, len(f) AS n_features, CASE WHEN len(f) = 0 THEN 0 ELSE floor(total / len(f)) END::BIGINT AS weight FROM w LEFT JOIN
+            (SELECT doc_id, sum(gain) AS total FROM (SELECT doc_id, unnest(f) AS f FROM w) JOIN c USING (f) JOIN g USING (bucket) GROUP BY 1) USING (doc_id)),
+        y AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+        z AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM y)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= able * 10 // 100 THEN place END AS rank FROM z""",
 }
