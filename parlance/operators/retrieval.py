@@ -295,6 +295,47 @@ def fetched(ids: DataFrame, chunks: DataFrame) -> DataFrame:
     return asked.join(chunks, "chunk_id").select("request_id", "place", *chunks.columns)
 
 
+def containing(queries: DataFrame, chunks: DataFrame, block_chars: int = 8_000_000) -> DataFrame:
+    """(query_id, chunk_id) of the chunks whose text holds the query's text.
+
+    Queries go to the tasks in blocks of about so many characters; one
+    automaton of a block's texts reads each chunk once, however many queries
+    there are. A null text holds nothing and is held by nothing.
+    """
+    q, c = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
+    known = queries.where("text is not null").groupBy("text").agg(F.collect_list("query_id").alias("ids"))
+    total = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = known.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(max(1, -(-total // block_chars)))))
+
+    def held(words: list[tuple[str, list]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for word, ids in words:
+                if word:
+                    automaton.add_word(word, ids)
+            automaton.make_automaton()
+            always = [i for word, ids in words if not word for i in ids]
+            for b in batches:
+                found = []
+                for chunk_id, text in zip(b.column("chunk_id").to_pylist(), b.column("text").to_pylist()):
+                    if text is not None:
+                        there = {id(ids): ids for _, ids in automaton.iter(text)} if len(automaton) else {}
+                        found += [(i, chunk_id) for i in [*always, *(i for ids in there.values() for i in ids)]]
+                yield pa.record_batch([pa.array([i for i, _ in found], query_type), pa.array([k for _, k in found], b.column("chunk_id").type)], names=["query_id", "chunk_id"])
+
+        return run
+
+    out = None
+    for block in range(max(1, -(-total // block_chars))):
+        words = blocks.where(F.col("block") == block).select("text", "ids").toArrow()
+        query_type = words.schema.field("ids").type.value_type
+        part = chunks.select("chunk_id", "text").mapInArrow(held(list(zip(words.column("text").to_pylist(), words.column("ids").to_pylist()))), f"query_id {q}, chunk_id {c}")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def retrieval_metrics(results: DataFrame, expected: DataFrame, k: int = TOP) -> DataFrame:
     """Recall, reciprocal rank and nDCG at k over all expected queries (four decimals).
 

@@ -9,6 +9,7 @@ from parlance.functions import text as T
 from parlance.operators import catalog as C
 from parlance.operators import dialogue as D
 from parlance.operators import evaluation as E
+from parlance.operators import lexicons as L
 from parlance.operators import records as R
 from parlance.operators import retrieval
 from parlance.operators import studio as W
@@ -212,6 +213,26 @@ def lexicon_correct(spark, sf_dir):
     return _turns(spark, sf_dir).select("session_id", "seq", T.corrected(F.col("text"), [("<x>", ("the", "and", "answer", "x")), ("<y>", ("the",))]).alias("text"))
 
 
+def _lexicons(spark, sf_dir):
+    """A lexicon for each of forty tenants: in its second version the first words of four letters that its first turn has, in the first version others."""
+    first = _turns(spark, sf_dir).groupBy((F.col("session_id") % 40).alias("tenant_id")).agg(F.min_by("text", F.struct("session_id", "seq", "role")).alias("text"))
+    words = F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{4,}"), F.lit(0)), 1, 3)
+    name = F.concat(F.lit("<"), F.col("tenant_id").cast("string"), F.lit(">"))
+    entry = lambda variants: F.array(F.struct(name.alias("surface"), variants.alias("variants"), F.lit(True).alias("enabled")))
+    rows = first.select("tenant_id", words.alias("words"))
+    made = rows.select("tenant_id", F.lit(2).alias("version"), entry(F.col("words")).alias("entries"))
+    return made.unionByName(rows.select("tenant_id", F.lit(1).alias("version"), entry(F.array(F.lit("the"), F.lit("and"))).alias("entries")))
+
+
+@query("""WITH f AS (SELECT conv_id % 40 AS tenant_id, regexp_extract_all(coalesce(arg_min(text, (conv_id, turn, role)), ''), '[A-Za-z]{4,}')[1:3] AS w FROM conversations GROUP BY 1),
+    p AS (SELECT tenant_id, string_agg(array_to_string(string_split(form, ''), '\\s*'), '|' ORDER BY length(form) DESC, form) AS pattern FROM (SELECT tenant_id, unnest(list_append(w, '<' || tenant_id || '>')) AS form FROM f) WHERE length(form) >= 2 GROUP BY 1)
+    SELECT c.conv_id AS session_id, c.turn AS seq, CASE WHEN p.pattern IS NULL THEN c.text ELSE regexp_replace(c.text, p.pattern, '<' || p.tenant_id || '>', 'g') END AS text FROM conversations c LEFT JOIN p ON p.tenant_id = c.conv_id % 40""")
+def tenant_lexicons(spark, sf_dir):
+    """Turns of many tenants, each corrected by its own tenant's newest lexicon, in one plan."""
+    turns = _turns(spark, sf_dir).withColumn("tenant_id", F.col("session_id") % 40)
+    return L.corrected_by_tenant(turns, _lexicons(spark, sf_dir)).select("session_id", "seq", "text")
+
+
 @query("""WITH t AS (SELECT doc_id, text, regexp_replace(text, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') AS bare FROM documents)
     SELECT doc_id, md5(substr(bare, 1, 180) || CASE WHEN length(bare) > 180 THEN '...' ELSE '' END) AS snippet, md5(CASE WHEN length(text) > 600 THEN substr(text, 1, 400) || chr(10) || '…' || chr(10) || right(text, 200) ELSE text END) AS transcript,
     regexp_replace(regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9._-]', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS name, length(bare) >= 6 AS search, round(least(1, greatest(0, exp(doc_id % 7 / -3.0))), 9) AS confidence,

@@ -14,6 +14,8 @@ from parlance.functions import text as T
 from parlance.operators import analytics as A
 from parlance.operators import governance as G
 from parlance.operators import retrieval as R
+from parlance.operators import stored_search as I
+from parlance.plans.indexes import sparse_index, text_vectors
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -189,8 +191,13 @@ def _asked(spark, sf_dir):
     return _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def _index(spark, sf_dir):
+    """The stored index of all documents, which the searches share."""
+    return sparse_index(spark, sf_dir, _chunks(spark, sf_dir))
+
+
 def _sparse(spark, sf_dir):
-    return R.bm25(_asked(spark, sf_dir), R.indexed(_chunks(spark, sf_dir)))
+    return _index(spark, sf_dir).search(_asked(spark, sf_dir))
 
 
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, rank, round(score, 4) AS score FROM sparse")
@@ -214,22 +221,20 @@ _RRF = """fused AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesc
 
 def _fused(spark, sf_dir, index):
     asked = _asked(spark, sf_dir)
-    terms = R.query_terms(asked)
-    shared = terms.join(R.postings(index, terms), "term").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
-    return R.fused(R.ranked(shared, "score", R.CANDIDATES), R.bm25(asked, index))
+    return R.fused(index.overlaps(asked), index.search(asked))
 
 
 @query(f"WITH {_BM25}, {_TF}, {_RRF} SELECT query_id, chunk_id, rrf FROM fused")
 def rrf_fuse(spark, sf_dir):
-    return _fused(spark, sf_dir, R.indexed(_chunks(spark, sf_dir))).select("query_id", "chunk_id", "rrf")
+    return _fused(spark, sf_dir, _index(spark, sf_dir)).select("query_id", "chunk_id", "rrf")
 
 
 @query(f"""WITH {_BM25}, {_TF}, {_RRF}, dt AS (SELECT doc_id AS chunk_id, list_distinct({_TERMS}) AS d FROM documents), qt AS (SELECT query_id, list_distinct({_TERMS}) AS q FROM b),
     rr AS (SELECT query_id, chunk_id, rrf, round(len(list_intersect(q, d)) / len(q), 6) AS score FROM fused JOIN dt USING (chunk_id) JOIN qt USING (query_id))
     SELECT query_id, chunk_id, rrf, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rrf DESC, chunk_id) AS INTEGER) AS rank FROM rr) WHERE rank <= 3""")
 def lexical_rerank_search(spark, sf_dir):
-    index = R.indexed(_chunks(spark, sf_dir))
-    return R.reranked(_fused(spark, sf_dir, index), _asked(spark, sf_dir), index)
+    index = _index(spark, sf_dir)
+    return index.reranked(_fused(spark, sf_dir, index), _asked(spark, sf_dir))
 
 
 @query(f"""WITH {_BM25}, e AS (SELECT query_id, doc_id AS chunk_id FROM b JOIN documents d ON contains(d.text, b.text)),
@@ -237,22 +242,9 @@ def lexical_rerank_search(spark, sf_dir):
     SELECT count(*) AS cases, count(first) AS hits, round(avg(CASE WHEN first IS NULL THEN 0 ELSE 1 END), 4) AS recall, round(avg(coalesce(1 / first, 0)), 4) AS mrr,
     round(avg(coalesce(dcg / list_sum(list_transform(range(1, least(n, 3) + 1), lambda i: 1 / log2(i + 1))), 0)), 4) AS ndcg FROM w LEFT JOIN h USING (query_id)""")
 def retrieval_metrics(spark, sf_dir):
-    """A query's expected documents are those that hold its text.
-
-    Candidates share the query's rarest term but for its first and last, which
-    may be part of a longer word there; queries without others are held against
-    every document.
-    """
+    """A query's expected documents are those that hold its text."""
     asked, chunks = _asked(spark, sf_dir), _chunks(spark, sf_dir)
-    index, terms = R.indexed(chunks), R.query_terms(asked)
-    found = R.postings(index, terms)
-    every = asked.select("query_id", "text", T.tokens(F.col("text")).alias("t"))
-    inner = every.where("size(t) > 2").select("query_id", F.explode(F.slice("t", 2, F.size("t") - 2)).alias("term")).distinct()
-    rare = inner.join(found.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    near = rare.join(found.select("term", "chunk_id"), "term").join(asked.withColumnRenamed("text", "query"), "query_id").join(chunks, "chunk_id").where("contains(text, query)")
-    short = every.where("size(t) <= 2").select("query_id", F.col("text").alias("query")).join(chunks, F.expr("contains(text, query)"))
-    expected = near.select("query_id", "chunk_id").unionByName(short.select("query_id", "chunk_id"))
-    return R.retrieval_metrics(R.bm25(asked, index), expected)
+    return R.retrieval_metrics(_index(spark, sf_dir).search(asked), R.containing(asked, chunks))
 
 
 @query()
@@ -266,7 +258,7 @@ _LEXICON = [("price", ("fee", "cost")), ("date", ("day",)), ("a", ("the",))]
 @query()
 def hybrid_search(spark, sf_dir):
     """Every benchmark text as a query over all documents: vectors and BM25, fused and reranked."""
-    return R.search(_asked(spark, sf_dir), R.indexed(_chunks(spark, sf_dir)))
+    return I.search(_asked(spark, sf_dir), _index(spark, sf_dir), text_vectors(spark, sf_dir, _chunks(spark, sf_dir)))
 
 
 @query("""SELECT item_id AS query_id, text || CASE WHEN len(l) = 0 THEN '' ELSE ' ' || array_to_string(l, ' ') END AS expanded FROM
@@ -321,9 +313,6 @@ def hallucination_judge_all(spark, sf_dir):
     return rows.select("doc_id", "f.form", T.hallucination_verdict(F.col("f.text"), F.col("n"), F.col("p")).alias("reason"))
 
 
-QUERIES["hallucination_judge"], ORACLE_SQL["hallucination_judge"] = hallucination_judge_all, ORACLE_SQL["hallucination_judge_all"]
-
-
 @query("""SELECT a.conv_id AS session_id, a.turn AS seq, CAST(levenshtein(lower(regexp_replace(a.text, '[^A-Za-z0-9]', '', 'g')), lower(regexp_replace(b.text, '[^A-Za-z0-9]', '', 'g'))) AS INTEGER) AS errors
     FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def wer_cer(spark, sf_dir):

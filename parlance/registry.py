@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.plans import event_queries  # noqa: F401  (adds its queries)
+from parlance.plans import event_queries, index_queries  # noqa: F401  (they add their queries)
 from parlance.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
