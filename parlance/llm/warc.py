@@ -21,8 +21,8 @@ from parlance.llm._shared import drop_stored, fresh_path, stored
 ROLL_BYTES, SHARD_BYTES = 16 << 20, 64 << 20
 #: More shards than this are not made: they grow instead, so that the driver's list of edges stays short.
 MOST_SHARDS = 65_536
-#: Bins in which the ids' range is counted, and rounds in which full bins are cut finer.
-BINS, ROUNDS = 1024, 4
+#: Bins in which a range of ids is counted at least, or a full bin is cut again at most, and bins of all full ones together.
+BINS, MOST_BINS = 1024, 1_000_000
 #: Fixed, so that equal input gives equal bytes.
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -136,52 +136,57 @@ def _write(folder: str, roll: int):
     return run
 
 
-def shard_edges(rows: DataFrame, target: int) -> tuple[list[int], dict[int, int]]:
-    """First ids of the shards, in order, ranges of about `target` bytes each; and in how many slices single ids over that are cut.
+def _ordinal(ids: np.ndarray) -> np.ndarray:
+    """64-bit ids as unsigned numbers in the same order."""
+    return ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def shard_edges(rows: DataFrame, target: int) -> tuple[np.ndarray, dict[int, int]]:
+    """First ids (as ordinals) of the shards, in order, ranges of about `target` bytes each; and in how many slices single ids over that are cut.
 
     rows has page_id and payload_bytes. The range of ids is counted in equal
-    bins, about four a shard; bins that hold more than two shards are cut
-    again, so clustered ids are met too. Counts are exact, so the edges are the
-    same in every run. Beyond MOST_SHARDS shards the target grows with the
-    table, so the driver sees a bounded number of bins.
+    bins, about four a shard; bins that hold more than two shards are cut again
+    until they don't or are a single id, so ids may be spread as they like: a
+    round cuts a bin by at least two, and 64 bits end. Counts are exact, so the
+    edges are the same in every run. Beyond MOST_SHARDS shards the target grows
+    with the table, so the driver sees a bounded number of bins a round.
     """
-    low, high, total = rows.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("payload_bytes") + 512)).first()
+    known = rows.where("page_id is not null")
+    low, high, total = known.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("payload_bytes") + 512)).first()
     if low is None:
-        return [], {}
+        return np.empty(0, np.uint64), {}
     target = max(target, -(-total // MOST_SHARDS))
     bins = int(max(BINS, 4 * total // target))
-    cells, out = [(low, high + 1)], []
-    for k in range(ROUNDS):
-        first = np.array([s for s, _ in cells])
-        last = np.array([e for _, e in cells])
-        width = np.maximum(1, -(-(last - first) // bins))
+    cells, out = [tuple(int(x) for x in _ordinal(np.array([low, high])))], []  # first and last of each
+    while cells:
+        first, last = (np.array(side, np.uint64) for side in zip(*cells))
+        width = (last - first) // np.uint64(bins) + np.uint64(1)
 
         @F.pandas_udf("long")
         def cell(ids: pd.Series) -> pd.Series:
-            x = ids.fillna(low - 1).to_numpy().astype(np.int64)
-            at = np.clip(np.searchsorted(first, x, side="right") - 1, 0, None)
+            x = _ordinal(ids.to_numpy())
+            at = np.clip(np.searchsorted(first, x, side="right").astype(np.int64) - 1, 0, None)
             start = first[at] + (x - first[at]) // width[at] * width[at]
-            return pd.Series(start).where(pd.Series((x >= first[at]) & (x < last[at])))
+            return pd.Series((start ^ np.uint64(1 << 63)).view(np.int64)).where(pd.Series((x >= first[at]) & (x <= last[at]))).astype("Int64")
 
-        found = rows.groupBy(cell("page_id").alias("cell")).agg(F.sum(F.col("payload_bytes") + 512).alias("weight")).where("cell is not null").collect()
+        found = known.groupBy(cell("page_id").alias("cell")).agg(F.sum(F.col("payload_bytes") + 512).alias("weight")).where("cell is not null").collect()
         finer = []
-        for start, weight in sorted((r["cell"], r["weight"]) for r in found):
-            c = int(np.searchsorted(first, start, side="right") - 1)
-            end = min(int(last[c]), start + int(width[c]))
-            if weight > 2 * target and end - start > 1 and k + 1 < ROUNDS:
+        for start, weight in sorted((int(_ordinal(np.array([r["cell"]]))[0]), r["weight"]) for r in found):
+            c = int(np.searchsorted(first, np.uint64(start), side="right")) - 1
+            end = min(int(last[c]), start + int(width[c]) - 1)
+            if weight > 2 * target and end > start:
                 finer.append((start, end))
             else:
                 out.append((start, weight))
         cells = finer
-        if not cells:
-            break
+        bins = max(2, min(BINS, MOST_BINS // max(1, len(cells))))
     edges, held = [], target
     for start, weight in sorted(out):
         if held + weight / 2 >= target:
             edges.append(start)
             held = 0
         held += weight
-    return edges, {start: -(-weight // target) for start, weight in out if weight > 2 * target}
+    return np.array(edges, np.uint64), {start: -(-weight // target) for start, weight in out if weight > 2 * target}
 
 
 def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -206,26 +211,30 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shar
     key = F.unhex(F.sha2(content, 256)).alias("content")
     ids = pages.select("page_id", F.octet_length(content).cast("long").alias("payload_bytes"), key)
     repeated = stored(ids.groupBy("content").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").select("content", "newest"), "newest")
-    first_ids, heavy = shard_edges(ids, shard_bytes)
-    edges = np.array(first_ids, dtype=np.int64)
+    edges, heavy = shard_edges(ids, shard_bytes)
+    large, cuts = np.array(sorted(heavy), np.uint64), np.array([n for _, n in sorted(heavy.items())], np.int64)
     nulls = ids.where("page_id is null").agg(F.sum(F.col("payload_bytes") + 512)).first()[0] or 0
 
     @F.pandas_udf("long")
     def shard(page_ids: pd.Series) -> pd.Series:
-        x = page_ids.fillna(np.iinfo(np.int64).min).to_numpy().astype(np.int64)
-        return pd.Series(np.clip(np.searchsorted(edges, x, side="right") - 1, 0, None))
+        return pd.Series(np.clip(np.searchsorted(edges, _ordinal(page_ids.to_numpy()), side="right").astype(np.int64) - 1, 0, None))
+
+    @F.pandas_udf("long")
+    def parts(page_ids: pd.Series) -> pd.Series:
+        x = _ordinal(page_ids.to_numpy())
+        at = np.clip(np.searchsorted(large, x), 0, max(0, len(large) - 1))
+        return pd.Series(np.where(large[at] == x, cuts[at], 1) if len(large) else np.ones(len(x), np.int64))
 
-    slices = F.when(F.col("page_id").isNull(), F.lit(-(-nulls // shard_bytes) or 1)).otherwise(F.lit(1))
-    for page_id, n in heavy.items():  # bins of two shards' bytes and more: few, since all bytes are one table's
-        slices = F.when(F.col("page_id") == page_id, F.lit(n)).otherwise(slices)
+    id_or_least = F.coalesce(F.col("page_id"), F.lit(-(1 << 63)))  # a column with nulls would come as floats
+    slices = F.when(F.col("page_id").isNull(), F.lit(-(-nulls // shard_bytes) or 1)).otherwise(parts(id_or_least))
     rows = pages.select("page_id", "url", content.cast("binary").alias("payload"), key)
     rows = rows.join(F.broadcast(repeated) if repeated.count() <= broadcast_rows else repeated, "content", "left")
     refers_to = F.when(F.col("page_id") < F.col("newest"), F.col("newest"))
     rows = rows.select(
-        shard("page_id").alias("shard"), F.pmod(F.xxhash64("content", "url"), slices).cast("int").alias("slice"), "page_id", "url", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1"),
+        shard(id_or_least).alias("shard"), F.pmod(F.xxhash64("content", "url"), slices).cast("int").alias("slice"), "page_id", "url", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1"),
         refers_to.alias("refers_to"), F.when(refers_to.isNull(), F.col("payload")).alias("payload"),
     )
-    dealt = rows.repartitionByRange(max(1, len(first_ids)), "shard", "slice").sortWithinPartitions("shard", "slice", "page_id", "url", "sha1")
+    dealt = rows.repartitionByRange(max(1, len(edges)), "shard", "slice").sortWithinPartitions("shard", "slice", "page_id", "url", "sha1")
     manifest = dealt.mapInArrow(_write(folder.rstrip("/"), roll_bytes), MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     drop_stored(repeated)

@@ -375,6 +375,23 @@ def test_warc_of_hot_and_null_ids(spark, tmp_path):
     assert [r["sha256"] for r in spark.read.parquet(f"file://{tmp_path}/0/manifest").orderBy("path").collect()] == [r["sha256"] for r in spark.read.parquet(f"file://{tmp_path}/1/manifest").orderBy("path").collect()]
 
 
+@pytest.mark.parametrize("far", [[1 << 62], [-(1 << 63), (1 << 63) - 1], [10**k for k in range(3, 19)], [(1 << 40) + k for k in range(500)]])
+def test_warc_shards_are_even_for_any_ids(spark, tmp_path, far):
+    """Ids spread wide, or in clusters far apart: no shard gets much more than its bytes, and reruns give equal files."""
+    pages = [(k, f"u{k}", f"{k} " * 300) for k in [*range(1000), *far]]
+    rows = spark.createDataFrame([*pages, (None, "n", "y")], "page_id long, url string, html string").repartition(5)
+    manifest = write_warc(rows, f"file://{tmp_path}/a", shard_bytes=8000)
+    got = read_warc(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(repr(tuple(r)) for r in got) == _brute_warc([*pages, (None, "n", "y")])
+    sizes = Counter()
+    for f in manifest.collect():
+        sizes[f["shard"]] += f["records"]
+    assert len(sizes) > 100 and max(sizes.values()) <= 30
+    digests = lambda at: [r["sha256"] for r in spark.read.parquet(f"file://{tmp_path}/{at}/manifest").orderBy("path").collect()]
+    write_warc(rows.repartition(2), f"file://{tmp_path}/b", shard_bytes=8000)
+    assert digests("a") == digests("b")
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "http://a", "same"), (2, None, "same"), (5, "http://c", "same"), (3, "http://d", None), (4, "http://e", ""), (None, "http://f", "x" * 100_000)]
     rows = spark.createDataFrame(pages, "page_id long, url string, html string")
