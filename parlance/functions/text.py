@@ -45,6 +45,12 @@ MAX_ANSWER_CHARS, MIN_COVERAGE, MIN_COVERAGE_TOKENS = 140, 0.35, 20
 ASR_PUNCTUATION = ".,!?;:~…·\"'()[]{}<>/\\|`^*_+=-\u201c\u201d\u2018\u2019"
 MAX_LEXICON, MAX_PROMPT_CHARS = 500, 200
 ROLE_LABELS = {"customer": "고객", "agent": "상담원", "": "참여자"}
+#: Fields of summaries, of action items, and those without which a summary says nothing.
+CALL_FIELDS = ("category", "subcategory", "customer_request", "agent_response", "resolution", "follow_up", "keywords")
+MEETING_FIELDS = ("title", "agenda", "decisions", "action_items", "participants")
+ITEM_FIELDS = ("text", "owner", "due")
+CALL_KEYS = ("category", "customer_request", "agent_response", "resolution")
+MEETING_KEYS = ("title", "agenda", "decisions", "action_items")
 QUESTION = r"(나요|까요|가요|인가요|되나요|하죠|\?)\s*$"
 MASK_TOKEN = r"\[[A-Z_]+_MASKED\]"
 
@@ -283,15 +289,28 @@ def role_label(speaker_id: Column, role: Column) -> Column:
     return F.coalesce(F.when(strip(speaker_id) != "", speaker_id), F.when(role == "customer", ROLE_LABELS["customer"]).when(role == "agent", ROLE_LABELS["agent"]).otherwise(ROLE_LABELS[""]))
 
 
+def _listed(value: Column, most: int = 20) -> Column:
+    """A JSON list, given as text, as trimmed texts, the first `most` without blank ones; a text that is no list is one item."""
+    items = F.when(value.startswith("["), F.from_json(value, "array<string>")).when(strip(value) != "", F.array(value))
+    return F.coalesce(F.filter(F.transform(F.slice(items, 1, most), strip), lambda v: v != ""), F.expr(_NO_STRINGS))
+
+
 def summary_fields(raw: Column, kind: str = "call") -> Column:
-    """The fields of a summary in a model's answer, trimmed; action items may be texts or objects with a text."""
+    """The fields of a summary in a model's answer, trimmed; what is missing is empty. Action items may be texts or objects."""
+    names = CALL_FIELDS if kind == "call" else MEETING_FIELDS
+    made = json_object(raw, ", ".join(f"{n} string" for n in names))
+    text = lambda n: F.coalesce(strip(made[n]), F.lit("")).alias(n)
     if kind == "call":
-        made = json_object(raw, "issue string, cause string, resolution string, followup string")
-        return F.struct(*(F.coalesce(strip(made[k]), F.lit("")).alias(k) for k in ("issue", "cause", "resolution", "followup")))
-    made = json_object(raw, "topic string, decisions array<string>, action_items array<string>")
-    item = lambda x: F.coalesce(F.get_json_object(x, "$.text"), x)
-    lists = (("decisions", made["decisions"]), ("action_items", F.transform(made["action_items"], item)))
-    return F.struct(F.coalesce(strip(made["topic"]), F.lit("")).alias("topic"), *(F.coalesce(string_list(v), F.expr(_NO_STRINGS)).alias(k) for k, v in lists))
+        return F.struct(*(text(n) for n in names[:-1]), _listed(made["keywords"], 10).alias("keywords"))
+
+    def item(x: Column) -> Column:
+        field = lambda n: strip(F.coalesce(F.get_json_object(x, f"$.{n}"), F.lit("")))
+        return F.when(x.startswith("{"), F.struct(*(field(n).alias(n) for n in ITEM_FIELDS))).otherwise(F.struct(strip(x).alias("text"), F.lit("").alias("owner"), F.lit("").alias("due")))
+
+    items = F.when(made["action_items"].startswith("["), F.from_json(made["action_items"], "array<string>"))
+    none = F.expr("cast(array() as array<struct<text:string,owner:string,due:string>>)")
+    actions = F.coalesce(F.filter(F.transform(F.filter(items, lambda x: x.isNotNull()), item), lambda x: x["text"] != ""), none)
+    return F.struct(text("title"), *(_listed(made[n]).alias(n) for n in ("agenda", "decisions")), actions.alias("action_items"), _listed(made["participants"]).alias("participants"))
 
 
 def blank_summary(fields: Column, keys: tuple[str, ...]) -> Column:
@@ -313,5 +332,8 @@ def canonical_json(value: Column) -> Column:
 
 
 def pattern_fault(pattern: Column, most: int = 500) -> Column:
-    """Why a rule's pattern can't be used: blank, too long, or it matches the empty text; null if it can. Broken patterns fail the query that compiles them."""
+    """Why a rule's pattern can't be used: blank, too long, or it matches the empty text; null if it can.
+
+    A pattern that doesn't compile fails the query; operators.studio.patterns_checked reports it instead.
+    """
     return F.when(strip(F.coalesce(pattern, F.lit(""))) == "", "blank").when(F.length(pattern) > most, "too long").when(F.regexp_like(F.lit(""), pattern), "matches everything")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.governance import closure
-from parlance.operators.ordered import folded
+from parlance.operators.ordered import Fold
 
 # --- fixed values: results depend on them ---------------------------------------
 MAX_CHAIN = 12
@@ -166,6 +166,12 @@ def played(utterances: DataFrame, nodes: list[dict], entry: str, fallback: str =
     and the node has it. The row with seq -1 is the opening. nodes are the
     scenario's, as dicts of the columns of NODE: settings, bounded by its author.
     """
+    said = utterances.select("session_id", F.col("seq").cast("int").alias("seq"), "text", "intent")
+    return dialogue(nodes, entry, fallback, utterances.schema["session_id"].dataType.simpleString()).over(said)
+
+
+def dialogue(nodes: list[dict], entry: str, fallback: str, kind: str) -> Fold:
+    """The moves of sessions through a scenario; kind is the type of session_id."""
     scenario = _Scenario(nodes, entry, fallback)
 
     def row(s: dict, session, seq: int, said: list[tuple[str, str]]) -> dict:
@@ -183,6 +189,5 @@ def played(utterances: DataFrame, nodes: list[dict], entry: str, fallback: str =
         said = scenario.reply(s, NO_ANSWER if r["text"] is None else r["text"], r["intent"])
         return [*out, row(s, r["session_id"], r["seq"], said)]
 
-    kind = utterances.schema["session_id"].dataType.simpleString()
     schema = f"session_id {kind}, seq int, said array<struct<node_id:string,text:string>>, node_id string, slots map<string,string>, retries int, handed_off boolean, finished boolean"
-    return folded(utterances.select("session_id", F.col("seq").cast("int").alias("seq"), "text", "intent"), "session_id", ("seq",), schema, start, step)
+    return Fold("session_id", ("seq",), schema, start, step)

@@ -82,7 +82,7 @@ def audit_query(records: DataFrame, k: int = 2000, since=None, until=None, **equ
         records = records.where(F.col("recorded_at") >= since)
     if until is not None:
         records = records.where(F.col("recorded_at") <= until)
-    return records.orderBy(F.desc("seq_no")).limit(min(k, 2000))
+    return records.orderBy(F.desc("seq_no")).limit(k)
 
 
 def differences(current: DataFrame, recorded: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +11,26 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 
+@dataclass(frozen=True)
+class Fold:
+    """An ordered operator: rows of a key, in order, through a state.
+
+    start() is a new state, a dict; step(state, row) and, after the last row,
+    end(state, key) give rows of the schema. Tables take it by `over`, streams
+    by streaming.stateful.
+    """
+
+    key: str
+    order: tuple[str, ...]
+    schema: str
+    start: Callable
+    step: Callable
+    end: Callable = lambda state, key: []
+
+    def over(self, rows: DataFrame) -> DataFrame:
+        return folded(rows, self.key, self.order, self.schema, self.start, self.step, self.end)
+
+
 def folded(rows: DataFrame, key: str, order: tuple[str, ...], schema: str, start: Callable, step: Callable, end: Callable = lambda state, key: []) -> DataFrame:
     """What step(state, row) and, after a key's last row, end(state, key) give: lists of rows of the schema.
 

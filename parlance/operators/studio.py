@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.text import BOILERPLATE, grounding_verdict, masked, masked_kinds, matched_rules, pattern_fault, strip
+from parlance.functions.text import BOILERPLATE, grounding_verdict, masked, masked_kinds, matched_rules, strip
 from parlance.operators.dialogue import promotion_fault
 from parlance.operators.evaluation import repeated
 
@@ -21,10 +24,35 @@ def filtered(events: DataFrame, rules: Column) -> DataFrame:
     return events.select("*", masked(F.col("text")).alias("clean_text"), kinds.alias("kinds"), (F.size(kinds) > 0).alias("pii_masked"), matched_rules(F.col("text"), rules).alias("matched_rules"))
 
 
+def patterns_checked(rules: DataFrame, most: int = 500) -> DataFrame:
+    """(rule_id, problem) of patterns that can't be used: blank, too long, broken, or matching the empty text.
+
+    Patterns are compiled by Python in Arrow batches, since one that Java can't
+    compile would end the query.
+    """
+
+    def fault(pattern: str | None) -> str | None:
+        if not (pattern or "").strip():
+            return "blank"
+        if len(pattern) > most:
+            return "too long"
+        try:
+            return "matches everything" if re.search(pattern, "") else None
+        except re.error:
+            return "broken"
+
+    def run(batches):
+        for b in batches:
+            bad = [(i, f) for i, p in zip(b.column("rule_id").to_pylist(), b.column("pattern").to_pylist()) if (f := fault(p))]
+            yield pa.record_batch([pa.array([i for i, _ in bad], b.column("rule_id").type), pa.array([f for _, f in bad], pa.string())], names=["rule_id", "problem"])
+
+    return rules.select("rule_id", "pattern").mapInArrow(run, f"rule_id {rules.schema['rule_id'].dataType.simpleString()}, problem string")
+
+
 def rule_faults(rules: DataFrame) -> DataFrame:
-    """(rule_id, problem) of a draft (rule_id, pattern): ids used twice, blank, too long and all-matching patterns."""
+    """(rule_id, problem) of a draft (rule_id, pattern): ids used twice, and patterns that can't be used."""
     twice = repeated(rules, "rule_id").select("rule_id", F.lit("repeated id").alias("problem"))
-    return twice.unionByName(rules.select("rule_id", pattern_fault(F.col("pattern")).alias("problem")).where("problem is not null"))
+    return twice.unionByName(patterns_checked(rules))
 
 
 def exported_rules(rules: DataFrame) -> DataFrame:

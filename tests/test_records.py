@@ -191,9 +191,11 @@ def test_texts_of_models(spark):
     assert one(T.first_intent(F.lit("the fee"), intents)) == "b" and one(T.first_intent(F.lit("zzz"), intents)) is None
     assert one(T.corrected(F.lit("무배담 행복 플러스 가입"), [("무배당 행복플러스", ("무배담행복플러스",)), ("행복플러스", ()), ("", ("x",))])) == "무배당 행복플러스 가입"
     assert T.recognition_prompt(["a" * 100, "b" * 90, "c" * 50]) == "a" * 100 + ", " + "b" * 90
-    call = one(T.summary_fields(F.lit('```json\n{"issue": " x ", "cause": null}\n```')))
-    assert tuple(call) == ("x", "", "", "") and not one(T.blank_summary(T.summary_fields(F.lit('{"issue":"x"}')), ("issue", "cause"))) and one(T.blank_summary(T.summary_fields(F.lit("{}")), ("issue", "cause")))
-    meeting = one(T.summary_fields(F.lit('{"topic":"t","decisions":["d",""],"action_items":["a",{"text":"b"}]}'), "meeting"))
-    assert (meeting["topic"], meeting["decisions"], meeting["action_items"]) == ("t", ["d"], ["a", "b"])
+    call = one(T.summary_fields(F.lit('```json\n{"category": " x ", "follow_up": null, "keywords": ["a", " ", "b"], "resolution": 5}\n```')))
+    assert tuple(call) == ("x", "", "", "", "5", "", ["a", "b"])
+    blank = lambda raw, keys, kind="call": one(T.blank_summary(T.summary_fields(F.lit(raw), kind), keys))
+    assert not blank('{"category":"x"}', T.CALL_KEYS) and blank("{}", T.CALL_KEYS) and blank('{"follow_up":"x"}', T.CALL_KEYS) and blank("nothing", T.MEETING_KEYS, "meeting") and not blank('{"agenda":"one"}', T.MEETING_KEYS, "meeting")
+    meeting = one(T.summary_fields(F.lit('{"title":"t","agenda":"only","decisions":["d",""],"action_items":["a",{"text":"b","owner":"o"},{"owner":"x"},null]}'), "meeting"))
+    assert (meeting["title"], meeting["agenda"], meeting["decisions"], [tuple(i) for i in meeting["action_items"]], meeting["participants"]) == ("t", ["only"], ["d"], [("a", "", ""), ("b", "o", "")], [])
     assert one(T.canonical_json(F.create_map(F.lit("b"), F.lit("1"), F.lit("a"), F.lit("한")))) == '{"a":"한","b":"1"}' and one(T.trimmed(F.lit("x" * 300))) == "(300 chars)"
     assert [one(T.pattern_fault(F.lit(p))) for p in ("a+", " ", "x" * 501, "a*")] == [None, "blank", "too long", "matches everything"]
