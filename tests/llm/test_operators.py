@@ -284,6 +284,16 @@ def test_quality_verdicts_on_documents_set_aside(spark, small):
     assert sum(ok for q, ok in passed if q == 0) <= 0.4 * sum(q == 0 for q, _ in passed)
 
 
+def test_line_model_counts_an_id_once(spark, small):
+    """Rows that share an id add nothing to what the model is fitted on, however many there are."""
+    from parlance.llm.quality import fit_lines
+
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    once = fit_lines(docs, labels)
+    again = fit_lines(docs.unionByName(docs).unionByName(docs.where("doc_id % 2 = 0")), labels.unionByName(labels))
+    assert once["least"] == again["least"] and np.array_equal(once["table"], again["table"]) and np.array_equal(once["move"], again["move"])
+
+
 def test_token_counts_and_cache(spark, small, texts, odd, empty, tmp_path):
     tok = Tokenizer.from_file(PATH)
     for r in op6_token_counts(spark, small).collect():
@@ -474,6 +484,48 @@ def test_mixing(spark, small, odd, empty, monkeypatch):
     assert mix(odd).count() == len(ODD) and mix(odd).where("taken > 2 * size").count() == 0 and mix(empty).count() == 0
 
 
+def test_mixing_query_by_brute_force(spark, small):
+    """The registered query: sizes, targets by water filling, and per source a sum of taken words near its target."""
+    from parlance.llm.mixing import op10_source_mixing
+
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    size = {k: len(WORDS.findall(r["text"] or "")) for k, r in docs.items()}
+    sizes = {}
+    for k, r in docs.items():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + size[k]
+    want, taken = _brute_targets(sizes), {}
+    rows = op10_source_mixing(spark, small).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    for r in rows:
+        source = docs[r["doc_id"]]["source"]
+        assert (r["size"], r["source_size"]) == (size[r["doc_id"]], sizes[source]) and r["target"] == pytest.approx(want[source]) and r["taken"] in (0, r["size"], 2 * r["size"])
+        taken[source] = taken.get(source, 0) + r["taken"]
+    for source, n in taken.items():
+        assert abs(n - want[source]) <= 2 * max(size[k] for k, r in docs.items() if r["source"] == source)
+    assert sorted(map(repr, op10_source_mixing(spark, small).collect())) == sorted(map(repr, rows))
+
+
+def test_pipeline_run(spark, small):
+    """All stages, written and read again: whole documents in gapless sequences, each as often as the mix took it."""
+    import corpus_pipeline as C
+
+    rows = C.run(spark, small).collect()
+    places, pieces = {}, {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        pieces.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"]))
+    for spans in places.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert rows and set(pieces) <= {r["doc_id"] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id").collect()}
+    for own in pieces.values():
+        copies = sum(p == 0 for p, *_ in own)
+        assert all(sum(p == k for p, *_ in own) == copies for k in range(max(p for p, *_ in own) + 1)) and {s for p, s, _ in own if p == 0} == {0}
+
+
 def test_pipeline_stages(spark, small):
     """Each stage on what its predecessor kept: rows in, rows out, whole texts."""
     import corpus_pipeline as C
