@@ -18,6 +18,15 @@ from parlance.llm.packing import pack_documents
 from parlance.llm.pii import fit_pii, redact
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows that go to Python at once. Spark's default of 10,000 whole texts is held in the executor, in its buffers and in
+#: Python at the same time, for each task.
+ROWS = 1000
+
+
+def _in_small_batches(docs: DataFrame) -> DataFrame:
+    """The documents, in a session that sends ROWS rows to Python at once."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    return docs
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     letters and go. Without labelled rows there is no model, and all documents
     pass. An empty table stays empty; columns beside the five are left out.
     """
-    model = fit_languages(docs)
+    model = fit_languages(_in_small_batches(docs))
     if model is None:
         return docs.select(*COLUMNS)
     named = docs.select("doc_id", "lang", "source", "n_chars", "text", F.col("text").alias("body"))
@@ -47,7 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     are left out.
     """
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
-    rows = docs.select(*COLUMNS, key.alias("h"))
+    rows = _in_small_batches(docs).select(*COLUMNS, key.alias("h"))
     found = ngram_components(rows.select(F.col("h").alias("doc_id"), "text"))
     keys = found.groupBy(F.col("doc_id").alias("h")).agg(F.max("n_shingles").alias("n"), F.max("component_id").alias("component"), F.count("*").alias("rows"))
     named = stored(keys.join(rows.groupBy("h").agg(F.max("doc_id").alias("doc_id")), "h"), "named")
@@ -92,7 +101,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is packed, repeated ones and null ids too; a null or empty text is
     its end alone. An empty table gives no pieces.
     """
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(_in_small_batches(docs), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
