@@ -4,37 +4,89 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.speech import spoken
 from parlance.functions.text import character_error, comparable, first_intent, grounding_verdict, masked, masked_kinds, word_error
 from parlance.operators import retrieval
+from parlance.storage import drop_stored, stored
 
+#: Groups up to this size are ordered in one task; the range of larger ones is counted in so many parts.
+FEW_VALUES, BINS = 10_000, 1024
 
-def nearest_rank(rows: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """The nearest-rank percentile of each group, as column `percentile` (three decimals); nulls don't count.
 
-    SQL's percentile_disc takes the first value whose share of the order
-    reaches `share`, which is the ceil(n * share)-th.
-    """
-    made = F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})")
-    return rows.groupBy(*keys).agg(F.round(made, 3).alias("percentile"))
+def _same(a: str, b: str, keys: list[str]) -> Column:
+    return reduce(and_, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys), F.lit(True))
+
 
+def selected(rows: DataFrame, keys: list[str], value: str, rank: Column, few: int = FEW_VALUES) -> DataFrame:
+    """The rank-th smallest value of each group, as column `chosen`; rank is a column over n, the group's number of values; nulls don't count.
 
-def check_metrics(checks: DataFrame, keys: list[str]) -> DataFrame:
+    Groups of up to `few` values are ordered where they stand. In larger ones
+    the range of values is counted in BINS parts, of which the one with the
+    wanted place goes on, with its own least and greatest value, until few
+    values or a single one are left. So no group is held by one task, however
+    large it is or however often a value occurs.
+    """
+    own = rows.select(*keys, F.col(value).alias("_v")).where("_v is not null")
+    sizes = own.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    bounds = stored(sizes.withColumn("k", rank.cast("long")), "bounds")
+    while not (wide := bounds.where((F.col("n") > few) & (F.col("low") < F.col("high")))).isEmpty():
+        inside = own.alias("o").join(wide.alias("b"), _same("o", "b", keys) & F.col("_v").between(F.col("low"), F.col("high")))
+        part = F.least(F.lit(BINS - 1), F.floor((F.col("_v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS))
+        counts = inside.select(*(F.col(f"b.{key}") for key in keys), "k", "_v", part.alias("bin")).groupBy(*keys, "k", "bin").agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin"))  # at most BINS rows a group
+        chosen = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k")))
+        narrowed = chosen.select(*keys, "n", "low", "high", (F.col("k") - F.col("upto") + F.col("n")).alias("k"))
+        fresh = stored(bounds.where((F.col("n") <= few) | (F.col("low") >= F.col("high"))).unionByName(narrowed), "bounds")
+        drop_stored(bounds)
+        bounds = fresh
+    single = bounds.where("low >= high").select(*keys, F.col("low").alias("chosen"))
+    left = own.alias("o").join(bounds.where("low < high").alias("b"), _same("o", "b", keys) & F.col("_v").between(F.col("low"), F.col("high"))).select(*(F.col(f"b.{key}") for key in keys), "_v", "k")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))  # at most `few` rows a group
+    found = left.withColumn("place", place).where(F.col("place") == F.col("k")).select(*keys, F.col("_v").alias("chosen")).unionByName(single)
+    every = rows.select(*keys).distinct()
+    return every.alias("e").join(found.alias("f"), _same("e", "f", keys), "left").select(*(F.col(f"e.{key}") for key in keys), "chosen")
+
+
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, share: float, few: int = FEW_VALUES) -> DataFrame:
+    """The nearest-rank percentile of each group, the ceil(n * share)-th value, as column `percentile` (three decimals); nulls don't count."""
+    made = selected(rows, keys, value, F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(share))), few)
+    return made.select(*keys, F.round("chosen", 3).alias("percentile"))
+
+
+def check_metrics(checks: DataFrame, keys: list[str], few: int = FEW_VALUES) -> DataFrame:
     """Per suite: cases, passed, accuracy (four decimals), known limitations, misroutes, mean and 95th percentile of latency_ms (three).
 
     checks has the keys, passed, known_limitation, misroute and latency_ms.
     """
-    p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)")
-    return checks.groupBy(*keys).agg(
+    sums = checks.groupBy(*keys).agg(
         F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.round(F.count_if("passed") / F.count("*"), 4).alias("accuracy"),
-        F.count_if("known_limitation").alias("known_limitations"), F.count_if("misroute").alias("misroutes"), F.round(F.avg("latency_ms"), 3).alias("mean_latency_ms"), F.round(p95, 3).alias("p95_latency_ms"),
+        F.count_if("known_limitation").alias("known_limitations"), F.count_if("misroute").alias("misroutes"), F.round(F.avg("latency_ms"), 3).alias("mean_latency_ms"),
     )
+    p95 = nearest_rank(checks, keys, "latency_ms", 0.95, few)
+    return sums.alias("s").join(p95.alias("p"), _same("s", "p", keys)).select("s.*", F.col("percentile").alias("p95_latency_ms"))
+
+
+def studio_results(runs: DataFrame) -> DataFrame:
+    """Runs of a golden set (case_id, expected, returned, latency_ms) with hit and rank: the first place among the returned ids, repeated ones too, that is expected."""
+    places = F.filter(F.transform("returned", lambda d, i: F.when(F.array_contains("expected", d), i + 1)), lambda i: i.isNotNull())
+    return runs.withColumn("rank", F.array_min(places)).withColumn("hit", F.col("rank").isNotNull())
+
+
+def studio_report(runs: DataFrame, keys: list[str] = (), few: int = FEW_VALUES) -> DataFrame:
+    """Per set: total, hits, recall_at_k (four decimals), mean_latency_ms (two) and p95_latency_ms, the floor(n * 0.95)-th latency and the first at least."""
+    keys = list(keys)
+    rows = studio_results(runs)
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if("hit").alias("hits"), F.round(F.count_if("hit") / F.count("*"), 4).alias("recall_at_k"), F.round(F.avg("latency_ms"), 2).alias("mean_latency_ms")).where("total > 0")
+    chosen = selected(rows.withColumn("_all", F.lit(0)), [*keys, "_all"], "latency_ms", F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(0.95))), few).drop("_all")
+    return sums.alias("s").join(chosen.alias("p"), _same("s", "p", keys), "left").select("s.*", F.col("chosen").cast("double").alias("p95_latency_ms"))
 
 
 def intent_checks(cases: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.functions.text import tokens
-from parlance.operators.retrieval import B, CANDIDATES, K1, TOP, query_terms, ranked
+from parlance.operators.engines import engine
+from parlance.operators.retrieval import B, CANDIDATES, K1, TOP, ranked
 from parlance.sources.segments import SegmentLog
 from parlance.storage import drop_stored, stored
 
@@ -135,15 +135,23 @@ class SparseIndex:
     lengths come from these rows and no search reads a text. Each change is a
     segment (see SegmentLog): added chunks replace those of the same id,
     removed ones are tombstones, and statistics are sums over the live rows of
-    all segments, so a search gives what a rebuilt index would.
+    all segments, so a search gives what a rebuilt index would. The tokenizer,
+    by its name, is part of what is stored: another one can't open the index.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.log = spark, SegmentLog(spark, path)
+    def __init__(self, spark: SparkSession, path: str, tokenizer: str = "syllable"):
+        self.spark, self.log, self.tokenizer, self.terms = spark, SegmentLog(spark, path), tokenizer, engine("tokenizer", tokenizer)
+        for commit in self.log.commits():
+            if commit["made_by"] not in (None, tokenizer):
+                raise ValueError(f"the index was made with {commit['made_by']}, its queries can't be cut by {tokenizer}")
+
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        """(query_id, term) of queries, each term once a query."""
+        return queries.select("query_id", F.explode(F.array_distinct(self.terms(F.col("text")))).alias("term"))
 
     def _made(self, chunks: DataFrame) -> DataFrame:
         titled = "title" in chunks.columns
-        cut = spread(chunks).select("chunk_id", digest_of(chunks).alias("digest"), tokens(F.col("text")).alias("terms"), (tokens(F.col("title")) if titled else F.lit(None).cast("array<string>")).alias("title_terms"))
+        cut = spread(chunks).select("chunk_id", digest_of(chunks).alias("digest"), self.terms(F.col("text")).alias("terms"), (self.terms(F.col("title")) if titled else F.lit(None).cast("array<string>")).alias("title_terms"))
         kind = chunks.schema["chunk_id"].dataType.simpleString()
         arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
         rows = cut.mapInArrow(_postings(arrow), f"term string, chunk_id {kind}, tf int, text_tf int, length int, digest long")
@@ -154,7 +162,7 @@ class SparseIndex:
         gone = chunks.select(F.col("chunk_id").alias("key"))
         if also_removed is not None:
             gone = gone.unionByName(also_removed.select(F.col("chunk_id").alias("key")))
-        return self.log.append({"postings": self._made(chunks)}, gone if self.log.commits() else None, work)
+        return self.log.append({"postings": self._made(chunks)}, gone if self.log.commits() else None, work, made_by=self.tokenizer)
 
     def remove(self, ids: DataFrame, work: str | None = None) -> int | None:
         """Take chunks (chunk_id) out; unknown ids don't matter."""
@@ -190,7 +198,7 @@ class SparseIndex:
         live = self.log.live("postings", "chunk_id")
         if live is None:
             return None
-        return self.log.compact({"postings": live.repartition(F.col("term"), F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS))).sortWithinPartitions("term", "chunk_id")})
+        return self.log.compact({"postings": live.repartition(F.col("term"), F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS))).sortWithinPartitions("term", "chunk_id")}, made_by=self.tokenizer)
 
     def postings(self, terms: DataFrame) -> DataFrame:
         """Live (term, chunk_id, tf, text_tf, length) of some terms. A few terms are sought in the files, which are sorted by term."""
@@ -227,7 +235,7 @@ class SparseIndex:
         q = queries.schema["query_id"].dataType.simpleString()
         if not docs:
             return self.spark.createDataFrame([], f"query_id {q}, chunk_id string, score double, rank int")
-        terms = stored(query_terms(queries), "asked")
+        terms = stored(self._asked(queries), "asked")
         blocks, out = max(1, -(-terms.count() // block_terms)), []
         for block in range(blocks):
             mine = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
@@ -252,7 +260,7 @@ class SparseIndex:
 
         Candidates that the index lacks are left out.
         """
-        terms = query_terms(queries)
+        terms = self._asked(queries)
         n = terms.groupBy("query_id").agg(F.count("*").alias("n"))
         there = self.postings(terms).where("text_tf > 0").select("term", "chunk_id")
         shared = candidates.select("query_id", "chunk_id").join(terms, "query_id").join(there, ["term", "chunk_id"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("shared"))

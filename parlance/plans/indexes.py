@@ -14,6 +14,10 @@ from parlance.operators.vector_index import VectorIndex
 from parlance.storage import drop_stored, shared_dir, stored
 
 
+#: Raised when what indexes hold changes, so that older ones aren't read.
+LAYOUT = 1
+
+
 def _stamp(rows: DataFrame) -> str:
     """Names, sizes and times of the files that rows are read from: the same as long as none has changed."""
     spark, found = rows.sparkSession, []
@@ -25,7 +29,7 @@ def _stamp(rows: DataFrame) -> str:
 
 
 def _place(spark: SparkSession, kind: str, sf_dir: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return f"{shared_dir(spark)}/{kind}-{LAYOUT}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
 
 
 def _in_step(index: SparseIndex | VectorIndex, stamp: str) -> bool:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -25,7 +26,9 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON files, one object a line, as struct `row`, with their file and line number.
 
     Blank lines, and headers (objects whose keys all start with _), are left
-    out. A line that is no object comes with a null row: see `broken`.
+    out. A line that is no object comes with a null row: see `broken`. For its
+    line numbers a file is read as one row, so a file may have 2 GB at most:
+    larger sets are many files.
     """
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     lines = lines.withColumn("value", F.trim(F.regexp_replace("value", "\r$", ""))).where("value <> ''")
@@ -68,7 +71,7 @@ def golden(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, title, text) of Markdown files: a line "## id title" opens an article; what stands before the first is left out."""
+    """(doc_id, title, text) of Markdown files: a line "## id title" opens an article; what stands before the first is left out. A file is read as one row, 2 GB at most."""
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     head = F.col("value").startswith("## ")
     number = F.sum(head.cast("int")).over(Window.partitionBy("file").orderBy("line"))
@@ -135,8 +138,15 @@ def parsed(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("path", "kind", "content"))):
-                yield pa.RecordBatch.from_pylist([one(*row)], schema)
+            out, size = [], 0
+            for path, kind, content in zip(b.column("path").to_pylist(), b.column("kind").to_pylist(), b.column("content")):
+                out.append(one(path, kind, content.as_py()))
+                size += len(out[-1]["text"] or "")
+                if len(out) >= 256 or size >= 16 << 20:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
 
     rows = files.select("path", sniffed(F.col("content"), F.col("path")).alias("kind"), "content")
     return rows.mapInArrow(run, "path string, kind string, text string, warning string, error string")
@@ -169,15 +179,20 @@ def segment_name(day: Column) -> Column:
     return F.concat(F.lit("audit-"), F.date_format(day, "yyyyMMdd"), F.lit(".jsonl"))
 
 
-def write_segments(records: DataFrame, path: str) -> None:
-    """Append audit records (with recorded_at) as JSON lines, one folder a day."""
-    named = records.withColumn("segment", segment_name(F.col("recorded_at")))
-    named.write.mode("append").partitionBy("segment").json(path)
+def write_segments(records: DataFrame, path: str, work: str | None = None) -> None:
+    """Add audit records (with recorded_at) as JSON lines, a folder a day and in it one for each piece of work.
+
+    work names what is written: done again, as after a crash, it replaces its
+    own records instead of doubling them. Without a name it is work of its own.
+    """
+    named = records.withColumns({"segment": segment_name(F.col("recorded_at")), "work": F.lit(work or uuid.uuid4().hex)})
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment", "work").json(path)
 
 
 def read_segments(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(records, undecodable lines) of audit segments."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
+    segment = F.regexp_extract("_metadata.file_path", "/segment=([^/]+)/", 1).alias("segment")
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(segment, "value").where("trim(value) <> ''")
     rows = lines.select("segment", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("segment", "r.*")
     return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select("segment", "_bad")
 

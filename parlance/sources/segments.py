@@ -59,11 +59,12 @@ class SegmentLog:
         fs, at = self._at("commits")
         return 1 + max((int(s.getPath().getName()) for s in fs.listStatus(at)), default=0) if fs.exists(at) else 1
 
-    def append(self, tables: dict[str, DataFrame], removed: DataFrame | None = None, work: str | None = None, base: bool = False, partitions: dict[str, str] | None = None) -> int | None:
+    def append(self, tables: dict[str, DataFrame], removed: DataFrame | None = None, work: str | None = None, base: bool = False, partitions: dict[str, str] | None = None, made_by: str | None = None) -> int | None:
         """Write tables, and the keys (column key) whose rows in earlier segments are gone, as one segment.
 
         Returns its number, or None if the work was done before. partitions names
-        the column by which a table's files are parted.
+        the column by which a table's files are parted, made_by what the rows
+        were made with.
         """
         if work is not None and any(c["work"] == work for c in self.history()):
             return None
@@ -74,7 +75,7 @@ class SegmentLog:
         for name, rows in tables.items():
             writer = rows.write.option("compression", "zstd")
             (writer.partitionBy(partitions[name]) if name in (partitions or {}) else writer).parquet(f"{self.path}/{folder}/{name}")
-        commit = {"number": number, "folder": folder, "tables": {name: rows.schema.json() for name, rows in tables.items()}, "base": base, "work": work, "parted": sorted(partitions or {})}
+        commit = {"number": number, "folder": folder, "tables": {name: rows.schema.json() for name, rows in tables.items()}, "base": base, "work": work, "parted": sorted(partitions or {}), "made_by": made_by}
         fs, at = self._at(f"commits/{number:0{_DIGITS}d}")
         stream = fs.create(at, False)  # fails if the number is taken
         stream.write(bytearray(json.dumps(commit).encode() + b"\n"))
@@ -107,10 +108,10 @@ class SegmentLog:
         later = (F.col(key) == F.col("gone.key")) & (F.col("segment") < F.col("removed_at"))
         return rows.join(gone.alias("gone"), later, "left_anti").drop("segment")
 
-    def compact(self, tables: dict[str, DataFrame], partitions: dict[str, str] | None = None) -> int | None:
+    def compact(self, tables: dict[str, DataFrame], partitions: dict[str, str] | None = None, made_by: str | None = None) -> int | None:
         """Make the given tables, written from the live rows, the base on which later segments stand; older files go once it is committed."""
         old = self.commits()
-        number = self.append(tables, base=True, partitions=partitions)
+        number = self.append(tables, base=True, partitions=partitions, made_by=made_by)
         for commit in old:
             fs, at = self._at(commit["folder"])
             fs.delete(at, True)

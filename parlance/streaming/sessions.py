@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -46,9 +46,15 @@ def event_sink(events: DataFrame, path: str, checkpoint: str, **partitions: str)
     return writer.trigger(availableNow=True).start()
 
 
-def daily_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Events per tenant and day of their own time (tenant_id, ts), late ones taken for a while."""
-    return events.withWatermark("ts", late).groupBy("tenant_id", F.window("ts", "1 day")).agg(F.count("*").alias("events")).select("tenant_id", day_key(F.col("window.start")).alias("day"), "events")
+def daily_stream(events: DataFrame, counters: dict[str, Column] | None = None, late: str = "1 hour") -> DataFrame:
+    """Counters per tenant and day of the events' own time (tenant_id, ts), late ones taken for a while.
+
+    counters are aggregates by name, such as those of operators.records for a
+    kind of event; without any, events are counted.
+    """
+    sums = counters or {"events": F.count("*")}
+    made = events.withWatermark("ts", late).groupBy("tenant_id", F.window("ts", "1 day")).agg(*(v.alias(k) for k, v in sums.items()))
+    return made.select("tenant_id", day_key(F.col("window.start")).alias("day"), *sums)
 
 
 def distinct_stream(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
@@ -63,7 +69,7 @@ def labelled_stream(utterances: DataFrame, labels: DataFrame, late: str = "1 hou
     """
     u = utterances.withWatermark("ts", late).alias("u")
     v = labels.select("session_id", "start_ms", F.col("ts").alias("label_ts"), "speaker_id").withWatermark("label_ts", late).alias("v")
-    near = F.expr("u.session_id = v.session_id AND u.start_ms = v.start_ms AND v.label_ts BETWEEN u.ts - INTERVAL 1 HOUR AND u.ts + INTERVAL 1 HOUR")
+    near = F.expr("u.session_id = v.session_id AND u.start_ms = v.start_ms AND v.label_ts BETWEEN u.ts - INTERVAL {0} AND u.ts + INTERVAL {0}".format(late))
     return u.join(v, near, "leftOuter").select("u.*", "v.speaker_id")
 
 

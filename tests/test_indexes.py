@@ -95,6 +95,26 @@ def test_reranking_reads_postings(spark, tmp_path):
     assert _rows(index.search(queries)) == _rows(R.bm25(queries, old))
 
 
+def test_a_tokenizer_is_part_of_its_index(spark, tmp_path):
+    from parlance.operators.engines import engine, register
+
+    index = SparseIndex(spark, f"file://{tmp_path}/i", "space")
+    index.add(_table(spark, [("a", "a b-c D"), ("b", "b c d")]))
+    index.compact()
+    queries = spark.createDataFrame([(1, "B-C"), (2, "d")], "query_id long, text string")
+    assert {(r["query_id"], r["chunk_id"]) for r in SparseIndex(spark, f"file://{tmp_path}/i", "space").search(queries).collect()} == {(1, "a"), (2, "a"), (2, "b")}
+    with pytest.raises(ValueError, match="made with space"):
+        SparseIndex(spark, f"file://{tmp_path}/i")
+    with pytest.raises(ValueError, match="no tokenizer other: there are space, syllable"):
+        engine("tokenizer", "other")
+    with pytest.raises(ValueError, match="there already"):
+        register("tokenizer", "space", len)
+    register("tokenizer", "halves", lambda t: F.split(t, "b"))
+    assert spark.range(1).select(engine("tokenizer", "halves")(F.lit("abc")).alias("x")).first()["x"] == ["a", "c"]
+    candidates = spark.createDataFrame([(1, "a", 0.1), (1, "b", 0.3)], "query_id long, chunk_id string, rrf double")
+    assert [r["chunk_id"] for r in engine("reranker", "none")(candidates, queries, None, 1).collect()] == ["b"]
+
+
 def test_an_empty_index_finds_nothing(spark, tmp_path):
     queries = spark.createDataFrame([(1, "w1")], "query_id long, text string")
     index = SparseIndex(spark, f"file://{tmp_path}/i")

@@ -163,7 +163,9 @@ def test_files(spark, tmp_path):
     assert [(r["rate"], bytes(r["pcm"])) for r in S.wav_files(spark, str(tmp_path / "w")).collect()] == [(8000, b"\1\0\2\0")]
     assert S.checksums(spark, str(tmp_path / "w")).first()["length"] == 48
     records = spark.createDataFrame([(1, T0, "x"), (2, datetime(2024, 1, 2), "y")], "seq_no long, recorded_at timestamp, body string")
-    S.write_segments(records, str(tmp_path / "audit"))
+    for _ in range(2):  # the second time is a job done again
+        S.write_segments(records.limit(1), str(tmp_path / "audit"), "first")
+        S.write_segments(records.where("seq_no = 2"), str(tmp_path / "audit"), "second")
     at("audit/segment=audit-20240102.jsonl/part-x.json", "no json\n")
     good, bad = S.read_segments(spark, str(tmp_path / "audit"), "seq_no long, recorded_at timestamp, body string")
     assert _rows(good, "seq_no", "segment") == [(1, "audit-20240101.jsonl"), (2, "audit-20240102.jsonl")] and bad.count() == 1
