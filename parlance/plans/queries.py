@@ -325,6 +325,7 @@ def wer_cer(spark, sf_dir):
 def word_character_errors(spark, sf_dir):
     """Word and character errors between neighbouring turns, in letters of all scripts."""
     rows = A.with_context(_turns(spark, sf_dir), 2).where(F.size("context") == 2)
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # few bytes, much work: coalesced they would be one task
     a, b = (F.col("context")[i]["text"] for i in (0, 1))
     return rows.select("session_id", (F.col("seq") - 1).alias("seq"), T.word_error(a, b).alias("word_errors"), T.character_error(a, b).alias("character_errors"))
 

@@ -1,5 +1,7 @@
 """Word and character errors against brute force."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
@@ -27,3 +29,12 @@ def test_word_errors_with_many_words(spark):
 def test_word_errors_are_registered(spark, small):
     rows = QUERIES["word_character_errors"](spark, small)
     assert rows.count() == QUERIES["wer_cer"](spark, small).count() and rows.where("word_errors > 0").count() > 0
+
+
+def test_word_errors_of_long_texts_take_no_square_of_splits(spark):
+    a = [f"w{i}" for i in range(6000)]
+    b = a[:10] + ["x"] + a[11:]
+    rows = spark.createDataFrame([(" ".join(a), " ".join(b))], "a string, b string")
+    began = time.monotonic()
+    assert rows.select(T.word_error(F.col("a"), F.col("b"))).first()[0] == 1
+    assert time.monotonic() - began < 30
