@@ -244,18 +244,31 @@ def _shapes_of(syllable: Column, part: Column) -> Column:
 
 def mouth_track(text: Column, duration_ms: Column) -> Column:
     """Frames (at_ms, shape) over a text's duration: equal neighbours are one, frames under 20 ms go, silence closes."""
-    marks = F.filter(F.split(text, ""), lambda c: strip(c) != "")
-    each = duration_ms / F.size(marks)
-    frames = F.expr("cast(array() as array<struct<at_ms:int,shape:string>>)")
-    start = F.struct(F.lit(0.0).alias("cursor"), frames.alias("frames"))
-
-    def add(state: Column, s: Column) -> Column:
-        at, last = F.floor(state["cursor"]).cast("int"), F.element_at(state["frames"], -1)
-        drop = (F.size(state["frames"]) > 0) & ((last["shape"] == s["shape"]) | (at - last["at_ms"] < LEAST_FRAME_MS))
-        added = F.concat(state["frames"], F.array(F.struct(at.alias("at_ms"), s["shape"].alias("shape"))))
-        return F.struct((state["cursor"] + each * s["share"]).alias("cursor"), F.when(drop, state["frames"]).otherwise(added).alias("frames"))
-
-    track = F.aggregate(F.flatten(F.transform(marks, syllable_shapes)), start, add, lambda s: s["frames"])
+    kind = "array<struct<at_ms:int,shape:string>>"
+    frames = F.expr(f"cast(array() as {kind})")
+    last = F.expr("cast(null as struct<at_ms:int,shape:string>)").alias("last")
     silence = lambda at: F.array(F.struct(at.cast("int").alias("at_ms"), F.lit("SIL").alias("shape")))
-    closed = F.when(F.element_at(track, -1)["shape"] == "SIL", track).otherwise(F.concat(track, silence(duration_ms)))
-    return F.when(duration_ms <= 0, frames).when(F.size(marks) == 0, silence(F.lit(0))).otherwise(closed)
+
+    def add(state: Column, s: Column, each: Column) -> Column:
+        at, before = F.floor(state["cursor"]).cast("int"), state["last"]
+        drop = F.coalesce((before["shape"] == s["shape"]) | (at - before["at_ms"] < LEAST_FRAME_MS), F.lit(False))
+        frame = F.struct(at.alias("at_ms"), s["shape"].alias("shape"))
+        return F.struct((state["cursor"] + each * s["share"]).alias("cursor"), F.when(drop, before).otherwise(frame).alias("last"), F.when(drop, state["out"]).otherwise(F.concat(state["out"], F.array(frame))).alias("out"))
+
+    def run(state: Column, marks: Column, each: Column) -> Column:
+        """One run of characters: an array that grows is copied each time, so runs are folded alone and then put together."""
+        start = F.struct(state["cursor"].alias("cursor"), state["last"].alias("last"), frames.alias("out"))
+        fold = F.aggregate(F.flatten(F.transform(marks, syllable_shapes)), start, lambda t, s: add(t, s, each))
+        return let(fold, lambda f: F.struct(f["cursor"].alias("cursor"), f["last"].alias("last"), F.concat(state["out"], F.array(f["out"])).alias("out")))
+
+    def track(marks: Column, each: Column, n: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(marks) / n).cast("int") - 1), lambda i: F.slice(marks, i * n + 1, n))
+        start = F.struct(F.lit(0.0).alias("cursor"), last, F.expr(f"cast(array() as array<{kind}>)").alias("out"))
+        return F.aggregate(runs, start, lambda state, r: run(state, r, each), lambda s: F.flatten(s["out"]))
+
+    def closed(marks: Column) -> Column:
+        made = let(duration_ms / F.size(marks), lambda each: let(F.ceil(F.sqrt(F.size(marks))).cast("int"), lambda n: track(marks, each, n)))
+        return let(made, lambda t: F.when(F.element_at(t, -1)["shape"] == "SIL", t).otherwise(F.concat(t, silence(duration_ms))))
+
+    marks = F.filter(F.split(F.regexp_replace(text, r"(?U)\s+", ""), ""), lambda c: c != "")
+    return F.when(duration_ms <= 0, frames).otherwise(let(marks, lambda m: F.when(F.size(m) == 0, silence(F.lit(0))).otherwise(closed(m))))

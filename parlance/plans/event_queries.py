@@ -13,6 +13,7 @@ from parlance.operators import lexicons as L
 from parlance.operators import records as R
 from parlance.operators import retrieval
 from parlance.operators import studio as W
+from parlance.operators.sparse_index import spread
 from parlance.plans.queries import _read, _turns, query
 
 _EVENTS = """e AS (SELECT *, event_type AS tenant_id, strftime(ts, '%Y-%m-%d') AS day, event_id % 4 <> 0 AS is_final, event_id % 5 AS v, event_id % 3 AS k FROM events)"""
@@ -173,7 +174,7 @@ def sino_numerals(spark, sf_dir):
 @query()
 def spoken_turns(spark, sf_dir):
     """Turns as a voice reads them, in sentences of which the first sounds early, with the mouth's frames."""
-    said = _turns(spark, sf_dir).select("session_id", "seq", speech.spoken(F.col("text")).alias("said"))
+    said = spread(_turns(spark, sf_dir)).select("session_id", "seq", speech.spoken(F.col("text")).alias("said"))
     return said.select("session_id", "seq", "said", speech.first_sound(F.col("said")).alias("chunks"), speech.mouth_track(F.col("said"), F.length("said") * 80).alias("frames"))
 
 

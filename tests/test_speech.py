@@ -1,5 +1,7 @@
 """Numbers as they are read, sentences and mouth shapes."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,19 @@ def test_mouth_shapes(one):
     track = one(S.mouth_track(F.col("t"), F.col("d")), t="바 바", d=1000)
     assert [tuple(f) for f in track] == [(0, "PP"), (225, "AA"), (500, "PP"), (725, "AA"), (1000, "SIL")]
     assert one(S.mouth_track(F.col("t"), F.col("d")), t="바", d=0) == [] and [tuple(f) for f in one(S.mouth_track(F.col("t"), F.col("d")), t=" ", d=9)] == [(0, "SIL")]
+
+
+def test_long_texts_have_mouth_tracks(spark):
+    text, ms = "밥 a가각!" * 700, 200_000
+    shapes = {c: [tuple(s) for s in spark.createDataFrame([(c,)], "t string").select(S.syllable_shapes(F.col("t"))).first()[0]] for c in set(text) - {" "}}
+    marks, want, cursor = text.replace(" ", ""), [], 0.0
+    for mark in marks:
+        for shape, share in shapes[mark]:
+            at = int(cursor)
+            if not (want and (want[-1][1] == shape or at - want[-1][0] < 20)):
+                want.append((at, shape))
+            cursor += ms / len(marks) * share
+    began = time.monotonic()
+    track = spark.createDataFrame([(text, ms)], "t string, d int").select(S.mouth_track(F.col("t"), F.col("d"))).first()[0]
+    assert [tuple(f) for f in track] == [*want, (ms, "SIL")]
+    assert time.monotonic() - began < 30
