@@ -339,6 +339,24 @@ def test_language_model_sums_to_one():
         assert (10 ** model.log10(position, f, n)).sum() == pytest.approx(1, abs=2e-4)
 
 
+def test_language_model_steps_do_not_overshoot():
+    """A word that is rare in all but follows half the times after a frequent one: no update may make the other half unlikely."""
+    from parlance.llm import lm
+
+    factor = lm.Factor(np.array([[0.99, 0.0099, 0.0001]]), 4, 0)
+    f, kind = np.zeros((10_000, lm.FEATURES), np.uint64), np.zeros(10_000, np.int64)
+    chosen = np.repeat([0, 2], 5_000)
+    likely = lambda: np.log10(np.maximum(1e-300, factor.chances(f, kind)[1][np.arange(10_000), chosen].astype(float))).mean()
+    before = likely()
+    for _ in range(lm.ROUNDS):
+        counts = factor.empty()
+        factor.count(f, kind, chosen, counts)
+        factor.update(counts)
+        assert likely() > before
+        before = likely()
+    assert before > -0.4
+
+
 def test_language_model_learns_rare_words(spark):
     """A word outside the frequent classes is expected where its context says so."""
     rng = np.random.default_rng(6)
