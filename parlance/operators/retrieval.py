@@ -18,12 +18,31 @@ from parlance.storage import stored
 K1, B, RRF, CANDIDATES, TOP = 1.5, 0.75, 60, 10, 3
 DIMENSIONS, MAX_EXPANSIONS = 512, 6
 CHUNK_CHARS, OVERLAP_CHARS, LEAST_CHARS = 700, 120, 40
+#: Rows whose texts and terms are Python objects at one time.
+AT_ONCE = 128
+#: Rows with texts or terms that Spark sends to Python at one time; its default is 10,000.
+ROWS = 512
 #: What opens an article, and where a sentence ends.
 ARTICLE_HEAD = r"^\s*(제\s*\d+\s*조|\d+\.\s|-\.\s|[가-힣]\.\s)"
 SENTENCE_END = r"(?<=[.!?。])\s+"
 # -------------------------------------------------------------------------------
 
 
+def few_at_once(batches: Iterator[pa.RecordBatch], n: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches cut into such of at most n rows: Spark sends 10,000 whole texts at once, and their terms as Python objects take many times their bytes."""
+    for b in batches:
+        for at in range(0, len(b), n):
+            yield b.slice(at, n)
+
+
+def in_small_batches(rows: DataFrame, n: int = ROWS) -> DataFrame:
+    """The rows, in a session that sends at most n of them to Python at once: whole texts and terms are held by Spark, Arrow and Python at the same time."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= n:
+        conf.set(key, str(n))
+    return rows
+
+
 def indexed(chunks: DataFrame) -> DataFrame:
     """The index of chunks (chunk_id, text, title if there is one): a stored table, read by every search.
 
@@ -194,7 +213,7 @@ def hashed_vectors(rows: DataFrame) -> DataFrame:
     key = rows.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_at_once(batches):
             out = np.zeros((len(b), DIMENSIONS))
             for i, words in enumerate(b.column("terms").to_pylist()):
                 for word in words or ():
@@ -206,7 +225,7 @@ def hashed_vectors(rows: DataFrame) -> DataFrame:
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, DIMENSIONS, dtype=np.int32)), pa.array(out.ravel()))
             yield pa.record_batch([b.column(key), vectors], names=[key, "vector"])
 
-    return rows.select(key, "terms").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, vector array<double>")
+    return in_small_batches(rows).select(key, "terms").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, vector array<double>")
 
 
 _HEAD, _SENTENCE = re.compile(ARTICLE_HEAD), re.compile(SENTENCE_END)
@@ -262,14 +281,14 @@ def chunked(documents: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLA
     """(chunk_id, doc_id, ordinal, text) of documents (doc_id, text); null texts have no chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_at_once(batches):
             pieces = [split_text(t or "", size, overlap, least) for t in b.column("text").to_pylist()]
             rows = [(d, k, piece) for d, own in zip(b.column("doc_id").to_pylist(), pieces) for k, piece in enumerate(own)]
             ids, ordinals, texts = zip(*rows) if rows else ((), (), ())
             yield pa.record_batch([pa.array(ids, b.column("doc_id").type), pa.array(ordinals, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "ordinal", "text"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ordinal int, text string")
+    rows = in_small_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ordinal int, text string")
     return rows.select(F.concat_ws(":", "doc_id", "ordinal").alias("chunk_id"), "doc_id", "ordinal", "text")
 
 
@@ -317,7 +336,7 @@ def containing(queries: DataFrame, chunks: DataFrame, block_chars: int = 8_000_0
                     automaton.add_word(word, ids)
             automaton.make_automaton()
             always = [i for word, ids in words if not word for i in ids]
-            for b in batches:
+            for b in few_at_once(batches):
                 found = []
                 for chunk_id, text in zip(b.column("chunk_id").to_pylist(), b.column("text").to_pylist()):
                     if text is not None:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.operators.engines import engine
-from parlance.operators.retrieval import B, CANDIDATES, K1, TOP, ranked
+from parlance.operators.retrieval import B, CANDIDATES, K1, TOP, few_at_once, in_small_batches, ranked
 from parlance.sources.segments import SegmentLog
 from parlance.storage import drop_stored, stored
 
@@ -48,7 +48,7 @@ def _postings(kind: pa.DataType):
     schema = pa.schema([("term", pa.string()), ("chunk_id", kind), ("tf", pa.int32()), ("text_tf", pa.int32()), ("length", pa.int32()), ("digest", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_at_once(batches):
             out = []
             for chunk_id, digest, text, title in zip(*(b.column(c).to_pylist() for c in ("chunk_id", "digest", "terms", "title_terms"))):
                 mine = Counter(text)
@@ -151,7 +151,7 @@ class SparseIndex:
 
     def _made(self, chunks: DataFrame) -> DataFrame:
         titled = "title" in chunks.columns
-        cut = spread(chunks).select("chunk_id", digest_of(chunks).alias("digest"), self.terms(F.col("text")).alias("terms"), (self.terms(F.col("title")) if titled else F.lit(None).cast("array<string>")).alias("title_terms"))
+        cut = in_small_batches(spread(chunks)).select("chunk_id", digest_of(chunks).alias("digest"), self.terms(F.col("text")).alias("terms"), (self.terms(F.col("title")) if titled else F.lit(None).cast("array<string>")).alias("title_terms"))
         kind = chunks.schema["chunk_id"].dataType.simpleString()
         arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
         rows = cut.mapInArrow(_postings(arrow), f"term string, chunk_id {kind}, tf int, text_tf int, length int, digest long")
