@@ -1,11 +1,13 @@
-"""Personal data: base patterns, further candidates and boosted trees, in SQL functions only (operator 3)."""
+"""Personal data: base patterns, further candidates and boosted trees, found in SQL functions only (operator 3)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,12 @@ WIDE = {
     "phone": r"(?<![0-9.+])(?:[(]?\+\x20?)?[(]?[0-9]{1,4}[)]?(?:[\x20.-]{0,3}[(]?[0-9]{2,4}[)]?){1,6}+(?![0-9])",
 }
 CONTEXT = r"(?i)(tel|phone|call|fax|mobile|mail|e-mail|contact|card|visa|account|telefon|anruf|karte|tarjeta|carte|tél|correo)[^\n]{0,16}$"
-#: Trees, their rate, and at most so many distinct feature rows to fit them on.
-TREES, RATE, SAMPLE = 12, 0.4, 20_000
+#: Trees and their rate. Values of a feature from BINS - 1 on share a bin.
+TREES, RATE, BINS = 12, 0.4, 256
+#: Sums over candidates are kept in whole numbers of this part of their weight, so that they don't hang on the order of rows.
+UNITS = 1 << 50
+#: Scores are told apart in steps of 1 / STEPS when the threshold is sought.
+STEPS = 1000
 #: Among set-aside candidates, the chosen ones must be right at least so often.
 PRECISION = 0.98
 #: Log-odds below which a candidate is never chosen.
@@ -288,43 +294,122 @@ def _examples(based: DataFrame) -> DataFrame:
     return misfits.unionByName(made.select("doc_id", *FEATURES, y.alias("y")).where("y is not null"))
 
 
-def _boost(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, list]:
-    """Gradient boosting of depth-2 trees on the logistic loss: (start, trees as nested tuples)."""
-    base = float(np.log((w[y == 1].sum() + 1) / (w[y == 0].sum() + 1)))
-    score, trees = np.full(len(y), base), []
-
-    def leaf(rows):
-        p = 1 / (1 + np.exp(-score[rows]))
-        return float(RATE * (w[rows] * (y[rows] - p)).sum() / ((w[rows] * p * (1 - p)).sum() + 1.0))
-
-    def split(rows, depth):
-        p = 1 / (1 + np.exp(-score[rows]))
-        g, h = w[rows] * (y[rows] - p), w[rows] * p * (1 - p)
-        best = (1e-6, None, None)
-        for f in range(x.shape[1] if depth else 0):
-            v = x[rows, f]
-            order = np.argsort(v, kind="stable")
-            gs, hs, vs = g[order].cumsum(), h[order].cumsum(), v[order]
-            cut = np.flatnonzero(vs[1:] > vs[:-1])
-            if len(cut):
-                gain = gs[cut] ** 2 / (hs[cut] + 1) + (gs[-1] - gs[cut]) ** 2 / (hs[-1] - hs[cut] + 1) - gs[-1] ** 2 / (hs[-1] + 1)
-                k = int(gain.argmax())
-                if gain[k] > best[0]:
-                    best = (float(gain[k]), f, int(vs[cut[k]]))
-        if best[1] is None:
-            return leaf(rows)
-        low = x[rows, best[1]] <= best[2]
-        return (best[1], best[2], split(rows[low], depth - 1), split(rows[~low], depth - 1))
+def _values(tree, x: np.ndarray) -> np.ndarray:
+    if not isinstance(tree, tuple):
+        return np.full(len(x), tree)
+    return np.where(x[:, tree[0]] <= tree[1], _values(tree[2], x), _values(tree[3], x))
 
-    def value(tree):
-        if not isinstance(tree, tuple):
-            return np.full(len(y), tree)
-        return np.where(x[:, tree[0]] <= tree[1], value(tree[2]), value(tree[3]))
+
+def _scores(model: tuple[float, list], x: np.ndarray) -> np.ndarray:
+    return sum((_values(t, x) for t in model[1]), np.full(len(x), model[0]))
+
+
+def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and counts of a batch."""
+    x, y, n = ([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names] for names in (FEATURES, ("y",), ("count",)))
+    return np.stack(x, axis=1), y[0], n[0]
+
+
+def _sums(counted: DataFrame, models: dict, shares: dict, cuts: dict | None = None) -> dict:
+    """{(kind, node): (feature, bin) sums of gradients and of curvatures}, in shares of a kind's whole weight.
+
+    Without cuts there is one node a kind, 0; with them those of a kind's rows
+    up to its cut (0) and beyond (1). Tasks add up their own rows, Spark adds up
+    the tasks' sums: at most two nodes, 15 features and BINS bins a kind come here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, n = _arrays(b)
+            for kind, model in models.items():
+                mine = x[:, 0] == kind
+                if (cuts is not None and kind not in cuts) or not mine.any():
+                    continue
+                own, label = x[mine], y[mine]
+                p = 1 / (1 + np.exp(-_scores(model, own)))
+                w = n[mine] * np.array(shares[kind])[label] * UNITS
+                node = np.zeros(len(own), np.int64) if cuts is None else (own[:, cuts[kind][0]] > cuts[kind][1]).astype(np.int64)
+                for f in range(len(FEATURES)):
+                    place = node * BINS + np.clip(own[:, f], 0, BINS - 1)
+                    g, h = (np.bincount(place, np.rint(v), 2 * BINS) for v in (w * (label - p), w * p * (1 - p)))
+                    at = np.flatnonzero(h)
+                    yield pa.record_batch([pa.array(np.full(len(at), kind)), pa.array(at // BINS), pa.array(np.full(len(at), f)), pa.array(at % BINS), pa.array(g[at].astype(np.int64)), pa.array(h[at].astype(np.int64))], names=["kind", "node", "feature", "bin", "g", "h"])
+
+    rows = counted.select(*FEATURES, "y", "count").mapInArrow(run, "kind long, node long, feature long, bin long, g long, h long")
+    out: dict = {}
+    for r in rows.groupBy("kind", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+        both = out.setdefault((r["kind"], r["node"]), np.zeros((2, len(FEATURES), BINS)))
+        both[:, r["feature"], r["bin"]] = r["g"] / UNITS, r["h"] / UNITS
+    return out
+
+
+def _cut(g: np.ndarray, h: np.ndarray) -> tuple | None:
+    """(feature, greatest value of the lower side, its sums, the upper side's sums) of the best cut, if one gains."""
+    best, found = 1e-6, None
+    for f in range(len(FEATURES)):
+        values = np.flatnonzero(h[f])
+        gs, hs = g[f, values].cumsum(), h[f, values].cumsum()
+        if len(values) > 1:
+            low_g, low_h = gs[:-1], hs[:-1]
+            gain = low_g**2 / (low_h + 1) + (gs[-1] - low_g) ** 2 / (hs[-1] - low_h + 1) - gs[-1] ** 2 / (hs[-1] + 1)
+            k = int(gain.argmax())
+            if gain[k] > best:
+                best, found = float(gain[k]), (f, int(values[k]), (low_g[k], low_h[k]), (gs[-1] - low_g[k], hs[-1] - low_h[k]))
+    return found
+
+
+def _boosted(counted: DataFrame, weights: dict[int, tuple[float, float]]) -> dict[int, tuple[float, list]]:
+    """Gradient boosting of depth-2 trees on the logistic loss, for all kinds at once: (start, trees as nested tuples) each.
+
+    counted has feature rows with label and count, weights the counts of wrong
+    and right ones of a kind, which weigh the same in all. Every row counts in
+    every tree: two jobs a tree add up gradients by feature and value where the
+    rows are, and only these sums leave the tasks.
+    """
+    whole = {k: 2 * max(w) for k, w in weights.items()}
+    shares = {k: tuple(1 / (2 * n) for n in w) for k, w in weights.items()}
+    models: dict = {k: (0.0, []) for k in weights}  # both sorts weigh the same, so the start is even
+
+    def leaf(g: float, h: float) -> float:
+        return float(RATE * g / (h + 1.0))
 
     for _ in range(TREES):
-        trees.append(split(np.arange(len(y)), 2))
-        score = score + value(trees[-1])
-    return base, trees
+        roots = {kind: both * whole[kind] for (kind, _), both in _sums(counted, models, shares).items()}
+        cuts = {kind: cut for kind, both in roots.items() if (cut := _cut(*both))}
+        below = _sums(counted, models, shares, cuts) if cuts else {}
+        for kind, (g, h) in roots.items():
+            if kind not in cuts:
+                models[kind][1].append(leaf(g[0].sum(), h[0].sum()))
+                continue
+            f, value, *sides = cuts[kind]
+            parts = []
+            for node, side in enumerate(sides):
+                cut = _cut(*(below[kind, node] * whole[kind])) if (kind, node) in below else None
+                parts.append((cut[0], cut[1], leaf(*cut[2]), leaf(*cut[3])) if cut else leaf(*side))
+            models[kind][1].append((f, value, *parts))
+    return models
+
+
+def _thresholds(aside: DataFrame, models: dict[int, tuple[float, list]]) -> dict[int, float]:
+    """For each kind the least score from which set-aside rows are right with PRECISION, of those that are a multiple of 1 / STEPS; kinds that never are lack it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, n = _arrays(b)
+            for kind, model in models.items():
+                mine = x[:, 0] == kind
+                step = np.floor(_scores(model, x[mine]) * STEPS).astype(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(step), kind)), pa.array(step), pa.array(n[mine] * y[mine]), pa.array(n[mine])], names=["kind", "step", "right", "n"])
+
+    rows = aside.select(*FEATURES, "y", "count").mapInArrow(run, "kind long, step long, right long, n long")
+    found: dict[int, float] = {}
+    right, n = dict.fromkeys(models, 0), dict.fromkeys(models, 0)
+    for r in rows.groupBy("kind", "step").agg(F.sum("right").alias("right"), F.sum("n").alias("n")).orderBy(F.desc("step")).collect():  # a bounded number of scores
+        kind = r["kind"]
+        right[kind], n[kind] = right[kind] + r["right"], n[kind] + r["n"]
+        if right[kind] >= PRECISION * n[kind]:
+            found[kind] = r["step"] / STEPS
+    return found
 
 
 def _score(model: tuple[float, list], features: dict[str, Column]) -> Column:
@@ -347,54 +432,33 @@ def _with_base(docs: DataFrame, *keep: str) -> DataFrame:
     return based.withColumn("near", _near())
 
 
-def fit_pii(docs: DataFrame, sample: int = SAMPLE) -> dict[int, tuple[tuple[float, list], float]] | None:
+def fit_pii(docs: DataFrame) -> dict[int, tuple[tuple[float, list], float]] | None:
     """For each kind with examples of both sorts, boosted trees and a calibrated threshold (as a log-odds); None without any.
 
     No table labels personal data, so the examples are the base spans in forms
     that the base rules miss, and clear misfits (see _examples). The trees see
     format and context only; both sorts weigh the same. Rows with equal
-    features are counted in Spark first; at most `sample` distinct feature
-    rows, the most frequent of each kind and sort, are fitted on. The threshold
-    is the least score at which set-aside rows (those of a fifth of the
-    documents) are right with PRECISION.
+    features are counted first, and all of them are fitted on, in Spark. The
+    threshold is the least score at which set-aside rows (those of a fifth of
+    the documents) are right with PRECISION.
     """
     rows = _examples(_with_base(docs.where("text is not null"), "doc_id"))
     aside = held_out_bucket(F.col("doc_id"), 5) == 0
     counted = stored(rows.groupBy(*FEATURES, "y", aside.cast("int").alias("aside")).count(), "pii-features")
-    model = {}
-    for kind_no in range(len(KINDS)):
-        parts = [counted.where((F.col("kind_no") == kind_no) & (F.col("y") == y)).orderBy(F.desc("count"), *FEATURES, "aside").limit(sample // (2 * len(KINDS))) for y in (0, 1)]
-        fitted = _fit_kind(parts[0].unionByName(parts[1]).collect())
-        if fitted:
-            model[kind_no] = fitted
+    model = fit_counted(counted)
     drop_stored(counted)
-    return model or None
+    return model
 
 
-def _fit_kind(table: list) -> tuple[tuple[float, list], float] | None:
-    if not table:
-        return None
-    got = np.array([[*(r[f] for f in FEATURES), r["y"], r["aside"], r["count"]] for r in table], dtype=np.int64)
-    x, y, aside_, w = got[:, : len(FEATURES)], got[:, -3], got[:, -2] == 1, got[:, -1].astype(float)
-    if len(set(y[~aside_])) < 2 or not aside_.any():
-        return None
-    fit_y, fit_w = y[~aside_], w[~aside_]
-    totals = np.array([fit_w[fit_y == 0].sum(), fit_w[fit_y == 1].sum()])
-    model = _boost(x[~aside_], fit_y, fit_w * (totals.max() / totals)[fit_y])
-
-    def value(tree, row):
-        while isinstance(tree, tuple):
-            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-        return tree
-
-    scores = np.array([model[0] + sum(value(t, r) for t in model[1]) for r in x[aside_]])
-    order = np.argsort(-scores, kind="stable")
-    right, n = (w[aside_] * y[aside_])[order].cumsum(), w[aside_][order].cumsum()
-    last = np.append(np.diff(scores[order]) != 0, True)  # rows of one score are chosen together
-    ok = np.flatnonzero((right >= PRECISION * n) & last)
-    if not len(ok):
+def fit_counted(counted: DataFrame) -> dict[int, tuple[tuple[float, list], float]] | None:
+    """The same from feature rows with label (y), whether they are set aside, and count."""
+    counts = {(r["kind_no"], r["y"], r["aside"]): r["n"] for r in counted.groupBy("kind_no", "y", "aside").agg(F.sum("count").alias("n")).collect()}  # at most sixteen
+    both = {k: (counts[k, 0, 0], counts[k, 1, 0]) for k in range(len(KINDS)) if {(k, 0, 0), (k, 1, 0)} <= counts.keys() and {(k, 0, 1), (k, 1, 1)} & counts.keys()}
+    if not both:
         return None
-    return model, float(max(LEAST, scores[order][ok[-1]] - 1e-9))
+    models = _boosted(counted.where("aside = 0"), both)
+    least = _thresholds(counted.where("aside = 1"), models)
+    return {k: (models[k], max(LEAST, least[k] - 1e-9)) for k in models if k in least} or None
 
 
 def find_pii(docs: DataFrame, model: dict | None, *keep: str) -> DataFrame:

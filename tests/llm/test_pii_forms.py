@@ -1,5 +1,6 @@
 """Personal data in forms that the base rules miss."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +62,19 @@ def test_texts_with_very_many_matches(spark):
     began = time.perf_counter()
     assert find_pii(spark.createDataFrame([(1, "10.0.0.1 " * 20_000)], "doc_id long, text string"), None).select(F.size("base")).first()[0] == 20_000
     assert time.perf_counter() - began < 15  # a fold that copies took 26 s
+
+
+def test_trees_see_every_feature_row(spark):
+    """What only rare feature rows tell apart, behind thousands of more frequent ones, is learned; dealing the rows otherwise changes nothing."""
+    from parlance.llm.pii import FEATURES, KINDS, _scores, fit_counted
+
+    i = F.col("id")
+    rare = i >= 6000
+    told = {"kind_no": F.lit(KINDS.index("phone")), "plus": F.when(rare, 0).otherwise(i % 2), "cue": F.when(rare, i % 2).otherwise(0), "length": (i / 2).cast("int") % 200, "before": (i / 400).cast("int")}
+    counted = spark.range(9000).select(*(told.get(f, F.lit(0)).cast("int").alias(f) for f in FEATURES), (i % 2).cast("int").alias("y"), F.when(i % 10 < 2, 1).otherwise(0).alias("aside"), F.when(rare, 1).otherwise(9).cast("long").alias("count"))
+    model = fit_counted(counted)
+    assert model == fit_counted(counted.repartition(7, "length"))
+    x = np.zeros((2, len(FEATURES)), int)
+    x[:, 0], x[:, FEATURES.index("before")], x[:, FEATURES.index("length")], x[1, FEATURES.index("cue")] = KINDS.index("phone"), 16, 50, 1
+    without, with_cue = _scores(model[KINDS.index("phone")][0], x)
+    assert with_cue > 1 > -1 > without
