@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm._shared import mix64
+from parlance.llm._shared import drop_stored, mix64, stored
 
 SPACES, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
-#: The line model is fitted on at most so many labelled documents.
-SAMPLE = 2_000
+#: About so many labelled documents are gone through in turn by one task; the models of such parts are averaged after each epoch.
+PART = 2_000
+#: Shares are told apart in steps of 1 / STEPS when the least one is sought.
+STEPS = 10_000
 EPOCHS, ROUNDS, RATE, SEED = 4, 2, 0.2, 5
 #: Of labelled documents of good quality, at least this share must be kept.
 KEPT_GOOD = 0.998
@@ -103,17 +105,29 @@ def content_share(codes: list[int], sizes: list[int], table, move) -> float:
 
 
 def _scan(codes: list[int], weights: np.ndarray, move: np.ndarray):
-    """(signs of the lines, forward and backward scores, the log of all labellings' sum)."""
+    """(signs of the lines, their scores, forward and backward scores, the log of all labellings' sum)."""
     code, n = np.array(codes), len(codes)
     x = np.hstack([(code[:, None] >> np.arange(len(SIGNS))) & 1, np.ones((n, 1))])
     e = x @ weights
-    ahead, behind = np.zeros((n, 2)), np.zeros((n, 2))
-    ahead[0] = e[0]
-    for i in range(1, n):
-        ahead[i] = e[i] + np.logaddexp(ahead[i - 1, 0] + move[0], ahead[i - 1, 1] + move[1])
-    for i in range(n - 2, -1, -1):
-        behind[i] = np.logaddexp(move[:, 0] + e[i + 1, 0] + behind[i + 1, 0], move[:, 1] + e[i + 1, 1] + behind[i + 1, 1])
-    return x, e, ahead, behind, np.logaddexp(*ahead[-1])
+    (cc, cb), (bc, bb) = move.tolist()
+    rows = e.tolist()
+    a, b = rows[0]
+    ahead = [(a, b)]
+    for c0, c1 in rows[1:]:
+        a, b = c0 + _either(a + cc, b + bc), c1 + _either(a + cb, b + bb)
+        ahead.append((a, b))
+    total = _either(a, b)
+    a = b = 0.0
+    behind = [(a, b)]
+    for c0, c1 in rows[:0:-1]:
+        a, b = _either(cc + c0 + a, cb + c1 + b), _either(bc + c0 + a, bb + c1 + b)
+        behind.append((a, b))
+    return x, e, np.array(ahead), np.array(behind[::-1]), total
+
+
+def _either(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))."""
+    return a + log1p(exp(b - a)) if a >= b else b + log1p(exp(a - b))
 
 
 def _relabelled(codes: list[int], weights: np.ndarray, move: np.ndarray) -> np.ndarray:
@@ -123,63 +137,125 @@ def _relabelled(codes: list[int], weights: np.ndarray, move: np.ndarray) -> np.n
     return (chance >= min(0.5, chance.max())).astype(int)
 
 
-def train(rows: list[tuple[int, bytes]]) -> dict:
-    """Fit the CRF to (quality, text) rows by gradient steps on the likelihood, and the share that decides.
+def _start() -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros((len(SIGNS) + 1, 2)), np.zeros((2, 2))
+
+
+def _epoch(data: list[tuple[int, list[int]]], now: tuple, labelled_by: tuple | None, epoch: int, seed: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and moves after one gradient step on the likelihood for each (quality, line codes), in an order of the seed's.
+
+    Lines of good documents are content, those of bad ones boilerplate, or what
+    the model labelled_by finds.
+    """
+    weights, move, rate = now[0].copy(), now[1].copy(), RATE / (1 + epoch)
+    for k in np.random.default_rng(seed).permutation(len(data)):
+        q, codes = data[k]
+        y = np.full(len(codes), int(q != 1)) if q == 1 or labelled_by is None else _relabelled(codes, *labelled_by)
+        x, e, ahead, behind, total = _scan(codes, weights, move)
+        weights += rate * (x.T @ (np.eye(2)[y] - np.exp(ahead + behind - total))) / len(y)
+        if len(y) > 1:
+            pair = np.exp(ahead[:-1, :, None] + move + (e + behind)[1:, None, :] - total)
+            seen = np.zeros((2, 2))
+            np.add.at(seen, (y[:-1], y[1:]), 1)
+            move += rate * (seen - pair.sum(0)) / len(y)
+    return weights, move
+
+
+def _fitted(step: Callable) -> dict:
+    """A model without its least share, by step(now, labelled_by, round, epoch).
 
     Only whole documents are judged, so their lines' labels are found as the
     model is: all lines of good documents are content; all of bad ones begin as
     boilerplate, and after a round those that the model takes for content, by
     what good documents' lines look like, are content in the next. No rule
-    over the signs labels a line. A fifth of the documents is set aside, on
-    whose good ones the share is set that KEPT_GOOD of them reach.
+    over the signs labels a line.
     """
-    data = [(q, *(line_codes(t.split(b"\n"))[k] for k in (0, 2))) for q, t in rows]
-    data = [(q, c, s) for q, c, s in data if sum(s)]
-    aside = [k % 5 == 4 for k in range(len(data))]
-    fit = [k for k, out in enumerate(aside) if not out] or list(range(len(data)))
-    rng, labels = np.random.default_rng(SEED), [np.full(len(c), int(q != 1)) for q, c, _ in data]
-    weights, move = np.zeros((len(SIGNS) + 1, 2)), np.zeros((2, 2))
+    now, labelled_by = _start(), None
     for again in range(ROUNDS):
         for epoch in range(EPOCHS):
-            rate = RATE / (1 + epoch)
-            for k in rng.permutation(fit):
-                y = labels[k]
-                x, e, ahead, behind, total = _scan(data[k][1], weights, move)
-                gap = np.eye(2)[y] - np.exp(ahead + behind - total)
-                weights += rate * (x.T @ gap) / len(y)
-                if len(y) > 1:
-                    pair = np.exp(ahead[:-1, :, None] + move + (e + behind)[1:, None, :] - total)
-                    seen = np.zeros((2, 2))
-                    np.add.at(seen, (y[:-1], y[1:]), 1)
-                    move += rate * (seen - pair.sum(0)) / len(y)
-        if again + 1 < ROUNDS:
-            labels = [y if q == 1 else _relabelled(c, weights, move) for (q, c, _), y in zip(data, labels)]
-    model = {"table": [tuple(r) for r in emissions(weights).tolist()], "move": move}
-    held = [x for x, out in zip(data, aside) if out] or data
-    good = [content_share(c, s, model["table"], move) for q, c, s in held if q == 1]
-    model["least"] = float(min(0.5, np.quantile(good, 1 - KEPT_GOOD))) if good else 0.0
-    return model
+            now = step(now, labelled_by, again, epoch)
+        labelled_by = now
+    return {"table": [tuple(r) for r in emissions(now[0]).tolist()], "move": now[1]}
 
 
-def _train_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [r for b in batches for r in zip(b.column("rank").to_pylist(), b.column("quality").to_pylist(), b.column("text").to_pylist())]
-    if rows:
-        rows.sort()
-        yield pa.record_batch([pa.array([pickle.dumps(train([r[1:] for r in rows]))], pa.binary())], names=["model"])
+def _least(counts: list[tuple[int, int]]) -> float:
+    """The share that KEPT_GOOD of the good documents reach (between two of them, in proportion), from how many there are by step; at most a half."""
+    if not counts:
+        return 0.0
+    counts = sorted(counts)
+    ends = np.cumsum([n for _, n in counts])
+    place = (1 - KEPT_GOOD) * (int(ends[-1]) - 1)
+    low, high = (counts[int(np.searchsorted(ends, int(at), side="right"))][0] for at in (np.floor(place), np.ceil(place)))
+    return min(0.5, (low + (high - low) * (place % 1)) / STEPS)
 
 
-def fit_lines(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
+def train(rows: list[tuple[int, bytes]]) -> dict:
+    """The model of (quality, text) rows that are one part, a fifth of which is set aside for the least share (see fit_lines)."""
+    data = [(q, *(line_codes(t.split(b"\n"))[k] for k in (0, 2))) for q, t in rows]
+    data = [(q, c, s) for q, c, s in data if sum(s)]
+    fit = [x[:2] for k, x in enumerate(data) if k % 5 != 4]
+    model = _fitted(lambda now, labelled_by, again, epoch: _epoch(fit, now, labelled_by, epoch, (SEED, again, epoch)))
+    held = data[4::5] or data
+    steps = [int(content_share(c, s, model["table"], model["move"]) * STEPS) for q, c, s in held if q == 1 and sum(s) >= MIN_WORDS]
+    return model | {"least": _least([(k, 1) for k in steps])}
+
+
+def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        made = [line_codes(text.as_py().split(b"\n")) for text in b.column("text")]
+        lines = pa.list_(pa.int32())
+        yield pa.record_batch([b.column("doc_id"), b.column("mark"), pa.array([m[0] for m in made], lines), pa.array([m[2] for m in made], lines)], names=["doc_id", "mark", "codes", "sizes"])
+
+
+def fit_lines(docs: DataFrame, labels: DataFrame, part: int = PART) -> dict | None:
     """A line model from labelled documents (doc_id, text) and (doc_id, quality); None if there are none.
 
-    At most `sample` documents are fitted on, those of least hash; of the rows
-    of one id, one counts, and of several labels the highest.
+    All of them are fitted on: they are dealt by hash into parts of about `part`
+    documents, each part makes its steps from the model of the epoch before, and
+    the parts' models are averaged by their numbers of documents. A fifth of the
+    documents is set aside, on whose good ones the share is set that KEPT_GOOD
+    of them reach; those with so few words that the base rules fail them don't
+    count there. Of the rows of one id, one counts, and of several labels the
+    highest. Texts become line codes before rows meet, so no text is shuffled.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = known.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank").limit(sample)
-    rows = docs.where("text is not null").join(F.broadcast(known), "doc_id").select("rank", "quality", F.col("text").cast("binary").alias("text"))
-    rows = rows.groupBy("rank", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    got = rows.repartition(1).mapInArrow(_train_in_task, "model binary").collect()
-    return pickle.loads(got[0]["model"]) if got else None
+    texts = docs.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    lined = texts.mapInArrow(_lined, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, codes array<int>, sizes array<int>")
+    lined = lined.where("exists(sizes, n -> n > 0)").join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("mark", "codes", "sizes")).alias("m"))
+    aside = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(5)) == 4
+    data = stored(lined.select("quality", F.xxhash64("doc_id").alias("rank"), aside.alias("aside"), "m.codes", "m.sizes"), "quality-lines")
+    n = {r["aside"]: r["n"] for r in data.groupBy("aside").agg(F.count("*").alias("n")).collect()}
+    if not n:
+        drop_stored(data)
+        return None
+    parts = max(1, round(n.get(False, 0) / part))
+    fit = data.where("not aside").select(F.pmod("rank", F.lit(parts)).alias("part"), "rank", "quality", "codes")
+
+    def step(now, labelled_by, again, epoch):
+        def run(table: pa.Table) -> pa.Table:
+            own = table.sort_by("rank")
+            rows = list(zip(own.column("quality").to_pylist(), own.column("codes").to_pylist()))
+            made = _epoch(rows, now, labelled_by, epoch, (SEED, again, epoch))
+            return pa.table({"part": own.column("part")[:1], "n": [len(rows)], "model": [np.concatenate([m.ravel() for m in made]).tolist()]})
+
+        got = fit.groupBy("part").applyInArrow(run, "part long, n long, model array<double>").collect()  # a short row a part
+        got.sort()
+        if not got:
+            return now
+        flat = np.average([r["model"] for r in got], axis=0, weights=[r["n"] for r in got])
+        return flat[: now[0].size].reshape(now[0].shape), flat[now[0].size :].reshape(2, 2)
+
+    model = _fitted(step)
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [int(content_share(c, s, model["table"], model["move"]) * STEPS) for c, s in zip(b.column("codes").to_pylist(), b.column("sizes").to_pylist())]
+            yield pa.record_batch([pa.array(found, pa.int64())], names=["step"])
+
+    held = data.where("aside" if n.get(True) else "true").where("quality = 1").where(F.aggregate("sizes", F.lit(0), lambda n, m: n + m) >= MIN_WORDS).select("codes", "sizes")
+    model["least"] = _least([(r["step"], r["count"]) for r in held.mapInArrow(shares, "step long").groupBy("step").count().collect()])  # at most STEPS + 1 rows
+    drop_stored(data)
+    return model
 
 
 def _judge(model: dict | None):

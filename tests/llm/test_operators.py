@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -294,6 +295,19 @@ def test_line_model_counts_an_id_once(spark, small):
     assert once["least"] == again["least"] and np.array_equal(once["table"], again["table"]) and np.array_equal(once["move"], again["move"])
 
 
+def test_line_model_sees_every_labelled_document(spark):
+    """Each labelled document counts, however many parts they make: what only those beyond the first 2,000 by hash tell is learned."""
+    from parlance.llm.quality import content_share, fit_lines, line_codes
+
+    plain, odd = "This is a line of plain words that goes on. " * 6, "99 11 22 33 44 55 66 77"
+    rank = F.row_number().over(Window.orderBy(F.xxhash64("doc_id")))
+    labels = spark.range(6000).select(F.col("id").alias("doc_id")).withColumn("late", rank > 2000).select("doc_id", "late", F.when(F.col("late"), F.col("doc_id") % 2).otherwise(1).cast("int").alias("quality"))
+    docs = labels.select("doc_id", F.when(F.col("late") & (F.col("quality") == 0), odd).otherwise(plain).alias("text"))
+    model = fit_lines(docs, labels.drop("late"), 700)
+    share = lambda text: content_share(*(line_codes(text.encode().split(b"\n"))[k] for k in (0, 2)), model["table"], model["move"])
+    assert share(plain) >= model["least"] > share(odd)
+
+
 def test_token_counts_and_cache(spark, small, texts, odd, empty, tmp_path):
     tok = Tokenizer.from_file(PATH)
     for r in op6_token_counts(spark, small).collect():
