@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.operators.retrieval import CANDIDATES, ranked
@@ -17,6 +17,8 @@ from parlance.storage import drop_stored, stored
 SAMPLE, MOST_LISTS = 10_000, 4096
 #: Rounds of the fit, sample rows that ask in its calibration, and the recall that these must reach.
 ROUNDS, ASKING, RECALL = 8, 200, 0.95
+#: Nearest lists that give the exact search its first floor.
+FLOOR_LISTS = 8
 #: Components of a stored block, queries in a block, and rows of a list for each task that packs it.
 CELLS, PER_BLOCK, LIST_ROWS = 1_000_000, 256, 100_000
 
@@ -67,30 +69,31 @@ def _assigned(centroids: np.ndarray):
     return run
 
 
-def _routed(centroids: np.ndarray, probes: int, radius: np.ndarray | None):
-    """Each query once for each list that it visits.
+def _routed(centroids: np.ndarray, probes: int, radius: np.ndarray | None, places: list[tuple[int, int]]):
+    """Each query once for each shard of the lists that it visits; places are the pairs of list and shard.
 
     Those are the `probes` lists whose centroids have the largest inner products
     with it; with radii, all lists in which a row may reach the query's floor,
     as no row is farther from its centroid than the radius.
     """
+    of, shard = np.array(sorted(places, key=lambda x: x[1]), np.int64).reshape(-1, 2).T
+    starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.empty(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 1024):
+            for at in range(0, len(b) if len(starts) else 0, 1024):
                 part = b.slice(at, 1024)
-                if not len(part):
-                    continue
                 x = _vectors(part.column("vector"))
                 near = x @ centroids.T
                 if radius is None:
-                    lists = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-                    row, lists = np.repeat(np.arange(len(part)), lists.shape[1]), lists.ravel()
+                    visits = np.zeros(near.shape, bool)
+                    np.put_along_axis(visits, np.argsort(-near, axis=1, kind="stable")[:, :probes], True, axis=1)
                 else:
                     floor = np.array([-np.inf if f is None else f for f in part.column("floor").to_pylist()])
-                    row, lists = np.nonzero(near + np.linalg.norm(x, axis=1, keepdims=True) * radius >= floor[:, None] - 1e-5)
+                    visits = near + np.linalg.norm(x, axis=1, keepdims=True) * radius >= floor[:, None] - 1e-5
+                row, at_shard = np.nonzero(np.logical_or.reduceat(visits[:, of], starts, axis=1))
                 rows = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), rows.column("query_id"), rows.column("vector")], names=["list", "query_id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[starts[at_shard]].astype(np.int32)), rows.column("query_id"), rows.column("vector")], names=["list", "query_id", "vector"])
 
     return run
 
@@ -130,24 +133,30 @@ def _packed(key: str, most_rows: int, cells: int):
 
 
 def _best(k: int):
-    """Rows in order of block, vectors before queries, to each query's k best live vectors of the block."""
+    """Rows in order of shard, vectors before queries, to each query's k best live vectors of the shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = values = live = None
+        shard, held, whole = None, [], None
         for b in batches:
-            for i in range(len(b)):
+            for i, own in enumerate(b.column("shard").to_pylist()):
+                if own != shard:
+                    shard, held, whole = own, [], None
                 data = np.frombuffer(b.column("data")[i].as_py())
                 if not b.column("asks")[i].as_py():
                     ids = b.column("ids")[i].values
                     gone = b.column("gone")[i].as_py()
                     live = np.isin(np.array(ids.to_pylist(), object), np.array(gone, object), invert=True) if gone else np.ones(len(ids), bool)
-                    values = data.reshape(len(ids), -1)
+                    held.append((ids.filter(pa.array(live)), data.reshape(len(ids), -1)[live]))
+                    continue
+                if whole is None and held:
+                    whole, held = (pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1] for x in held])), []
+                if whole is None or not len(whole[0]):
                     continue
                 asked = b.column("asked")[i].values
-                score = np.where(live, data.reshape(len(asked), -1) @ values.T, -np.inf)
+                score = data.reshape(len(asked), -1) @ whole[1].T
                 least = np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else -np.inf
-                q, c = np.nonzero((score >= least - 2e-6) & live)  # what rounds to the k-th score may still win by its id
-                yield pa.record_batch([asked.take(pa.array(q)), ids.take(pa.array(c)), pa.array(score[q, c])], names=["query_id", "chunk_id", "raw"])
+                q, c = np.nonzero(score >= least - 2e-6)  # what rounds to the k-th score may still win by its id
+                yield pa.record_batch([asked.take(pa.array(q)), whole[0].take(pa.array(c)), pa.array(score[q, c])], names=["query_id", "chunk_id", "raw"])
 
     return run
 
@@ -254,10 +263,11 @@ class VectorIndex:
             asks, radius = asks.join(floors, "query_id", "left"), np.zeros(len(centroids))
             for r in self.log.table("lists").groupBy("list").agg(F.max("radius").alias("radius")).collect():
                 radius[r["list"]] = r["radius"]
-        routed = asks.mapInArrow(_routed(centroids, min(len(centroids), probes or fitted), radius), f"list int, query_id {q}, vector {queries.schema['vector'].dataType.simpleString()}")
-        asked = stored(routed.repartition("list").sortWithinPartitions("list", "query_id").mapInArrow(_packed("query_id", PER_BLOCK, CELLS), f"list int, block long, ids array<{q}>, data binary"), "asked")
-        visited = blocks.join(asked.select("list").distinct(), "list", "left_semi")
-        each = asked.select("list", F.col("ids").alias("asked"), "data").join(visited.select("list", "segment", "block"), "list")
+        shards = self._shards(blocks, centroids, apart=floors is None)
+        places = [(r["list"], r["shard"]) for r in shards.select("list", "shard").distinct().collect()]  # a short row a list and shard
+        routed = asks.mapInArrow(_routed(centroids, min(len(centroids), probes or fitted), radius, places), f"list int, query_id {q}, vector {queries.schema['vector'].dataType.simpleString()}")
+        asked = stored(routed.repartition("list").sortWithinPartitions("list", "query_id").mapInArrow(_packed("query_id", PER_BLOCK, CELLS), f"list int, block long, ids array<{q}>, data binary").withColumnRenamed("list", "shard"), "asked")
+        visited = blocks.join(F.broadcast(shards), ["segment", "list", "block"]).join(asked.select("shard").distinct(), "shard", "left_semi")
         gone = self.log.removals()
         if gone is not None:
             dead = self.log.table("ids").join(gone, (F.col("chunk_id") == F.col("key")) & (F.col("segment") < F.col("removed_at"))).groupBy("segment", "list", "block").agg(F.collect_list("chunk_id").alias("gone"))  # at most a block's rows
@@ -265,18 +275,27 @@ class VectorIndex:
         else:
             visited = visited.withColumn("gone", F.lit(None).cast(f"array<{c}>"))
         none = lambda kind: F.lit(None).cast(f"array<{kind}>")
-        own = visited.select("segment", "list", "block", F.lit(False).alias("asks"), "ids", "gone", none(q).alias("asked"), "data")
-        met = own.unionByName(each.select("segment", "list", "block", F.lit(True).alias("asks"), none(c).alias("ids"), none(c).alias("gone"), "asked", "data"))
-        found = met.repartition("segment", "list", "block").sortWithinPartitions("segment", "list", "block", "asks").mapInArrow(_best(k), f"query_id {q}, chunk_id {c}, raw double")
+        own = visited.select("shard", F.lit(False).alias("asks"), "ids", "gone", none(q).alias("asked"), "data")
+        met = own.unionByName(asked.select("shard", F.lit(True).alias("asks"), none(c).alias("ids"), none(c).alias("gone"), F.col("ids").alias("asked"), "data"))
+        found = met.repartition("shard").sortWithinPartitions("shard", "asks").mapInArrow(_best(k), f"query_id {q}, chunk_id {c}, raw double")
         return ranked(found.select("query_id", "chunk_id", F.round("raw", 6).alias("score")), "score", k)
 
+    def _shards(self, blocks: DataFrame, centroids: np.ndarray, apart: bool) -> DataFrame:
+        """(segment, list, block, shard): blocks in shards of about CELLS components, of one list each if apart, else of neighbouring lists."""
+        order = Window.partitionBy("list").orderBy("segment", "block") if apart else Window.orderBy("list", "segment", "block")  # one short row a block
+        sized = blocks.select("segment", "list", "block", F.size("ids").alias("n"))
+        part = F.floor((F.sum("n").over(order) - F.col("n")) / max(1, CELLS // centroids.shape[1]))
+        return sized.select("segment", "list", "block", (part * len(centroids) + F.col("list") if apart else part).cast("int").alias("shard"))
+
     def exact(self, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
         """The k best of all rows.
 
-        The k-th best score in the nearest lists is a floor; then every list is
-        visited in which a row within its radius may reach that floor.
+        The k-th best score in a few nearest lists is a floor; then every list is
+        visited in which a row within its radius may reach that floor. Since
+        these may be most lists, neighbouring lists form shards, to which a
+        query goes once.
         """
-        floors = self._search(queries, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        floors = self._search(queries, k, min(FLOOR_LISTS, self._centroids()[1])).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
         return self._search(queries, k, floors=floors)
 
 

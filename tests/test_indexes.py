@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +183,17 @@ def test_calibration_counts_lists():
     centroids = fit_centroids(x, 40)
     few, all_ = calibrated_probes(x, centroids, 10, 0.9), calibrated_probes(x, centroids, 10, 1.0)
     assert 1 <= few <= all_ <= 40 and few < 15
+
+
+def test_a_query_goes_once_to_lists_that_share_a_shard():
+    """An exact search may visit most lists; its queries are sent by shards, which grow as the rows, and not by lists."""
+    from parlance.operators.vector_index import _routed
+
+    rng = np.random.default_rng(2)
+    centroids = rng.normal(size=(60, 8))
+    asks = pa.record_batch([pa.array(range(50)), pa.array(rng.normal(size=(50, 8)).tolist()), pa.array([None] * 50, pa.float64())], names=["query_id", "vector", "floor"])
+    sent = [r for b in _routed(centroids, 3, np.full(60, 9.0), [(i, i // 20) for i in range(60)])(iter([asks])) for r in b.to_pylist()]
+    assert sorted((r["query_id"], r["list"]) for r in sent) == [(q, s) for q in range(50) for s in range(3)]
+    near = np.argsort(-(np.array(asks.column("vector").to_pylist()) @ centroids.T), axis=1)[:, :3]
+    apart = [r for b in _routed(centroids, 3, None, [(i, i) for i in range(60)])(iter([asks])) for r in b.to_pylist()]
+    assert sorted((r["query_id"], r["list"]) for r in apart) == sorted((q, int(i)) for q, own in enumerate(near) for i in own)
