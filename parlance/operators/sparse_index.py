@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,19 +44,34 @@ def digest_of(chunks: DataFrame) -> Column:
     return F.xxhash64(*(F.coalesce(c, F.lit("")) for c in (["title", "text"] if "title" in chunks.columns else ["text"])))
 
 
+def _counted(terms: pa.ListArray, known: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code of the term in known, times) for each term of each row, in order; null rows have none."""
+    ends = np.concatenate([[0], np.cumsum(terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    row = np.repeat(np.arange(len(terms)), np.diff(ends))
+    code = pc.index_in(terms.flatten(), known).to_numpy(zero_copy_only=False).astype(np.int64)
+    both, n = np.unique(row * max(1, len(known)) + code, return_counts=True)
+    return both // max(1, len(known)), both % max(1, len(known)), n
+
+
 def _postings(kind: pa.DataType):
     schema = pa.schema([("term", pa.string()), ("chunk_id", kind), ("tf", pa.int32()), ("text_tf", pa.int32()), ("length", pa.int32()), ("digest", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few_at_once(batches):
-            out = []
-            for chunk_id, digest, text, title in zip(*(b.column(c).to_pylist() for c in ("chunk_id", "digest", "terms", "title_terms"))):
-                mine = Counter(text)
-                whole = mine + Counter(title or ())
-                length = len(text) + len(title or ())
-                out.append(("", chunk_id, 0, 0, length, digest))
-                out += [(term, chunk_id, n, mine[term], length, None) for term, n in whole.items()]
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+            text, title, ids = b.column("terms"), b.column("title_terms"), b.column("chunk_id").cast(kind)
+            known = pc.unique(pa.concat_arrays([text.flatten(), title.flatten()]))
+            size = [c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in (text, title)]
+            length, width = size[0] + size[1], max(1, len(known))
+            in_text, in_title = (_counted(c, known) for c in (text, title))
+            keys = [row * width + code for row, code, _ in (in_text, in_title)]
+            both = np.union1d(*keys)
+            times = np.zeros((2, len(both)), np.int64)
+            for own, key, (_, _, n) in zip(times, keys, (in_text, in_title)):
+                own[np.searchsorted(both, key)] = n
+            row, code = both // width, both % width
+            none = np.zeros(len(b), np.int32)
+            yield pa.record_batch([pa.array([""] * len(b), pa.string()), ids, none, none, pa.array(length.astype(np.int32)), b.column("digest")], schema=schema)
+            yield pa.record_batch([known.take(pa.array(code)), ids.take(pa.array(row)), pa.array(times.sum(axis=0).astype(np.int32)), pa.array(times[0].astype(np.int32)), pa.array(length[row].astype(np.int32)), pa.nulls(len(row), pa.int64())], schema=schema)
 
     return run
 
@@ -170,8 +185,7 @@ class SparseIndex:
 
     def chunks(self) -> DataFrame | None:
         """(chunk_id, length, digest) of the live chunks."""
-        rows = self.log.live("postings", "chunk_id")
-        return rows.where("term = ''").select("chunk_id", "length", "digest") if rows is not None else None
+        return self.log.live("postings", "chunk_id", lambda rows: rows.where("term = ''").select("chunk_id", "length", "digest", "segment"))
 
     def heal(self, chunks: DataFrame, work: str | None = None) -> dict[str, int]:
         """Bring the index in step with the table of chunks: how many were missing, had changed, or were gone from it.
@@ -202,11 +216,11 @@ class SparseIndex:
 
     def postings(self, terms: DataFrame) -> DataFrame:
         """Live (term, chunk_id, tf, text_tf, length) of some terms. A few terms are sought in the files, which are sorted by term."""
-        rows = self.log.live("postings", "chunk_id").drop("digest")
+        def of(rows: DataFrame) -> DataFrame:
+            return rows.where(F.col("term").isin(few)) if len(few) <= 10 else rows.where("term <> ''").join(terms.select("term").distinct(), "term", "left_semi")
+
         few = [r["term"] for r in terms.select("term").distinct().limit(11).collect()]
-        if len(few) <= 10:
-            return rows.where(F.col("term").isin(few))
-        return rows.where("term <> ''").join(terms.select("term").distinct(), "term", "left_semi")
+        return self.log.live("postings", "chunk_id", of).drop("digest")
 
     def search(self, queries: DataFrame, k: int = CANDIDATES, block_terms: int = BLOCK_TERMS, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
         """The k best chunks of each query (query_id, text) by BM25: query_id, chunk_id, score (six decimals), rank. Ties go to the smaller chunk_id.

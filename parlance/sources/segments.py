@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,9 +101,15 @@ class SegmentLog:
         rows = self.table("removed")
         return rows.groupBy("key").agg(F.max("segment").alias("removed_at")) if rows is not None else None
 
-    def live(self, name: str, key: str) -> DataFrame | None:
-        """The rows of a table whose key no later segment has taken out."""
+    def live(self, name: str, key: str, of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+        """The rows of a table whose key no later segment has taken out.
+
+        of takes those that matter from all rows (with segment), before these
+        meet the keys that are gone.
+        """
         rows, gone = self.table(name), self.removals()
+        if rows is not None and of is not None:
+            rows = of(rows)
         if rows is None or gone is None:
             return rows.drop("segment") if rows is not None else None
         later = (F.col(key) == F.col("gone.key")) & (F.col("segment") < F.col("removed_at"))

@@ -21,3 +21,23 @@ def test_sessions_send_few_texts_at_once(spark):
     R.chunked(docs)
     assert spark.conf.get(key) == "100"
     spark.conf.unset(key)
+
+
+def test_postings_are_counted_as_arrays():
+    """Terms of text and title, with null and empty ones, as by counting one row after another."""
+    import random
+    from collections import Counter
+
+    from parlance.operators.sparse_index import _counted, _postings
+
+    rng = random.Random(3)
+    rows = [(i, i * 7, *(rng.choice([None, [], [rng.choice("abcdé") for _ in range(rng.randrange(1, 9))]]) for _ in range(2))) for i in range(300)]
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()))
+    b = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["chunk_id", "digest", "terms", "title_terms"])
+    want = []
+    for i, digest, text, title in rows:
+        whole, n = Counter(text or ()) + Counter(title or ()), len(text or ()) + len(title or ())
+        want += [("", i, 0, 0, n, digest), *((t, i, k, Counter(text or ())[t], n, None) for t, k in whole.items())]
+    got = [tuple(r.values()) for out in _postings(pa.int64())(iter([b, b.slice(0, 0)])) for r in out.to_pylist()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert [x.tolist() for x in _counted(pa.array([["a", "b", "a"], None, ["b"]]), pa.array(["b", "a"]))] == [[0, 0, 2], [0, 1, 0], [1, 2, 1]]
