@@ -204,6 +204,13 @@ def expanded(query: Column, lexicon: list[tuple[str, tuple[str, ...]]], most: in
     return F.concat_ws(" ", query, F.when(F.size(added) > 0, F.array_join(added, " ")))
 
 
+def _place(word: str) -> int:
+    """Twice the word's dimension, and one more where its sign is plus."""
+    # fixed: bytes 0 to 3 give the place, the fifth's lowest bit the sign
+    h = hashlib.blake2b(word.encode(), digest_size=8).digest()
+    return int.from_bytes(h[:4], "big") % DIMENSIONS * 2 + (h[4] & 1)
+
+
 def hashed_vectors(rows: DataFrame) -> DataFrame:
     """An id and terms to the id and `vector`: 512 signed hash counts of the terms, as a unit vector.
 
@@ -214,12 +221,12 @@ def hashed_vectors(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few_at_once(batches):
-            out = np.zeros((len(b), DIMENSIONS))
-            for i, words in enumerate(b.column("terms").to_pylist()):
-                for word in words or ():
-                    # fixed: bytes 0 to 3 give the place, the fifth's lowest bit the sign
-                    h = hashlib.blake2b(word.encode(), digest_size=8).digest()
-                    out[i, int.from_bytes(h[:4], "big") % DIMENSIONS] += 1.0 if h[4] & 1 else -1.0
+            terms = b.column("terms")
+            words = terms.flatten().dictionary_encode()  # each word of a batch is hashed once
+            code = np.array([_place(word) for word in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, np.int64)
+            row = np.repeat(np.arange(len(b)), terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            n = np.bincount(row * 2 * DIMENSIONS + code, minlength=len(b) * 2 * DIMENSIONS).reshape(len(b), DIMENSIONS, 2)
+            out = (n[:, :, 1] - n[:, :, 0]).astype(np.float64)
             norm = np.linalg.norm(out, axis=1, keepdims=True)
             out /= np.where(norm == 0, 1, norm)
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, DIMENSIONS, dtype=np.int32)), pa.array(out.ravel()))
