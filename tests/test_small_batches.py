@@ -41,3 +41,19 @@ def test_postings_are_counted_as_arrays():
     got = [tuple(r.values()) for out in _postings(pa.int64())(iter([b, b.slice(0, 0)])) for r in out.to_pylist()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert [x.tolist() for x in _counted(pa.array([["a", "b", "a"], None, ["b"]]), pa.array(["b", "a"]))] == [[0, 0, 2], [0, 1, 0], [1, 2, 1]]
+
+
+def test_vectors_hash_a_batch_word_once(spark):
+    """Vectors with repeated, null and no terms, as by hashing one word after another."""
+    import hashlib
+
+    import numpy as np
+
+    rows = {1: ["a", "b", "a", "word"], 2: None, 3: [], 4: ["b"] * 5}
+    for r in R.hashed_vectors(spark.createDataFrame(list(rows.items()), "chunk_id long, terms array<string>")).collect():
+        want = np.zeros(R.DIMENSIONS)
+        for word in rows[r["chunk_id"]] or ():
+            h = hashlib.blake2b(word.encode(), digest_size=8).digest()
+            want[int.from_bytes(h[:4], "big") % R.DIMENSIONS] += 1.0 if h[4] & 1 else -1.0
+        assert r["vector"] == (want / (np.linalg.norm(want) or 1)).tolist()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
