@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -301,43 +299,49 @@ def _values(tree, x: np.ndarray) -> np.ndarray:
 
 
 def _scores(model: tuple[float, list], x: np.ndarray) -> np.ndarray:
+    """What _scored says of feature rows, as arrays."""
     return sum((_values(t, x) for t in model[1]), np.full(len(x), model[0]))
 
 
-def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels and counts of a batch."""
-    x, y, n = ([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names] for names in (FEATURES, ("y",), ("count",)))
-    return np.stack(x, axis=1), y[0], n[0]
+def _flat(tree, depth: int = 2) -> list[str]:
+    """A tree as SQL values: its cuts (feature, greatest value of the lower side), level by level, then its leaves. A leaf that stands higher is the same below."""
+    level, values = [tree], []
+    for _ in range(depth):
+        level = [t if isinstance(t, tuple) else (0, 0, t, t) for t in level]
+        values += [str(v) for t in level for v in t[:2]]
+        level = [side for t in level for side in t[2:]]
+    return values + [f"{float(v)!r}D" for v in level]
+
+
+def _scored(models: dict[int, tuple[float, list]]) -> Column:
+    """The score of a feature row by the trees of its kind, null for kinds without: trees are an array of cuts and leaves, so the plan doesn't grow with them."""
+    names = ("f", "v", "f0", "v0", "f1", "v1", "a", "b", "c", "d")
+
+    def trees(model: tuple[float, list]) -> str:
+        return f"array({', '.join('named_struct(' + ', '.join(f"'{n}', {v}" for n, v in zip(names, _flat(t))) + ')' for t in model[1])})"
+
+    step = "s + CASE WHEN x[t.f] <= t.v THEN CASE WHEN x[t.f0] <= t.v0 THEN t.a ELSE t.b END WHEN x[t.f1] <= t.v1 THEN t.c ELSE t.d END"
+    cases = (f"WHEN {k} THEN " + (f"aggregate({trees(m)}, {float(m[0])!r}D, (s, t) -> {step})" if m[1] else f"{float(m[0])!r}D") for k, m in models.items())
+    return F.expr(_named("x", f"array({', '.join(f'cast(`{f}` as int)' for f in FEATURES)})", f"CASE x[{FEATURES.index('kind_no')}] {' '.join(cases)} END"))
 
 
 def _sums(counted: DataFrame, models: dict, shares: dict, cuts: dict | None = None) -> dict:
     """{(kind, node): (feature, bin) sums of gradients and of curvatures}, in shares of a kind's whole weight.
 
     Without cuts there is one node a kind, 0; with them those of a kind's rows
-    up to its cut (0) and beyond (1). Tasks add up their own rows, Spark adds up
-    the tasks' sums: at most two nodes, 15 features and BINS bins a kind come here.
+    up to its cut (0) and beyond (1). Spark adds the rows up: at most two
+    nodes, 15 features and BINS bins a kind come here.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y, n = _arrays(b)
-            for kind, model in models.items():
-                mine = x[:, 0] == kind
-                if (cuts is not None and kind not in cuts) or not mine.any():
-                    continue
-                own, label = x[mine], y[mine]
-                p = 1 / (1 + np.exp(-_scores(model, own)))
-                w = n[mine] * np.array(shares[kind])[label] * UNITS
-                node = np.zeros(len(own), np.int64) if cuts is None else (own[:, cuts[kind][0]] > cuts[kind][1]).astype(np.int64)
-                for f in range(len(FEATURES)):
-                    place = node * BINS + np.clip(own[:, f], 0, BINS - 1)
-                    g, h = (np.bincount(place, np.rint(v), 2 * BINS) for v in (w * (label - p), w * p * (1 - p)))
-                    at = np.flatnonzero(h)
-                    yield pa.record_batch([pa.array(np.full(len(at), kind)), pa.array(at // BINS), pa.array(np.full(len(at), f)), pa.array(at % BINS), pa.array(g[at].astype(np.int64)), pa.array(h[at].astype(np.int64))], names=["kind", "node", "feature", "bin", "g", "h"])
-
-    rows = counted.select(*FEATURES, "y", "count").mapInArrow(run, "kind long, node long, feature long, bin long, g long, h long")
+    kind, label, p = F.col("kind_no"), F.col("y"), F.col("p")
+    rows = counted.where(kind.isin(*(models if cuts is None else cuts)))
+    share = F.coalesce(*(F.when((kind == k) & (label == y), F.lit(v)) for k, both in shares.items() for y, v in enumerate(both)))
+    node = F.coalesce(*(F.when((kind == k) & (F.col(FEATURES[f]) > v), 1) for k, (f, v, *_) in (cuts or {}).items()), F.lit(0))
+    bins = F.array(*(F.struct(F.lit(f).alias("feature"), F.least(F.greatest(F.col(name), F.lit(0)), F.lit(BINS - 1)).cast("int").alias("bin")) for f, name in enumerate(FEATURES)))
+    known = rows.select(kind.alias("kind"), node.alias("node"), label.alias("y"), bins.alias("bins"), (F.col("count") * share * UNITS).alias("w"), (1 / (1 + F.exp(-_scored(models)))).alias("p"))
+    units = lambda x: F.rint(x).cast("long")
+    parts = known.select("kind", "node", units(F.col("w") * (F.col("y") - p)).alias("g"), units(F.col("w") * p * (1 - p)).alias("h"), F.explode("bins").alias("at"))
     out: dict = {}
-    for r in rows.groupBy("kind", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+    for r in parts.groupBy("kind", "node", "at.feature", "at.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
         both = out.setdefault((r["kind"], r["node"]), np.zeros((2, len(FEATURES), BINS)))
         both[:, r["feature"], r["bin"]] = r["g"] / UNITS, r["h"] / UNITS
     return out
@@ -363,8 +367,8 @@ def _boosted(counted: DataFrame, weights: dict[int, tuple[float, float]]) -> dic
 
     counted has feature rows with label and count, weights the counts of wrong
     and right ones of a kind, which weigh the same in all. Every row counts in
-    every tree: two jobs a tree add up gradients by feature and value where the
-    rows are, and only these sums leave the tasks.
+    every tree: two jobs a tree add up gradients by feature and value, and
+    only these sums reach the driver.
     """
     whole = {k: 2 * max(w) for k, w in weights.items()}
     shares = {k: tuple(1 / (2 * n) for n in w) for k, w in weights.items()}
@@ -393,15 +397,8 @@ def _boosted(counted: DataFrame, weights: dict[int, tuple[float, float]]) -> dic
 def _thresholds(aside: DataFrame, models: dict[int, tuple[float, list]]) -> dict[int, float]:
     """For each kind the least score from which set-aside rows are right with PRECISION, of those that are a multiple of 1 / STEPS; kinds that never are lack it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y, n = _arrays(b)
-            for kind, model in models.items():
-                mine = x[:, 0] == kind
-                step = np.floor(_scores(model, x[mine]) * STEPS).astype(np.int64)
-                yield pa.record_batch([pa.array(np.full(len(step), kind)), pa.array(step), pa.array(n[mine] * y[mine]), pa.array(n[mine])], names=["kind", "step", "right", "n"])
-
-    rows = aside.select(*FEATURES, "y", "count").mapInArrow(run, "kind long, step long, right long, n long")
+    step = F.floor(_scored(models) * STEPS).cast("long")
+    rows = aside.where(F.col("kind_no").isin(*models)).select(F.col("kind_no").alias("kind"), step.alias("step"), (F.col("count") * F.col("y")).alias("right"), F.col("count").alias("n"))
     found: dict[int, float] = {}
     right, n = dict.fromkeys(models, 0), dict.fromkeys(models, 0)
     for r in rows.groupBy("kind", "step").agg(F.sum("right").alias("right"), F.sum("n").alias("n")).orderBy(F.desc("step")).collect():  # a bounded number of scores

@@ -78,3 +78,22 @@ def test_trees_see_every_feature_row(spark):
     x[:, 0], x[:, FEATURES.index("before")], x[:, FEATURES.index("length")], x[1, FEATURES.index("cue")] = KINDS.index("phone"), 16, 50, 1
     without, with_cue = _scores(model[KINDS.index("phone")][0], x)
     assert with_cue > 1 > -1 > without
+
+
+def test_trees_are_fitted_in_sql_alone(spark):
+    """No plan of a fit runs Python, and a row's score in SQL is the one of arrays, for trees of all depths."""
+    from parlance.llm.pii import FEATURES, KINDS, _scored, _scores, fit_counted
+
+    i, phone = F.col("id"), KINDS.index("phone")
+    told = {"kind_no": F.lit(phone), "cue": i % 2, "length": i % 7 - 2}
+    counted = spark.range(200).select("id", *(told.get(f, F.lit(0)).cast("int").alias(f) for f in FEATURES), ((i % 2 == 1) & (i % 7 > 1)).cast("int").alias("y"), (i % 10 < 2).cast("int").alias("aside"), F.lit(3).cast("long").alias("count"))
+    plans = spark._jsparkSession.sharedState().statusStore()
+    before = plans.executionsCount()
+    model = fit_counted(counted)
+    made = [plans.executionsList().apply(k).physicalPlanDescription() for k in range(before, plans.executionsCount())]
+    assert len(made) > 12 and not [p for p in made if "Arrow" in p or "Pandas" in p or "Python" in p]
+    cue, length = FEATURES.index("cue"), FEATURES.index("length")
+    for trees in (model[phone][0], (0.5, []), (-1e-9, [0.25, (cue, 0, -1.5, (length, 2, 1e-7, 3.0)), (length, -1, (cue, 0, 1.0, 2.0), 4.0)])):
+        rows = counted.select(*FEATURES, _scored({phone: trees}).alias("s")).collect()
+        assert [r["s"] for r in rows] == _scores(trees, np.array([r[:-1] for r in rows])).tolist()
+    assert counted.select(_scored({0: (0.0, [])}).alias("s")).where("s is not null").count() == 0
