@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.storage import drop_stored, stored
+from parlance.storage import drop_stored, fresh_path, stored
 
 # --- fixed values: results depend on them ---------------------------------------
 GENESIS = "0" * 64
@@ -18,31 +18,101 @@ QUALITY = ("recall_at_k", "mrr", "ndcg_at_k", "accuracy")
 LATENCY = ("mean_latency_ms", "p95_latency_ms")
 # -------------------------------------------------------------------------------
 
+#: Records of all chains that go in one round.
+PART = 1 << 20
+
 
 def _entry(prev: str, seq_no: int, body: str) -> str:
     return hashlib.sha256(f"{prev}|{seq_no}|{body}".encode()).hexdigest()
 
 
-def chained(records: DataFrame) -> DataFrame:
+def parted(rows: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """Rows with part, the range of a numeric column that they stand in, and the number of ranges, each of about PART rows; equal values share one, nulls stand in the first."""
+    parts = -(-rows.count() // PART)
+    if parts < 2:
+        return rows.withColumn("part", F.lit(0)), 1
+    bounds = sorted(set(rows.approxQuantile(column, [k / parts for k in range(1, parts)], 1 / (8 * parts))))
+    above = F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(column).cast("double"))
+    return rows.withColumn("part", F.size(above)), len(bounds) + 1
+
+
+def numbered(rows: DataFrame, key: str, column: str) -> tuple[DataFrame, int]:
+    """Rows with seq_no, their place in their key by a numeric column, and part (see parted), and the number of parts.
+
+    A task sorts a key's rows of one part, to which the numbers of rows in the
+    parts before it are added.
+    """
+    rows, parts = parted(rows, column)
+    own = F.row_number().over(Window.partitionBy(key, "part").orderBy(column)).cast("long")
+    if parts == 1:
+        return rows.withColumn("seq_no", own), 1
+    sizes = rows.groupBy(F.col(key).alias("k"), F.col("part").alias("p")).agg(F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("own", own).join(sizes.select("k", "p", earlier.alias("earlier")), F.col(key).eqNullSafe(F.col("k")) & (F.col("part") == F.col("p")))
+    return placed.withColumn("seq_no", F.col("own") + F.col("earlier")).drop("own", "earlier", "k", "p"), parts
+
+
+def chained(records: DataFrame, parts: int | None = None) -> DataFrame:
     """Records (chain, seq_no, body) with prev_hash and entry_hash; null bodies count as empty.
 
     A chain starts at GENESIS and runs on through all segments (days, files) of
-    its writer. Each hash needs the one before, so a chain is one sorted
-    stream of one task, of which only the last hash is held.
+    its writer. Each hash needs the one before, so a chain's records go in
+    order: in rounds of about PART records, in which each chain is one sorted
+    stream of one task that holds only the last hash. A round's last hashes
+    begin the next. Records may bring their rounds, 0 to parts - 1, as a column
+    part that doesn't fall where seq_no rises in a chain.
     """
-    kind = records.schema["chain"].dataType.simpleString()
+    rows = records.select("chain", F.col("seq_no").cast("long").alias("seq_no"), F.coalesce("body", F.lit("")).alias("body"), *(["part"] if parts else []))
+    if not parts:
+        rows, parts = parted(rows, "seq_no")
+    rows = rows.withColumn("entry_hash", F.lit(None).cast("string"))
+    if parts == 1:
+        return _linked(rows.drop("part"), False)
+    spark, came, made = rows.sparkSession, fresh_path(rows.sparkSession, "chain-parts"), fresh_path(rows.sparkSession, "chain")
+    rows.repartition("part", "chain").write.option("compression", "zstd").partitionBy("part").parquet(came)
+    came = spark.read.schema(rows.schema).parquet(came)
+    ends, done = None, []
+    for k in range(parts):
+        now = came.where(F.col("part") == k).drop("part")
+        done.append(f"{made}/{k}")
+        linked = _linked(now if ends is None else now.unionByName(ends), k < parts - 1)
+        linked.write.option("compression", "zstd").parquet(done[-1])
+        ends = spark.read.schema(linked.schema).parquet(done[-1]).where("prev_hash is null").drop("prev_hash")
+    drop_stored(came)
+    return spark.read.schema(linked.schema).parquet(*done).where("prev_hash is not null")
+
+
+def _linked(rows: DataFrame, ends: bool) -> DataFrame:
+    """Records (chain, seq_no, body, entry_hash null) with their hashes; a row without body brings the hash that its chain goes on from, and with ends such a row closes each chain."""
+    kind = rows.schema["chain"].dataType.simpleString()
+    names = ["chain", "seq_no", "body", "prev_hash", "entry_hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = object(), GENESIS
+        def closing(closed: list) -> Iterator[pa.RecordBatch]:
+            if ends and closed:
+                chains, hashes = zip(*closed)
+                nulls = [pa.nulls(len(closed), t) for t in (pa.int64(), pa.string(), pa.string())]
+                yield pa.record_batch([pa.array(chains, of), *nulls, pa.array(hashes, pa.string())], names=names)
+
+        begun, own, last = False, None, GENESIS
         for b in batches:
-            prev, entry = [], []
-            for chain, seq_no, body in zip(*(b.column(c).to_pylist() for c in ("chain", "seq_no", "body"))):
-                own, last = chain, last if chain == own else GENESIS
+            of, prev, entry, closed = b.schema.field("chain").type, [], [], []
+            for chain, seq_no, body, known in zip(*(b.column(c).to_pylist() for c in ("chain", "seq_no", "body", "entry_hash"))):
+                if not begun or chain != own:
+                    if begun:
+                        closed.append((own, last))
+                    begun, own, last = True, chain, GENESIS
+                if body is None:
+                    last = known
+                    continue
                 prev.append(last)
                 entry.append(last := _entry(last, seq_no, body))
-            yield pa.record_batch([*b.columns, pa.array(prev, pa.string()), pa.array(entry, pa.string())], names=["chain", "seq_no", "body", "prev_hash", "entry_hash"])
+            kept = b.filter(b.column("body").is_valid())
+            yield pa.record_batch([*(kept.column(c) for c in names[:3]), pa.array(prev, pa.string()), pa.array(entry, pa.string())], names=names)
+            yield from closing(closed)
+        if begun:
+            yield from closing([(own, last)])
 
-    rows = records.select("chain", F.col("seq_no").cast("long").alias("seq_no"), F.coalesce("body", F.lit("")).alias("body"))
     return rows.repartition("chain").sortWithinPartitions("chain", "seq_no", "body").mapInArrow(run, f"chain {kind}, seq_no long, body string, prev_hash string, entry_hash string")
 
 
@@ -64,13 +134,21 @@ def chain_faults(records: DataFrame) -> DataFrame:
     return rows.select("chain", "seq_no", fault.alias("fault")).where("fault is not null")
 
 
-def chain_status(records: DataFrame) -> DataFrame:
-    """Per chain: records, whether it is intact, where and why it breaks first, and the last good hash."""
-    faults = chain_faults(records).groupBy("chain").agg(F.min(F.struct("seq_no", "fault")).alias("f"))
-    rows = records.join(faults, "chain", "left")
-    good = F.when(F.col("f").isNull() | (F.col("seq_no") < F.col("f.seq_no")), F.col("entry_hash"))
-    made = rows.groupBy("chain").agg(F.count("*").alias("total"), F.first("f").alias("f"), F.max_by(good, F.when(good.isNotNull(), F.col("seq_no"))).alias("head"))
-    return made.select("chain", "total", F.col("f").isNull().alias("intact"), F.col("f.seq_no").alias("broken_at"), F.col("f.fault").alias("reason"), F.coalesce("head", F.lit(GENESIS)).alias("head_hash"))
+def chain_status(records: DataFrame, heads: bool = True) -> DataFrame:
+    """Per chain: records, whether it is intact, where and why it breaks first, and (with heads) the last good hash.
+
+    Only numbers are added up over all records, which needs no sort.
+    """
+    same = lambda other: F.col("chain").eqNullSafe(F.col(other))
+    faults = chain_faults(records).groupBy(F.col("chain").alias("c")).agg(F.min(F.struct("seq_no", "fault")).alias("f"))
+    made = records.groupBy("chain").agg(F.count("*").alias("total")).join(faults, same("c"), "left")
+    out = made.select("chain", "total", F.col("f").isNull().alias("intact"), F.col("f.seq_no").alias("broken_at"), F.col("f.fault").alias("reason"))
+    if not heads:
+        return out
+    good = records.join(faults, same("c"), "left").where(F.col("f").isNull() | (F.col("seq_no") < F.col("f.seq_no")))
+    last = good.groupBy(F.col("chain").alias("d")).agg(F.max("seq_no").alias("last"))
+    head = records.join(last, same("d") & (F.col("seq_no") == F.col("last"))).select("d", F.col("entry_hash").alias("head"))
+    return out.join(head, same("d"), "left").withColumn("head_hash", F.coalesce("head", F.lit(GENESIS))).drop("d", "head")
 
 
 def audit_query(records: DataFrame, k: int = 2000, since=None, until=None, **equal: str) -> DataFrame:

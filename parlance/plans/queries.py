@@ -332,10 +332,10 @@ def word_character_errors(spark, sf_dir):
 
 def _tampered(spark, sf_dir):
     """A chain for each type of event. Then some bodies and predecessors are altered, and some records removed."""
-    order = F.row_number().over(A.Window.partitionBy("event_type").orderBy("event_id"))
-    rows = _read(spark, sf_dir, "events").select(F.col("event_type").alias("chain"), order.cast("long").alias("seq_no"), F.concat_ws(",", "event_id", "props").alias("body"))
+    rows, parts = G.numbered(_read(spark, sf_dir, "events").select("event_type", "event_id", "props"), "event_type", "event_id")
+    rows = rows.select(F.col("event_type").alias("chain"), "seq_no", F.concat_ws(",", "event_id", "props").alias("body"), "part")
     event = F.split("body", ",")[0].cast("long")
-    made = G.chained(rows).withColumn("prev_hash", F.when(event % 89 == 0, F.lit(G.GENESIS)).otherwise(F.col("prev_hash"))).withColumn("body", F.when(event % 97 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    made = G.chained(rows, parts).withColumn("prev_hash", F.when(event % 89 == 0, F.lit(G.GENESIS)).otherwise(F.col("prev_hash"))).withColumn("body", F.when(event % 97 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
     return made.where(event % 101 != 0)
 
 
@@ -351,7 +351,7 @@ def hash_chain_verify(spark, sf_dir):
 
 @query(f"""WITH {_FAULTS} SELECT chain, count(*) AS total, count(fault) = 0 AS intact, min(seq_no) FILTER (fault IS NOT NULL) AS broken_at, arg_min(fault, seq_no) FILTER (fault IS NOT NULL) AS reason FROM f GROUP BY 1""")
 def audit_chain_status(spark, sf_dir):
-    return G.chain_status(_tampered(spark, sf_dir)).drop("head_hash")
+    return G.chain_status(_tampered(spark, sf_dir), heads=False)
 
 
 @query("""SELECT event_id AS seq_no, event_type AS action, ts AS recorded_at FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20' ORDER BY 1 DESC LIMIT 50""")
