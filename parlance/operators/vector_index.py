@@ -19,8 +19,10 @@ SAMPLE, MOST_LISTS = 10_000, 4096
 ROUNDS, ASKING, RECALL = 8, 200, 0.95
 #: Nearest lists that give the exact search its first floor.
 FLOOR_LISTS = 8
-#: Components of a stored block, queries in a block, and rows of a list for each task that packs it.
-CELLS, PER_BLOCK, LIST_ROWS = 1_000_000, 256, 100_000
+#: Components of a block, of a shard, and of what a task sends at once, about; queries that meet a shard at once.
+CELLS, PER_BLOCK = 1_000_000, 256
+#: What meets in a shard, in this order.
+GONE, OWN, ASKED = 0, 1, 2
 
 
 def _nearest(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -58,13 +60,23 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """Each row's components as one binary value."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(rows.tobytes())])
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist())).reshape(len(column), -1)
+
+
 def _assigned(centroids: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
                 x = _vectors(b.column("vector"))
                 of = _nearest(x, centroids)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(of.astype(np.int32)), pa.array(np.linalg.norm(x - centroids[of], axis=1))], names=[*b.schema.names, "list", "far"])
+                yield pa.record_batch([b.column("chunk_id"), b.column("doc_id"), _bytes(x), pa.array(of.astype(np.int32)), pa.array(np.linalg.norm(x - centroids[of], axis=1))], names=["chunk_id", "doc_id", "data", "list", "far"])
 
     return run
 
@@ -74,7 +86,8 @@ def _routed(centroids: np.ndarray, probes: int, radius: np.ndarray | None, place
 
     Those are the `probes` lists whose centroids have the largest inner products
     with it; with radii, all lists in which a row may reach the query's floor,
-    as no row is farther from its centroid than the radius.
+    as no row is farther from its centroid than the radius. A query may go to
+    all shards, so vectors leave a few at once.
     """
     of, shard = np.array(sorted(places, key=lambda x: x[1]), np.int64).reshape(-1, 2).T
     starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.empty(0, np.int64)
@@ -92,71 +105,44 @@ def _routed(centroids: np.ndarray, probes: int, radius: np.ndarray | None, place
                     floor = np.array([-np.inf if f is None else f for f in part.column("floor").to_pylist()])
                     visits = near + np.linalg.norm(x, axis=1, keepdims=True) * radius >= floor[:, None] - 1e-5
                 row, at_shard = np.nonzero(np.logical_or.reduceat(visits[:, of], starts, axis=1))
-                rows = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(shard[starts[at_shard]].astype(np.int32)), rows.column("query_id"), rows.column("vector")], names=["list", "query_id", "vector"])
-
-    return run
-
-
-def _packed(key: str, most_rows: int, cells: int):
-    """Rows (list, key, vector) in order of list to blocks of one list: (list, block, ids, data)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        block, at, ids, parts, rows, kind = TaskContext.get().partitionId() << 32, None, [], [], 0, None
-
-        def closed() -> pa.RecordBatch:
-            data = np.concatenate(parts).tobytes()
-            return pa.record_batch([pa.array([at], pa.int32()), pa.array([block]), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(kind)), pa.array([data], pa.binary())], names=["list", "block", "ids", "data"])
-
-        for b in batches:
-            if not len(b):
-                continue
-            lists, kind = b.column("list").to_numpy(), b.column(key).type
-            values = _vectors(b.column("vector"))
-            limit = max(1, min(most_rows, cells // max(1, values.shape[1])))
-            cuts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
-            for s, e in zip(cuts, [*cuts[1:], len(lists)]):
-                while s < e:
-                    if rows and (lists[s] != at or rows >= limit):
-                        yield closed()
-                        block, ids, parts, rows = block + 1, [], [], 0
-                    at, n = int(lists[s]), min(e - s, limit - rows)
-                    ids.append(b.column(key).slice(s, n))
-                    parts.append(values[s : s + n])
-                    s, rows = s + n, rows + n
-        if rows:
-            yield closed()
+                step = max(1, CELLS // max(1, x.shape[1]))
+                for s in range(0, len(row), step):
+                    own = row[s : s + step]
+                    yield pa.record_batch([pa.array(shard[starts[at_shard[s : s + step]]].astype(np.int32)), part.column("query_id").take(pa.array(own)), _bytes(x[own])], names=["list", "query_id", "data"])
 
     return run
 
 
 def _best(k: int):
-    """Rows in order of shard, vectors before queries, to each query's k best live vectors of the shard."""
+    """Rows in order of shard and kind, what is gone before vectors before queries, to each query's k best live vectors of the shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, whole = None, [], None
+        now, gone, held, whole = None, set(), [], None
         for b in batches:
-            for i, own in enumerate(b.column("shard").to_pylist()):
-                if own != shard:
-                    shard, held, whole = own, [], None
-                data = np.frombuffer(b.column("data")[i].as_py())
-                if not b.column("asks")[i].as_py():
-                    ids = b.column("ids")[i].values
-                    gone = b.column("gone")[i].as_py()
-                    live = np.isin(np.array(ids.to_pylist(), object), np.array(gone, object), invert=True) if gone else np.ones(len(ids), bool)
-                    held.append((ids.filter(pa.array(live)), data.reshape(len(ids), -1)[live]))
+            shard, kind = b.column("shard").to_numpy(), b.column("kind").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])]) if len(b) else []
+            for s, e in zip(cuts, [*cuts[1:], len(b)]):
+                if shard[s] != now:
+                    now, gone, held, whole = shard[s], set(), [], None
+                part = b.slice(s, e - s)
+                if kind[s] != ASKED:
+                    ids = part.column("chunk_id")
+                    keys = zip(part.column("segment").to_pylist(), ids.to_pylist()) if kind[s] == GONE or gone else ()
+                    if kind[s] == GONE:
+                        gone.update(keys)
+                        continue
+                    live = np.array([key not in gone for key in keys]) if gone else np.ones(len(ids), bool)
+                    if live.any():
+                        held.append((ids.filter(pa.array(live)), _values(part.column("data"))[live]))
                     continue
-                if whole is None and held:
+                if held:
                     whole, held = (pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1] for x in held])), []
-                if whole is None or not len(whole[0]):
-                    continue
-                asked = b.column("asked")[i].values
-                score = data.reshape(len(asked), -1) @ whole[1].T
-                least = np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else -np.inf
-                q, c = np.nonzero(score >= least - 2e-6)  # what rounds to the k-th score may still win by its id
-                yield pa.record_batch([asked.take(pa.array(q)), whole[0].take(pa.array(c)), pa.array(score[q, c])], names=["query_id", "chunk_id", "raw"])
+                for at in range(0, len(part) if whole is not None else 0, PER_BLOCK):
+                    asked = part.slice(at, PER_BLOCK)
+                    score = _values(asked.column("data")) @ whole[1].T
+                    least = np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else -np.inf
+                    q, c = np.nonzero(score >= least - 2e-6)  # what rounds to the k-th score may still win by its id
+                    yield pa.record_batch([asked.column("query_id").take(pa.array(q)), whole[0].take(pa.array(c)), pa.array(score[q, c])], names=["query_id", "chunk_id", "raw"])
 
     return run
 
@@ -166,7 +152,9 @@ class VectorIndex:
 
     `fit` takes centroids from a bounded sample of rows and measures on it how
     many lists a query must visit; every row that is added then goes to a
-    list, and lists are parts of the stored files. Changes are segments (see
+    list, and lists are parts of the stored files. A stored row is one vector,
+    so no reader, writer or sort holds more than a few MB at once; its block
+    of its list, by a hash of its id, says which rows meet queries together. Changes are segments (see
     SegmentLog): added rows replace those of the same chunk_id, removed ones are
     tombstones, which searches mask before they choose. `search` visits the
     nearest lists; `exact` all lists that may matter. Scores are inner
@@ -178,8 +166,9 @@ class VectorIndex:
 
     def fit(self, vectors: DataFrame, k: int = CANDIDATES, lists: int | None = None, sample: int = SAMPLE, recall: float = RECALL) -> None:
         """Lay down centroids and the number of lists to visit. Without rows there is one list, at the origin of any space."""
-        n = vectors.count()
-        rows = vectors.select("chunk_id", "vector").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample).toArrow()
+        n, key = vectors.count(), F.xxhash64("chunk_id")
+        last = vectors.select(key.alias("key")).orderBy("key").limit(sample).agg(F.max("key")).first()[0]  # so only the sample's vectors are moved
+        rows = vectors.where(key <= F.lit(last)).select("chunk_id", "vector").orderBy(key, "chunk_id").limit(sample).toArrow()
         x = _vectors(rows.column("vector").combine_chunks()) if len(rows) else np.zeros((1, 1))
         lists = lists or max(1, min(MOST_LISTS, round(n**0.5), len(x) // 8 or 1))
         centroids = fit_centroids(x, min(lists, len(x)))
@@ -195,14 +184,17 @@ class VectorIndex:
         """The tables of a segment, and the stored ones that they are read from."""
         centroids, _ = self._centroids()
         rows = vectors.select("chunk_id", (F.col("doc_id") if "doc_id" in vectors.columns else F.col("chunk_id")).alias("doc_id"), "vector")
-        c, d, v = (rows.schema[f].dataType.simpleString() for f in ("chunk_id", "doc_id", "vector"))
-        placed = stored(rows.mapInArrow(_assigned(centroids), f"chunk_id {c}, doc_id {d}, vector {v}, list int, far double"), "placed")
-        lists = placed.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts"), F.max("far").alias("radius"))  # at most MOST_LISTS rows
-        dealt = placed.join(F.broadcast(lists.select("list", "parts")), "list").withColumn("part", F.pmod(F.xxhash64("chunk_id"), "parts"))
-        packed = dealt.repartition("list", "part").sortWithinPartitions("list", "chunk_id").select("list", "chunk_id", "vector").mapInArrow(_packed("chunk_id", 1 << 30, CELLS), f"list int, block long, ids array<{c}>, data binary")
-        blocks = stored(packed, "blocks")
-        ids = blocks.select("list", "block", F.explode("ids").alias("chunk_id")).join(placed.select("chunk_id", "doc_id"), "chunk_id")
-        return {"blocks": blocks, "ids": ids, "lists": lists.select("list", "radius")}, [placed, blocks]
+        c, d = (rows.schema[f].dataType.simpleString() for f in ("chunk_id", "doc_id"))
+        placed = stored(rows.mapInArrow(_assigned(centroids), f"chunk_id {c}, doc_id {d}, data binary, list int, far double"), "placed")
+        lists = placed.groupBy("list").agg(F.ceil(F.count("*") / self._block_rows(centroids)).cast("long").alias("parts"), F.max("far").alias("radius"))  # at most MOST_LISTS rows
+        dealt = placed.join(F.broadcast(lists.select("list", "parts")), "list").withColumn("block", F.pmod(F.xxhash64("chunk_id"), "parts"))
+        blocks = dealt.select("list", "block", "chunk_id", "data").repartition("list", "block").sortWithinPartitions("list", "block")
+        return {"blocks": blocks, "ids": dealt.select("list", "block", "chunk_id", "doc_id"), "lists": lists.select("list", "radius")}, [placed]
+
+    @staticmethod
+    def _block_rows(centroids: np.ndarray) -> int:
+        """Rows of a block and of a shard, about."""
+        return max(1, CELLS // centroids.shape[1])
 
     def add(self, vectors: DataFrame, work: str | None = None) -> int | None:
         """Add rows (chunk_id, doc_id if there is one, vector); those of the same chunk_id are replaced. Ids are distinct within one call."""
@@ -239,12 +231,12 @@ class VectorIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for ids, data, segment in zip(b.column("ids"), b.column("data").to_pylist(), b.column("segment").to_pylist()):
-                    values = np.frombuffer(data).reshape(len(ids), -1)
+                if len(b):
+                    values = _values(b.column("data"))
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.ravel()))
-                    yield pa.record_batch([ids.values, flat, pa.array([segment] * len(ids), pa.int64())], names=["chunk_id", "vector", "segment"])
+                    yield pa.record_batch([b.column("chunk_id"), flat, b.column("segment")], names=["chunk_id", "vector", "segment"])
 
-        rows = self.log.table("blocks").select("ids", "data", "segment").mapInArrow(run, f"chunk_id {c}, vector array<double>, segment long")
+        rows = self.log.table("blocks").select("chunk_id", "data", "segment").mapInArrow(run, f"chunk_id {c}, vector array<double>, segment long")
         return rows.join(self.ids().select("chunk_id", "doc_id"), "chunk_id").groupBy("chunk_id", "doc_id").agg(F.max_by("vector", "segment").alias("vector"))
 
     def search(self, queries: DataFrame, k: int = CANDIDATES, probes: int | None = None) -> DataFrame:
@@ -257,34 +249,32 @@ class VectorIndex:
         q = queries.schema["query_id"].dataType.simpleString()
         if blocks is None:
             return self.spark.createDataFrame([], f"query_id {q}, chunk_id string, score double, rank int")
-        c = blocks.schema["ids"].dataType.elementType.simpleString()
+        c = blocks.schema["chunk_id"].dataType.simpleString()
         asks = queries.select("query_id", "vector")
         if floors is not None:
             asks, radius = asks.join(floors, "query_id", "left"), np.zeros(len(centroids))
             for r in self.log.table("lists").groupBy("list").agg(F.max("radius").alias("radius")).collect():
                 radius[r["list"]] = r["radius"]
-        shards = self._shards(blocks, centroids, apart=floors is None)
+        shards = self._shards(centroids, apart=floors is None)
         places = [(r["list"], r["shard"]) for r in shards.select("list", "shard").distinct().collect()]  # a short row a list and shard
-        routed = asks.mapInArrow(_routed(centroids, min(len(centroids), probes or fitted), radius, places), f"list int, query_id {q}, vector {queries.schema['vector'].dataType.simpleString()}")
-        asked = stored(routed.repartition("list").sortWithinPartitions("list", "query_id").mapInArrow(_packed("query_id", PER_BLOCK, CELLS), f"list int, block long, ids array<{q}>, data binary").withColumnRenamed("list", "shard"), "asked")
-        visited = blocks.join(F.broadcast(shards), ["segment", "list", "block"]).join(asked.select("shard").distinct(), "shard", "left_semi")
+        routed = asks.mapInArrow(_routed(centroids, min(len(centroids), probes or fitted), radius, places), f"list int, query_id {q}, data binary")
+        asked = stored(routed.withColumnRenamed("list", "shard").repartition("shard"), "asked")
+        reached = shards.join(asked.select("shard").distinct(), "shard", "left_semi")
+        none = lambda kind: F.lit(None).cast(kind)
+        met = blocks.join(F.broadcast(reached), ["segment", "list", "block"]).select("shard", F.lit(OWN).alias("kind"), "segment", "chunk_id", none(q).alias("query_id"), "data")
+        met = met.unionByName(asked.select("shard", F.lit(ASKED).alias("kind"), none("long").alias("segment"), none(c).alias("chunk_id"), "query_id", "data"))
         gone = self.log.removals()
         if gone is not None:
-            dead = self.log.table("ids").join(gone, (F.col("chunk_id") == F.col("key")) & (F.col("segment") < F.col("removed_at"))).groupBy("segment", "list", "block").agg(F.collect_list("chunk_id").alias("gone"))  # at most a block's rows
-            visited = visited.join(dead, ["segment", "list", "block"], "left")
-        else:
-            visited = visited.withColumn("gone", F.lit(None).cast(f"array<{c}>"))
-        none = lambda kind: F.lit(None).cast(f"array<{kind}>")
-        own = visited.select("shard", F.lit(False).alias("asks"), "ids", "gone", none(q).alias("asked"), "data")
-        met = own.unionByName(asked.select("shard", F.lit(True).alias("asks"), none(c).alias("ids"), none(c).alias("gone"), F.col("ids").alias("asked"), "data"))
-        found = met.repartition("shard").sortWithinPartitions("shard", "asks").mapInArrow(_best(k), f"query_id {q}, chunk_id {c}, raw double")
+            dead = self.log.table("ids").join(gone, (F.col("chunk_id") == F.col("key")) & (F.col("segment") < F.col("removed_at"))).join(F.broadcast(reached), ["segment", "list", "block"])
+            met = met.unionByName(dead.select("shard", F.lit(GONE).alias("kind"), "segment", "chunk_id", none(q).alias("query_id"), none("binary").alias("data")))
+        found = met.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_best(k), f"query_id {q}, chunk_id {c}, raw double")
         return ranked(found.select("query_id", "chunk_id", F.round("raw", 6).alias("score")), "score", k)
 
-    def _shards(self, blocks: DataFrame, centroids: np.ndarray, apart: bool) -> DataFrame:
+    def _shards(self, centroids: np.ndarray, apart: bool) -> DataFrame:
         """(segment, list, block, shard): blocks in shards of about CELLS components, of one list each if apart, else of neighbouring lists."""
         order = Window.partitionBy("list").orderBy("segment", "block") if apart else Window.orderBy("list", "segment", "block")  # one short row a block
-        sized = blocks.select("segment", "list", "block", F.size("ids").alias("n"))
-        part = F.floor((F.sum("n").over(order) - F.col("n")) / max(1, CELLS // centroids.shape[1]))
+        sized = self.log.table("ids").groupBy("segment", "list", "block").agg(F.count("*").alias("n"))
+        part = F.floor((F.sum("n").over(order) - F.col("n")) / self._block_rows(centroids))
         return sized.select("segment", "list", "block", (part * len(centroids) + F.col("list") if apart else part).cast("int").alias("shard"))
 
     def exact(self, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:

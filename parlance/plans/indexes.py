@@ -15,7 +15,7 @@ from parlance.storage import drop_stored, shared_dir, stored
 
 
 #: Raised when what indexes hold changes, so that older ones aren't read.
-LAYOUT = 1
+LAYOUT = 2
 
 
 def _stamp(rows: DataFrame) -> str:
